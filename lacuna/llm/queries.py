@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import jaccard, mixing, sharding
 from .common import table
 
 
@@ -16,5 +16,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_depth", "shard_bytes", F.col("shard_rows").alias("shard_docs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE}
