@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, sharding
+from . import jaccard, langid, mixing, secrets, sharding
 from .common import table
 
 
@@ -26,5 +26,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digests(paths).withColumnRenamed("path", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op7_language_id": op7_language_id, "op5_secret_scan": op5_secret_scan}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE}
