@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, mixing, secrets, sharding, topk, urls
+from . import chat, decontam, jaccard, langid, lm, mixing, secrets, sharding, topk, urls
 from .common import table
 
 
@@ -57,5 +57,9 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("key % 100 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op7_language_id": op7_language_id, "op5_secret_scan": op5_secret_scan, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter, "op2_decontamination": op2_decontamination, "op4_exact_topk": op4_exact_topk}
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op7_language_id": op7_language_id, "op5_secret_scan": op5_secret_scan, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter, "op2_decontamination": op2_decontamination, "op4_exact_topk": op4_exact_topk, "op3_lm_score": op3_lm_score}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_exact_topk": topk.ORACLE}
