@@ -37,7 +37,7 @@ def normalised(hist: DataFrame, keys: tuple[str, ...] = (), by_channel: bool = F
 
 def difference(target: DataFrame, cands: DataFrame, ids: DataFrame, out: str = "d") -> DataFrame:
     """(cx, cy, d): sum over bins of |target - candidate|. ids (cx, cy): the candidates, which are few."""
-    t = ids.join(F.broadcast(target)).select("cx", "cy", "ch", "bin", F.col("n").alias("n"))
+    t = ids.select("cx", "cy").join(F.broadcast(target)).select("cx", "cy", "ch", "bin", "n")
     both = t.unionByName(cands.select("cx", "cy", "ch", "bin", (-F.col("n")).alias("n")))
     return both.groupBy("cx", "cy", "ch", "bin").agg(F.abs(F.sum("n")).alias("n")).groupBy("cx", "cy").agg(F.sum("n").alias(out))
 

@@ -233,7 +233,7 @@ def q15(spark, sf):
 COPIED = "(x % 7 = 0 and y % 5 < 3)"
 
 
-@query("k9_limit_reuse", """, u AS (SELECT cx, cy, count(*) FILTER (WHERE p.x % 7 = 0 AND p.y % 5 < 3) AS used FROM src, px p WHERE p.x BETWEEN cx - 4 AND cx + 4 AND p.y BETWEEN cy - 4 AND cy + 4 GROUP BY ALL)
+@query("k9_limit_reuse", """, u AS (SELECT cx, cy, count(*) FILTER (WHERE p.x % 7 = 0 AND p.y % 5 < 3) AS used FROM src, o4 o, px p WHERE p.x = cx + o.dx AND p.y = cy + o.dy GROUP BY ALL)
 SELECT cx, cy, round(d, 6) AS d FROM sc JOIN u USING (cx, cy) WHERE used < (SELECT count(*) FROM tp WHERE hole) / 4 ORDER BY sc.d, cy, cx LIMIT 10""")
 def k9(spark, sf):
     """Copied pixels, here a fixed pattern of them, in a candidate's patch; a quarter of the target's holes is the limit, since half bars nobody."""
@@ -285,7 +285,8 @@ def q16(spark, sf):
 
 
 @query("k18_local_optimisation", """, q AS (SELECT x AS qx, y AS qy FROM (VALUES (18, 109), (18, 110), (18, 111), (19, 109), (19, 111), (20, 109), (20, 110), (20, 111)) w(x, y)),
-ns AS (SELECT qx, qy, cx, cy, avg((p.v - t.v) ** 2) AS d FROM q, src, px t, px p WHERE t.x BETWEEN qx - 4 AND qx + 4 AND t.y BETWEEN qy - 4 AND qy + 4 AND NOT t.hole AND p.x = cx + t.x - qx AND p.y = cy + t.y - qy AND cx % 2 = 0 GROUP BY ALL),
+tt AS MATERIALIZED (SELECT qx, qy, dx, dy, t.v FROM q, o4 o, px t WHERE t.x = qx + o.dx AND t.y = qy + o.dy AND NOT t.hole),
+ns AS (SELECT qx, qy, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p WHERE (p.x - dx) % 2 = 0 GROUP BY ALL HAVING (cx, cy) IN (SELECT (s.cx, s.cy) FROM src s)),
 nt AS (SELECT *, row_number() OVER (PARTITION BY qx, qy ORDER BY d, cy, cx) AS r FROM ns QUALIFY r <= 10),
 m AS (SELECT c.cx, c.cy, c.rn, qx, qy, min(sqrt((c.cx - nt.cx) ** 2 + (c.cy - nt.cy) ** 2)) AS m FROM top c, nt WHERE c.rn <= 10 GROUP BY ALL)
 SELECT cx, cy, round(sum(m), 6) AS total FROM m GROUP BY cx, cy, rn ORDER BY sum(m), rn LIMIT 1""")
