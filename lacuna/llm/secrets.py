@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free, settle
 
+FOUND = "array<struct<start: int, k: int, kind: string, end: int>>"
 LEDGER = "blob string, kind string, version int, spans array<struct<start: int, end: int>>"
 
 # The rules' patterns. kind, version, pattern, least length (of the group, else of the match), group, strings of which a
@@ -68,22 +69,32 @@ def scan(files: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id"
     texts = files.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     texts = texts.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))).join(todo.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))).hint("shuffle_hash"), ["path", "blob"]).select("blob", "text", "kinds")
     version = {k: v for k, v, *_ in rules}
+    order = {k: i for i, (k, *_) in enumerate(rules)}
 
     def search(batches):
         for pdf in batches:
-            out = [(b, r[0], version[r[0]], [{"start": s, "end": e} for s, e in find(t, r)]) for b, t, ks in zip(pdf["blob"], pdf["text"], pdf["kinds"], strict=True) for r in rules if r[0] in ks]
-            yield pd.DataFrame(out, columns=["blob", "kind", "version", "spans"])
-
-    # a path may hold one blob in several rows: its findings are equal, and one of each is kept
-    new = settle(texts.mapInPandas(search, LEDGER).groupBy("blob", "kind", "version").agg(F.max("spans").alias("spans")), "secrets-ledger")
-    current = F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v, *_ in rules])
-    known = seen.filter(F.array_contains(current, F.struct(F.col("kind"), F.col("version")))).unionByName(new) if ledger is not None else new
-    order = {k: i for i, (k, *_) in enumerate(rules)}
-    place = F.coalesce(*[F.when(F.col("kind") == k, i) for k, i in order.items()])
-    hits = known.filter(F.size("spans") > 0).withColumn("k", place).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("k").alias("k"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("x"))
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("found"))
-    empty = F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>")
-    return rows.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found")), new
+            out = []
+            for blob, text, kinds in zip(pdf["blob"], pdf["text"], pdf["kinds"], strict=True):
+                got = sorted((s, order[r[0]], r[0], e) for r in rules if r[0] in kinds for s, e in find(text, r))
+                out.append((blob, list(kinds), [dict(zip(("start", "k", "kind", "end"), x, strict=True)) for x in got]))
+            yield pd.DataFrame(out, columns=["blob", "kinds", "found"])
+
+    scanned = texts.mapInPandas(search, f"blob string, kinds array<string>, found {FOUND}")
+    if rows.groupBy("path", "blob").count().filter("count > 1").take(1):  # a path holds one blob in several rows, with equal findings
+        scanned = scanned.dropDuplicates(["blob"])
+    scanned = settle(scanned, "secrets-ledger")
+    free(spark)
+    place = F.create_map(*[F.lit(x) for k, v in version.items() for x in (k, v)])
+    new = scanned.select("blob", "found", F.explode("kinds").alias("kind"))
+    new = new.select("blob", "kind", place[F.col("kind")].alias("version"), F.transform(F.filter("found", lambda x: x["kind"] == F.col("kind")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    hits = scanned.filter(F.size("found") > 0).select("blob", "found")
+    if ledger is not None:
+        current = F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v, *_ in rules])
+        rank = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)])
+        old = seen.filter(F.array_contains(current, F.struct(F.col("kind"), F.col("version"))) & (F.size("spans") > 0))
+        old = old.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("k"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("found"))
+        hits = hits.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return rows.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), new
 
 
 def digests(paths: DataFrame, base: tuple[str, ...] = KINDS[:3]) -> DataFrame:
