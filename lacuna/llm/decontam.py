@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, lower_ascii, settle
 
-#: 1: the word counts; 0: any word may stand there. A region with every fifth word replaced still has a hit of the second, with every third of the last.
-MASKS = ("111111", "1110111", "11011011")
+#: 1: the word counts; 0: any word may stand there. A region whose replaced words stand four or more apart has a hit of the first, and so has each run of seven
+#: equal words; one with every third word replaced has a hit of the second.
+MASKS = ("1110111", "11011011")
 #: Items of fewer words than this never count as a leak; shorter than a mask, they are sought as a whole.
 LEAST = 4
 #: An overlap counts from so many equal words, or from this share of a short item's.
