@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free, settle
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts into pieces that the vocabulary was made for. Fixed value.
@@ -93,6 +93,7 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
             yield pd.DataFrame(out, columns=["c", "depth", "node", "role", "text"])
 
     chained = settle(rows.repartition("c").sortWithinPartitions("c", "turn", "role", "text").select("c", "role", "text").mapInPandas(chain, "c string, depth int, node string, role string, text string"), "chat-turns")
+    free(spark)
     with open(tokenizer, "rb") as f:  # under a megabyte, whatever the data
         held = spark.sparkContext.broadcast(f.read())
 
@@ -107,6 +108,7 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
     first = chained.groupBy("node").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
     coded = settle(first.mapInPandas(encode, "node string, depth int, n long, tokens array<int>, loss_from int, loss_to int"), "chat-tokens")
+    free(spark)
     convs = chained.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("path")).withColumn("leaf", F.element_at("path", -1))
     convs = settle(convs, "chat-convs")
     # depth first: paths in order; a node belongs to the first path that has it, and a path's own nodes follow by depth
@@ -139,8 +141,9 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
             yield pd.DataFrame(out, columns=["node", "position", "attends"])
 
     placed = own.drop("owner", "depth").join(seen.mapInPandas(intervals, "node string, position long, attends array<struct<start: long, end: long>>"), "node")
-    nodes = settle(placed.join(coded.drop("n"), "node"), "chat-nodes")
-    return nodes, paths.select("leaf", "path"), convs.select(F.col("c").alias("conv"), "leaf")
+    placed = settle(placed, "chat-nodes")
+    free(spark)
+    return placed.join(coded.drop("n"), "node"), paths.select("leaf", "path"), convs.select(F.col("c").alias("conv"), "leaf")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, convs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
