@@ -89,9 +89,8 @@ def scan(files: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id"
     new = new.select("blob", "kind", place[F.col("kind")].alias("version"), F.transform(F.filter("found", lambda x: x["kind"] == F.col("kind")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
     hits = scanned.filter(F.size("found") > 0).select("blob", "found")
     if ledger is not None:
-        current = F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v, *_ in rules])
         rank = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)])
-        old = seen.filter(F.array_contains(current, F.struct(F.col("kind"), F.col("version"))) & (F.size("spans") > 0))
+        old = seen.filter((place[F.col("kind")] == F.col("version")) & (F.size("spans") > 0))
         old = old.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("k"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("found"))
         hits = hits.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     return rows.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), new
