@@ -191,7 +191,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     side = side.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__h").orderBy(F.col(f"`{source}`"))) if repeated else F.lit(1))
     if repeated:  # equal texts under one key may stand in several sources: numbered as a whole on both sides
         got = got.withColumn("nth", F.row_number().over(Window.partitionBy("key", "th").orderBy("nth")))
-    out = side.join(got.hint("shuffle_hash"), F.col("__k").eqNullSafe(F.col("key")) & (F.col("__h") == F.col("th")) & (F.col("__n") == F.col("nth"))).withColumn("__e", F.explode("es"))
+    got = got.withColumnsRenamed({"key": "__key", "th": "__th", "nth": "__nth", "es": "__es"})  # docs may have columns of these names
+    out = side.join(got.hint("shuffle_hash"), F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")) & (F.col("__n") == F.col("__nth"))).withColumn("__e", F.explode("__es"))
     tokens = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.concat_ws(" ", F.flatten(F.transform("__e.cuts", lambda c: F.slice(tokens, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
     out = out.withColumn(text, F.when(F.col("__e.whole"), F.col(f"`{text}`")).otherwise(cut))
