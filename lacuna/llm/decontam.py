@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, lower_ascii, settle
 
-#: 1: the word counts; 0: any word may stand there. A region whose replaced words stand four or more apart has a hit of the first, and so has each run of seven
-#: equal words; one with every third word replaced has a hit of the second.
-MASKS = ("1110111", "11011011")
-#: Items of fewer words than this never count as a leak; shorter than a mask, they are sought as a whole.
+#: 1: the word counts; 0: any word may stand there. Each stretch of four or more equal words that leaks() scores has a hit: it begins with three equal words or
+#: more, as a miss after fewer takes the score to 0. With four, the first mask hits. With three, the miss leaves a score of 1, which only two equal words or more
+#: carry over the next miss, or above the 3 scored before: the second hits.
+MASKS = ("1111", "111011")
+#: Items of fewer words than this never count as a leak; the masks need four equal words.
 LEAST = 4
 #: An overlap counts from so many equal words, or from this share of a short item's.
 OVERLAP, SHARE = 13, 0.8
@@ -29,7 +30,7 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, SPACE), lambda w: F.xxhash64(w)))
 
 
-def _keys(h: Column, masks: list[str]) -> Column:
+def _keys(h: Column) -> Column:
     """For each mask, at each word, the hash of the words that count there; null where the mask does not fit. One array, mask after mask,
     each as long as h. The lambda's variable holds h, which is so worked out once."""
 
@@ -38,16 +39,16 @@ def _keys(h: Column, masks: list[str]) -> Column:
         return F.transform(x, lambda _, i: F.when(i + len(mask) <= F.size(x), F.xxhash64(F.lit(number), *picked(i))))
 
     def all_masks(x: Column) -> Column:
-        return F.concat(*[one_mask(x, number, mask) for number, mask in enumerate(masks)])
+        return F.concat(*[one_mask(x, number, mask) for number, mask in enumerate(MASKS)])
 
     return F.get(F.transform(F.array(h), all_masks), F.lit(0))
 
 
-def _seeds(rows: DataFrame, h: Column, masks: list[str]) -> DataFrame:
-    """rows, but for the text or words themselves, with k, i and m: the key at word i by mask m."""
+def _seeds(rows: DataFrame, h: Column) -> DataFrame:
+    """rows, but for the text or words themselves, with k and i: the key at word i by each mask."""
     kept = [c for c in rows.columns if c not in ("t", "q")]
-    at = rows.withColumn("_k", _keys(h, masks)).select(*kept, (F.size("_k") / len(masks)).cast("int").alias("_n"), F.posexplode("_k").alias("_p", "k"))
-    return at.filter("k is not null").select(*kept, "k", F.expr("_p % _n").alias("i"), F.expr("_p div _n").cast("int").alias("m"))
+    at = rows.withColumn("_k", _keys(h)).select(*kept, (F.size("_k") / len(MASKS)).cast("int").alias("_n"), F.posexplode("_k").alias("_p", "k"))
+    return at.filter("k is not null").select(*kept, "k", F.expr("_p % _n").alias("i"))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -61,14 +62,9 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
     items = bench.select(F.col(f"`{item}`").alias("item"), word_array(F.col(f"`{item_text}`")).alias("q")).filter(F.size("q") >= LEAST)
     items = settle(items, "leak-items")
     each = items.groupBy("q").agg(F.min("item").alias("rep"))  # equal items are one
-    sizes = [r[0] for r in each.select(F.size("q").alias("n")).filter(F.col("n") < len(MASKS[0])).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(sizes))]
-    # a mask for a short item is used for items of its length alone
-    own = F.expr(" or ".join([f"m < {len(MASKS)}", *(f"(m = {len(MASKS) + j} and words = {n})" for j, n in enumerate(sorted(sizes)))]))
-    seeds = _seeds(each.withColumn("words", F.size("q")), F.col("q"), masks).filter(own)
-    seeds = settle(seeds.select("k", F.col("i").alias("o"), "rep"), "leak-seeds")
+    seeds = settle(_seeds(each, F.col("q")).select("k", F.col("i").alias("o"), "rep"), "leak-seeds")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).filter("t is not null")
-    spots = _seeds(rows.select("key", F.xxhash64("t").alias("th"), "t"), word_array(F.col("t")), masks)
+    spots = _seeds(rows.select("key", F.xxhash64("t").alias("th"), "t"), word_array(F.col("t")))
     small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda x: x)
     hits = spots.select("key", "th", "k", "i").join(small(seeds), "k").select("key", "th", "rep", (F.col("i") - F.col("o")).alias("first"))
     hits = hits.groupBy("key", "th", "rep").agg(F.collect_set("first").alias("firsts"))  # no more than a text has words

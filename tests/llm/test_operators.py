@@ -98,6 +98,34 @@ def test_leaks_do_not_depend_on_the_join(spark, monkeypatch):
     assert a == sorted(map(tuple, decontam.leaks(docs, bench).collect())) and len(a) == 4
 
 
+def plain_matched(text, item):
+    """The most equal words of a best-scoring stretch, over all diagonals."""
+    best = 0
+    for first in range(-len(item), len(text)):
+        score = n = top = matched = 0
+        for j, w in enumerate(item):
+            if 0 <= first + j < len(text) and text[first + j] == w:
+                score, n = score + 1, n + 1
+            else:
+                score, n = (score - 2, n) if score > 2 else (0, 0)
+            if score > top:
+                top, matched = score, n
+        best = max(best, matched)
+    return best
+
+
+def test_each_overlap_that_counts_is_found(spark):
+    patterns = ["11111100111111001111110", "111111010111110101111110", "11110101110101111", "1111100111110011111", "111011011101101111011", "0111111", "11110", "110111011"]
+    rng = np.random.default_rng(3)
+    patterns += ["".join("01"[int(b)] for b in rng.random(int(n)) < share) for n in rng.integers(4, 24, 150) for share in (0.75, 0.85)]
+    items = [(k, [f"i{k}x{j}" for j in range(len(p))]) for k, p in enumerate(patterns)]
+    texts = [(k, ["a", *(w if bit == "1" else "z" for w, bit in zip(q, p)), "b"]) for (k, q), p in zip(items, patterns)]
+    got = {(r["key"], r["item"]): r["matched"] for r in decontam.leaks(*(spark.createDataFrame([(k, " ".join(w)) for k, w in x], f"{c} long, text string") for x, c in ((texts, "doc_id"), (items, "item_id")))).collect()}
+    matched = {k: plain_matched(texts[k][1], q) for k, q in items}
+    want = {(k, k): n for k, n in matched.items() if n >= min(decontam.OVERLAP, -(-8 * len(patterns[k]) // 10))}
+    assert got == want and {(k, k) for k in range(7)} <= set(got)
+
+
 # ---- language models
 
 
