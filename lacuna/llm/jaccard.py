@@ -62,7 +62,7 @@ class Plan:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        first = max(1, math.ceil(den / (den - num))) if num < den else 1 << 62  # smaller sets link only if equal
+        first = max(1, -(-num // (den - num))) if num < den else 1 << 62  # a set links with one of an n-gram more from here on; smaller sets link only if equal
         self.first, self.his = first, []
         hi = first
         while hi < 1 << 40:

@@ -373,6 +373,16 @@ def test_jaccard_against_brute_force(spark, monkeypatch, width, num, den, tile):
     assert got == plain_components(rows, width, num, den)
 
 
+@pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80)])
+def test_jaccard_of_short_texts_that_lack_a_word(spark, width, num):
+    rows = []
+    for n in range(1, 16):
+        w = [f"s{n}w{k}" for k in range(n)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((w, w[1:], w[:-1], [*w, "more"], ["more", *w]))]
+    got = {r["key"]: (r["n"], r["component"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), width=width, num=num, den=100).collect()}
+    assert got == plain_components(rows, width, num, 100)
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = jaccard.link(odd).collect()
     assert len(got) == odd.count()
