@@ -177,6 +177,15 @@ def test_scores_against_plain_counts(spark, odd, empty):
     assert lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("kept", [20, 1])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch, kept):
+    docs = spark.createDataFrame([(i, prose(60, i) + " extraordinary unseen" + "abcdefghijkl"[i % 12] * (i % 5) + f" {i * 7919}tail") for i in range(30)], "doc_id long, text string")
+    score = lambda: {r["key"]: r["score"] for r in lm.score(docs).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "CONTINUED", kept)
+    assert score() == pytest.approx(whole, rel=1e-5)
+
+
 # ---- exact top k
 
 
