@@ -177,6 +177,23 @@ def test_scores_against_plain_counts(spark, odd, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_training_uses_each_id_once():
+    total = np.array([1, 15, 16, 64, 65, 1000, 129])
+    n = int(total.sum())
+    of, share = lm._classes(np.ones((2, lm.IDS)))
+    m = lm.Model(lm.Model.start(), of, share, np.zeros((2 * lm.CLASSES, lm.CLASSES), np.float32))
+    x = {"id": np.arange(n, dtype=np.int32), "opens": np.ones(n, bool), "total": total}
+    for turns in (1, 2, 3):
+        got = [w for t in range(turns) for w in m.windows(x, t, turns)]
+        assert all(len(w[0]) <= 5 and w[1][0] for w in got)
+        assert (np.bincount(np.concatenate([w[3][w[4]] for w in got]), minlength=lm.CLASSES) == np.bincount(of[x["id"]], minlength=lm.CLASSES)).all()
+
+
+def test_training_on_few_texts(spark):
+    docs = spark.createDataFrame([("one two three",), (prose(50),)], "text string").coalesce(1)
+    assert not np.array_equal(lm.train(docs)[0].flat, lm.Model.start())
+
+
 @pytest.mark.parametrize("kept", [20, 1])
 def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch, kept):
     docs = spark.createDataFrame([(i, prose(60, i) + " extraordinary unseen" + "abcdefghijkl"[i % 12] * (i % 5) + f" {i * 7919}tail") for i in range(30)], "doc_id long, text string")
