@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, settle
+from .common import settle
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts into pieces that the vocabulary was made for. Fixed value.
@@ -74,11 +74,11 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     token), attends (ascending intervals of the sequence, adjoining ones merged), tokens, loss_from and loss_to (its tokens under the loss mask: an
     assistant's text). paths: leaf and path (the nodes from the first turn). convs: conv and leaf.
     Turns stand by `turn`, then role, then text; null roles and texts count as empty; equal conversations share all nodes. A null conversation id is one
-    conversation. A conversation's own turns are read in one task, as a stream. Empty tables give empty results.
+    conversation, and stays null. A conversation's own turns are read in one task, as a stream. Empty tables give empty results.
     """
     spark = turns.sparkSession
     rows = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("c", F.coalesce(F.col("conv").cast("string"), F.lit("\x00")))
+    rows = rows.withColumn("c", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("")))
 
     def chain(batches):
         at, depth, parent = None, 0, ""
@@ -93,7 +93,6 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
             yield pd.DataFrame(out, columns=["c", "depth", "node", "role", "text"])
 
     chained = settle(rows.repartition("c").sortWithinPartitions("c", "turn", "role", "text").select("c", "role", "text").mapInPandas(chain, "c string, depth int, node string, role string, text string"), "chat-turns")
-    free(spark)
     with open(tokenizer, "rb") as f:  # under a megabyte, whatever the data
         held = spark.sparkContext.broadcast(f.read())
 
@@ -108,7 +107,6 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
     first = chained.groupBy("node").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
     coded = settle(first.mapInPandas(encode, "node string, depth int, n long, tokens array<int>, loss_from int, loss_to int"), "chat-tokens")
-    free(spark)
     convs = chained.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("path")).withColumn("leaf", F.element_at("path", -1))
     convs = settle(convs, "chat-convs")
     # depth first: paths in order; a node belongs to the first path that has it, and a path's own nodes follow by depth
@@ -142,8 +140,7 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
     placed = own.drop("owner", "depth").join(seen.mapInPandas(intervals, "node string, position long, attends array<struct<start: long, end: long>>"), "node")
     placed = settle(placed, "chat-nodes")
-    free(spark)
-    return placed.join(coded.drop("n"), "node"), paths.select("leaf", "path"), convs.select(F.col("c").alias("conv"), "leaf")
+    return placed.join(coded.drop("n"), "node"), paths.select("leaf", "path"), convs.select(F.when(F.col("c") != "", F.expr("substring(c, 2)")).alias("conv"), "leaf")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, convs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

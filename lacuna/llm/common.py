@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -36,23 +34,38 @@ _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A folder's path in the shared folder that nothing else uses; removed when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it is computed once, its lineage is cut, its size is
     known to the planner, and a lost executor does not lose it. Removed when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_folder(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done: it does so when the driver collects its garbage, which may be long after, and
-    a little later; the second time takes what the first has let go."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.8)
+#: Keys of more than HOT rows, and more than one in MANY of all, are hot.
+HOT, MANY = 1000, 100_000
+
+
+def meet(left: DataFrame, right: DataFrame, on: str, many: int = MANY, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of `left`, a settled table with a non-null key that few values may fill, with `right`, which has a row for each key at most. Rows of hot keys stay where
+    they are and meet theirs of `right` in a broadcast: there can be no more than `many` such keys. No other key has more rows than a task should take."""
+    total = left.count()
+    if total <= HOT:
+        return left.join(right, on, how)
+    hot = left.groupBy(on).agg(F.count("*").alias("__k")).filter(F.col("__k") > max(HOT, total // many)).select(on).collect()  # many rows at most
+    if not hot:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(on).schema).coalesce(1))
+    there = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+    return there.unionByName(left.join(hot, on, "left_anti").join(right, on, how))
 
 
 def _remove(path: str, spark: SparkSession) -> None:

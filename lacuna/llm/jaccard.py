@@ -1,33 +1,33 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Documents with equal n-gram sets are one class, joined as its smallest id. The matrix' columns are cut into as many blocks as a size
-class allows differences, and a few more: two documents within the threshold must agree in whole blocks (the size-derived bound), so only
-documents that share a block, or a pair or triple of blocks for short ones, meet. Where such documents hang together, the product is taken in
-tiles of at most TILE by TILE documents: overlap counts grow column block by column block, pairs that can no longer reach their bound are
-dropped, and a tile reports a spanning forest of its links, never all its pairs.
+Documents with equal n-gram sets are one class: a row of the matrix. Columns come in one order for all rows, rare ones first by a sketch that counts every
+n-gram of every text in fixed space, so that what many texts share comes last. Two sets within the threshold must meet in the columns that come first
+in each (the size-derived bound: n - ceil(t n) + 1 of n), so the product starts there and most pairs never arise. A pair that meets is dropped when the
+parity bitmaps of its sets differ in more bits than the threshold allows n-grams; the others accumulate their overlap over all columns.
+
+No column's pairs are all formed. First each row meets one row of the column; then, with what links by that contracted, rows of different components
+meet in blocks. Links are kept as what holds components together.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, free, low, mix, settle, spans, word_hashes
+from . import common
+from .common import chunks, low, meet, mix, settle, spans, word_hashes
 
-#: Documents on a side of a tile, and n-gram columns multiplied at once.
-TILE, COLUMNS = 512, 2048
-#: Columns that touch fewer than one in DENSE of a tile's pairs are added pair by pair, about PAIRS at once.
-DENSE, PAIRS = 256, 1 << 22
-#: A side of a tile in large groups: so many documents or n-grams, whichever are fewer; each side is sent once for each block of the other.
-SIDE, GRAMS = 2048, 1 << 20
-#: Members of groups, 16 bytes each, that may be broadcast to the texts; more are joined by a shuffle.
+#: Counters of the sketch, and counters in one of its slices. It orders columns; no result depends on it.
+SKETCH, SLICE = 1 << 23, 1 << 16
+#: Rows of a column whose pairs may be looked at in one task; larger columns come in tiles of so many by so many.
+TILE = 512
+#: Pairs in a task of the product, and words of bitmaps compared at once.
+PAIRS, WORDS = 256, 1 << 21
+#: Rows of 8 to 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
-RATIO = 1.25
 
 
 def sets(texts, width: int):
@@ -57,304 +57,333 @@ def sets(texts, width: int):
         yield a, b, np.array([len(x) for x in out]), np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class Plan:
-    """The size classes for a threshold of num/den: sizes lo..hi of class c, its number of column blocks, and how many must agree."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        first = max(1, -(-num // (den - num))) if num < den else 1 << 62  # a set links with one of an n-gram more from here on; smaller sets link only if equal
-        self.first, self.his = first, []
-        hi = first
-        while hi < 1 << 40:
-            hi = max(hi + 1, int(hi * RATIO))
-            self.his.append(hi)
-        self.his = np.array(self.his)
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.his, n)
-
-    def blocks(self, c: int) -> tuple[int, int, int]:
-        """(blocks, blocks that one key takes together, blocks of fewer than two n-grams that may be passed over)"""
-        d = int((self.den - self.num) * 2 * self.his[c] // (self.den + self.num))  # the symmetric difference at the threshold
-        if d <= 3:
-            return d + 3, 3, 0
-        if d <= 8:
-            return d + 2, 2, 0
-        e = math.ceil(0.1 * (d + 1)) + 2
-        return d + 1 + e, 1, e
-
-    def keys(self, n: np.ndarray, grams: np.ndarray):
-        """(text, key) arrays, twice for texts that may link to the next class."""
-        own = self.of(n)
-        top = self.his[np.minimum(own, len(self.his) - 1)]
-        start = np.concatenate([[0], np.cumsum(n)])
-        for shift in (0, 1):
-            use = n >= self.first
-            if shift:  # a partner in the next class has at most den/num times the size
-                use = use & (n * self.den > (top) * self.num - self.den)
-            for c in np.unique(own[use]):
-                docs = np.flatnonzero(use & (own == c))
-                yield from self._class(int(c) + shift, docs, n, start, grams)
-
-    def _class(self, c: int, docs: np.ndarray, n: np.ndarray, start: np.ndarray, grams: np.ndarray):
-        k, together, spare = self.blocks(c)
-        step = max(1, (1 << 20) // k)
-        for lo in range(0, len(docs), step):
-            part = docs[lo : lo + step]
-            take = np.concatenate([np.arange(start[i], start[i + 1]) for i in part])
-            g = grams[take]
-            row = np.repeat(np.arange(len(part)), n[part])
-            cell = row * k + (((g >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
-            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            total = np.zeros(len(part) * k, np.uint64)
-            total[cell[edge]] = np.add.reduceat(mix(g + np.uint64(0x1D8E4E27C47D124F)), edge)
-            total = total.reshape(len(part), k)
-            salt = mix((np.arange(k, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
-            if together == 1:
-                count = np.bincount(cell, minlength=len(part) * k).reshape(len(part), k)
-                light = count < 2
-                send = ~light | (light.sum(1) > spare)[:, None]
-                d, j = np.nonzero(send)
-                yield part[d], mix(total[d, j] ^ salt[j])
-            else:
-                total = mix(total ^ salt)
-                sel = np.array(list(itertools.combinations(range(k), together)))
-                yield np.repeat(part, len(sel)), mix(total[:, sel].sum(2, dtype=np.uint64) + np.uint64(together)).ravel()
+def _class_ids(n: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set, the same for equal sets and independent of where they stand."""
+    edge = np.concatenate([[0], np.cumsum(n)])
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x51ED270B7A3C1F55)), dtype=np.uint64)])
+    return mix((run[edge[1:]] - run[edge[:-1]]) + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
+
+
+# ---- parity bitmaps ------------------------------------------------------------------------------------------------
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two from twice its size on, 64 at least."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+
+
+def bitmaps(n: np.ndarray, grams: np.ndarray) -> list[bytes]:
+    """For each set, bits that say whether an odd number of its n-grams fall there. Two sets' bitmaps differ in at most as many bits as the sets in n-grams."""
+    m = _width(n)
+    off = np.cumsum(m) - m
+    at = np.repeat(off, n) + (mix(grams ^ np.uint64(0x7F4A7C159E3779B9)) & np.repeat(m - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(m.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a : a + b].tobytes() for a, b in zip((off // 8).tolist(), (m // 8).tolist(), strict=True)]
+
+
+def difference(n: np.ndarray, bits, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, bits that differ) of those of the pairs (i, j) that may still link: by their sizes, and by their bitmaps. The wider bitmap is folded."""
+    need = -(-(n[i] + n[j]) * num // (num + den))
+    place = np.flatnonzero(np.minimum(n[i], n[j]) >= need)
+    i, j, most = i[place], j[place], (n[i] + n[j] - 2 * need)[place]
+    m = _width(n)
+    level = np.minimum(m[i], m[j])
+    got = np.zeros(len(place), np.int64)
+    for w in np.unique(level):
+        use = np.flatnonzero(level == w)
+        ids, inv = np.unique(np.concatenate([i[use], j[use]]), return_inverse=True)
+        inv = inv.reshape(2, -1)
+        words = int(w) // 64
+        b = np.empty((len(ids), words), np.uint64)
+        for k, x in enumerate(ids.tolist()):
+            b[k] = np.bitwise_xor.reduce(np.frombuffer(bits[x], np.uint64).reshape(-1, words), 0)
+        step = max(1, WORDS // words)
+        for lo in range(0, len(use), step):
+            part = slice(lo, lo + step)
+            got[use[part]] = np.bitwise_count(b[inv[0, part]] ^ b[inv[1, part]]).sum(1, dtype=np.int64)
+    keep = got <= most
+    return place[keep], got[keep]
+
+
+# ---- the order of columns ------------------------------------------------------------------------------------------
+
+
+def _counted(seen: np.ndarray) -> list[tuple[int, bytes]]:
+    """The sketch's slices that hold anything, packed."""
+    return [(k, pa.compress(x.astype(np.int64).tobytes(), codec="zstd", asbytes=True)) for k, x in enumerate(seen.reshape(-1, SLICE)) if x.any()]
+
+
+def _sum(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(SLICE, np.int64)
+    for x in pdf["counts"]:
+        out += np.frombuffer(pa.decompress(x, SLICE * 8, codec="zstd", asbytes=True), np.int64)
+    return out
+
+
+def levels(slices: DataFrame) -> np.ndarray:
+    """How frequent the n-grams of each counter are, in half octaves. SKETCH bytes reach the driver, whatever the data."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [pa.compress(_sum(pdf).tobytes(), codec="zstd", asbytes=True)]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "level": [np.ceil(2 * np.log2(np.maximum(_sum(pdf), 1))).astype(np.uint8).tobytes()]})
+
+    some = slices.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(32))).groupBy("slice", "part").applyInPandas(add, "slice int, counts binary")
+    out = np.zeros(SKETCH, np.uint8)
+    for r in some.groupBy("slice").applyInPandas(finish, "slice int, level binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["level"], np.uint8)
+    return out
+
+
+def firsts(n: np.ndarray, grams: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, n-grams) of the columns in which a partner must show."""
+    take = n - -(-n * num // den) + 1
+    key = (level[(grams & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (mix(grams) >> np.uint64(7))
+    end = np.cumsum(n)
+    out = []
+    for a, b, k in zip((end - n).tolist(), end.tolist(), take.tolist(), strict=True):
+        if b > a:
+            out.append(grams[a:b][np.argpartition(key[a:b], k - 1)[:k]] if k < b - a else grams[a:b])
+    return np.repeat(np.arange(len(n)), np.where(n > 0, np.minimum(take, n), 0)), np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+# ---- components ----------------------------------------------------------------------------------------------------
+
+
+def _forest(batches):
+    """A spanning forest of a task's own edges, as stars."""
+    for pdf in batches:
+        ids, inv = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+        u, v = inv.reshape(-1, 2).T
+        root = np.arange(len(ids))
+        while True:
+            least = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], least)
+            np.minimum.at(new, root[v], least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        yield pd.DataFrame({"u": ids[at], "v": ids[root[at]]})
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(node, root) for edges (a, b): each node of an edge and the smallest node that it hangs together with. Star contraction: about log(size)
-    rounds of grouped minima and joins; no node's neighbours are gathered in one place."""
-    e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), label)
-    before = None
-    while True:
+    """(node, root) for edges (a, b): each node of an edge and the smallest node that it hangs together with. Forests in each task first, then star contraction:
+    about log(size) rounds of grouped minima and joins, unless so few edges are left that they might be broadcast. A star's centre meets its rows in a broadcast, or,
+    beyond BROADCAST_ROWS, by meet()."""
+
+    def joined(rows: DataFrame, least: DataFrame) -> DataFrame:
+        least = settle(least, label)
+        return rows.join(F.broadcast(least), "u") if least.count() <= BROADCAST_ROWS else meet(settle(rows, label), least, "u")
+
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").mapInPandas(_forest, "u long, v long")
+    e, before = settle(e, label), None
+    small = e.count() <= BROADCAST_ROWS
+    if small:  # as few as may be broadcast: one task
+        e = e.coalesce(1).mapInPandas(lambda batches: _forest([pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *batches])]), "u long, v long")
+    while not small:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
+        e = settle(joined(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)  # large star
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u > v").distinct()  # small star
+        e = joined(e, least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u > v").distinct()  # small star
         e = settle(e, label)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _tile(left: list, right: list | None, num: int, den: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest, over the positions in left + right, of the links between left and right (or within left). Where parts are given, one for
-    each position, pairs within a part are passed over.
-
-    Columns come in order of the pairs they touch: light ones add pair by pair, heavy ones by dense blocks, and documents without a pair
-    that can still reach its bound leave the product on the way."""
-    a, all_ = len(left), left if right is None else left + right
-    first = 0 if right is None else a
-    n = np.array([len(x) for x in all_])
-    row = np.repeat(np.arange(len(all_)), n)
-    g, col = np.unique(np.concatenate(all_), return_inverse=True)
-    lid, rid = np.arange(a), np.arange(first, len(all_))
-    lrow, lcol = row[row < a], col[row < a]
-    rrow, rcol = row[row >= first] - first, col[row >= first]
-    nl, nr = n[:a, None], n[first:][None, :]
-    need = (-((-(nl + nr) * num) // (num + den))).astype(np.int32)  # overlap of at least num / (num + den) of both sizes
-    alive = np.minimum(nl, nr) >= need
-    if right is None:
-        alive &= np.triu(np.ones((a, a), bool), 1)
-    if parts is not None:
-        alive &= parts[:a, None] != parts[first:][None, :]
-
-    def narrow(keep, rows, cols, ids):
-        use = keep[rows]
-        return (np.cumsum(keep) - 1)[rows[use]], cols[use], ids[keep]
-
-    for _ in range(3):  # columns of one side alone count for nothing, and documents that depend on them leave
-        p, q = alive.any(1), alive.any(0)
-        lrow, lcol, lid = narrow(p, lrow, lcol, lid)
-        rrow, rcol, rid = narrow(q, rrow, rcol, rid)
-        alive, need = alive[p][:, q], need[p][:, q]
-        if not alive.size:
-            return []
-        pairs = np.bincount(lcol, minlength=len(g)) * np.bincount(rcol, minlength=len(g))
-        use = pairs > 0
-        lrow, lcol, rrow, rcol = lrow[use[lcol]], lcol[use[lcol]], rrow[use[rcol]], rcol[use[rcol]]
-        lrest, rrest = np.bincount(lrow, minlength=len(lid)), np.bincount(rrow, minlength=len(rid))
-        alive &= np.minimum(lrest[:, None], rrest[None, :]) >= need
-    order = np.argsort(pairs, kind="stable")
-    place = np.empty(len(g), np.int64)
-    place[order] = np.arange(len(g))
-    pairs = pairs[order]
-    upto = np.cumsum(pairs)
-    lrow, lcol = (x[o] for o in [np.argsort(place[lcol], kind="stable")] for x in (lrow, place[lcol]))
-    rrow, rcol = (x[o] for o in [np.argsort(place[rcol], kind="stable")] for x in (rrow, place[rcol]))
-    over = np.zeros(alive.shape, np.int32)
-    lo = int(np.searchsorted(pairs, 1))
-    while lo < len(g) and alive.any():
-        x, y = alive.shape
-        light = pairs[lo] * DENSE < x * y
-        if light:
-            hi = max(lo + 1, int(min(np.searchsorted(upto, upto[lo] - pairs[lo] + PAIRS), np.searchsorted(pairs, x * y / DENSE))))
-        else:
-            hi = min(lo + COLUMNS, len(g))
-        s, t = np.searchsorted(lcol, [lo, hi])
-        u, v = np.searchsorted(rcol, [lo, hi])
-        if light:
-            start = u + np.searchsorted(rcol[u:v], np.arange(lo, hi))
-            times = np.bincount(rcol[u:v] - lo, minlength=hi - lo)[lcol[s:t] - lo]
-            at = np.arange(times.sum()) + np.repeat(start[lcol[s:t] - lo] - (np.cumsum(times) - times), times)
-            over += np.bincount(np.repeat(lrow[s:t], times) * y + rrow[at], minlength=x * y).reshape(x, y).astype(np.int32)
-        else:
-            m, k = np.zeros((x, hi - lo), np.float32), np.zeros((y, hi - lo), np.float32)
-            m[lrow[s:t], lcol[s:t] - lo] = 1
-            k[rrow[u:v], rcol[u:v] - lo] = 1
-            over += (m @ k.T).astype(np.int32)
-        lrest = lrest - np.bincount(lrow[s:t], minlength=x)
-        rrest = rrest - np.bincount(rrow[u:v], minlength=y)
-        alive &= over + np.minimum(lrest[:, None], rrest[None, :]) >= need
-        p, q = alive.any(1), alive.any(0)
-        if p.sum() * q.sum() * 2 < x * y:
-            lrow, lcol, lid = narrow(p, lrow, lcol, lid)
-            rrow, rcol, rid = narrow(q, rrow, rcol, rid)
-            alive, need, over, lrest, rrest = alive[p][:, q], need[p][:, q], over[p][:, q], lrest[p], rrest[q]
-        lo = hi
-    parent = list(range(len(all_)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    return settle(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), label)
+
+
+# ---- the product ---------------------------------------------------------------------------------------------------
+
+
+def _overlaps(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links among the pairs (pivot, c): each pivot's columns by the incidences of all that meet it. A pivot's own row is marked."""
+    a, b = [], []
+    for (pivot, _), part in pdf.groupby(["pivot", "chunk"], sort=False):
+        own = part["own"].to_numpy()
+        g = np.frombuffer(part["grams"][own].iloc[0], np.uint64)
+        rest = [np.frombuffer(x, np.uint64) for x in part["grams"][~own]]
+        n = np.array([len(x) for x in rest])
+        every = np.concatenate(rest)
+        at = np.minimum(np.searchsorted(g, every), len(g) - 1)
+        over = np.bincount(np.repeat(np.arange(len(n)), n), weights=g[at] == every, minlength=len(n))
+        ids = part["c"].to_numpy()[~own][over * den >= num * (n + len(g) - over)]
+        a.append(np.full(len(ids), pivot, np.int64))
+        b.append(ids)
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _linked(base: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (pivot, c) that link, by their overlap over all columns. A pivot of many pairs is dealt in chunks."""
+    size = pairs.count()
+    chunk = max(64, size // 512)
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("c"), F.lit(chunk)))
+    need = pairs.select("c").unionByName(pairs.select(F.col("pivot").alias("c"))).distinct().join(classes.select("c", "th"), "c")
+    need = settle(need.select("c", "th"), "jaccard-need")
+    few = F.broadcast if need.count() <= BROADCAST_ROWS else (lambda x: x)
 
-    out = []
-    for i, j in np.argwhere(alive & (over >= need)):
-        i, j = int(lid[i]), int(rid[j])
-        x, y = root(i), root(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+    def whole(batches):
+        for pdf in batches:
+            ids = pdf["c"].to_numpy()
+            for a, b, n, g in sets(pdf["text"], width):
+                yield pd.DataFrame({"c": ids[a:b], "grams": [x.tobytes() for x in np.split(g, np.cumsum(n)[:-1])]})
+
+    held = base.select("th", "text").join(few(need), "th").select("c", "text").mapInPandas(whole, "c long, grams binary")
+    held = settle(held.groupBy("c").agg(F.first("grams").alias("grams")), "jaccard-grams")
+    own = pairs.select("pivot", "chunk").distinct().join(held.withColumnRenamed("c", "pivot"), "pivot").select("pivot", "chunk", F.col("pivot").alias("c"), F.lit(True).alias("own"), "grams")
+    both = own.unionByName(pairs.join(held, "c").select("pivot", "chunk", "c", F.lit(False).alias("own"), "grams"))
+    packs = max(1, size // PAIRS)
+    out = both.groupBy(F.pmod(F.xxhash64("pivot", "chunk"), F.lit(packs)).alias("pack")).applyInPandas(lambda pdf: _overlaps(pdf, num, den), "a long, b long")
+    return settle(out, "jaccard-links")
+
+
+def _stars(cells: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Each row of a column with the column's first row, where sizes and bitmaps allow a link."""
+    pairs = settle(cells.filter("c > low").select("c", F.col("low").alias("pivot")).distinct(), "jaccard-stars")
+    pairs = meet(pairs, rows.select(F.col("c").alias("pivot"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "pivot", many=2000)
+
+    def screen(batches):
+        for pdf in batches:
+            k = len(pdf)
+            n = np.concatenate([pdf["n"], pdf["n2"]]).astype(np.int64)
+            keep, _ = difference(n, [*pdf["bits"], *pdf["bits2"]], np.arange(k), np.arange(k) + k, num, den)
+            yield pdf[["pivot", "c"]].iloc[keep]
+
+    return settle(pairs.join(rows, "c").select("pivot", "c", "n", "bits", "n2", "bits2").mapInPandas(screen, "pivot long, c long"), "jaccard-pairs")
+
+
+def _crossed(c: np.ndarray, root: np.ndarray, n: np.ndarray, bits, i: np.ndarray, j: np.ndarray, num: int, den: int, best: bool) -> pd.DataFrame:
+    """Of the pairs (i, j) of different components, those that may link; with `best`, the closest of each row and component."""
+    place, apart = difference(n, bits, i, j, num, den)
+    i, j = i[place], j[place]
+    if best and len(i):
+        order = np.lexsort((apart, root[j], i))
+        i, j = i[order], j[order]
+        first = np.concatenate([[True], (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])])
+        i, j = i[first], j[first]
+    return pd.DataFrame({"pivot": np.minimum(c[i], c[j]), "c": np.maximum(c[i], c[j])})
+
+
+def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs of rows that share a column, are of different components and may link. Columns of two rows, which have been looked at as stars, are not among the cells."""
+    at = cells.select("g", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
+    at = settle(at, "jaccard-cells")
+    open_ = settle(at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g", "k"), "jaccard-open")
+    at = settle(meet(at, open_, "g").join(rows, "c"), "jaccard-open-cells")
+    packs = max(1, at.count() // 8192)
+
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, root, n = (pdf[x].to_numpy() for x in ("c", "root", "n"))
+        ids, first, own = np.unique(c, return_index=True, return_inverse=True)
+        met = []
+        for x in pdf.groupby("g", sort=False).indices.values():
+            i, j = np.triu_indices(len(x), 1)
+            i, j = own[x[i]], own[x[j]]
+            use = root[first[i]] != root[first[j]]
+            met.append(np.unique(np.minimum(i, j)[use] * len(ids) + np.maximum(i, j)[use]))
+        met = np.unique(np.concatenate(met))
+        return _crossed(ids, root[first], n[first], [pdf["bits"].iat[k] for k in first], met // len(ids), met % len(ids), num, den, best)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, root, n, side = (pdf[x].to_numpy() for x in ("c", "root", "n", "side"))
+        left, right, bits = np.flatnonzero(side == 0), np.flatnonzero(side == 1), pdf["bits"].tolist()
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        use = root[i] != root[j]
+        return _crossed(c, root, n, bits, i[use], j[use], num, den, best)
+
+    form = "pivot long, c long"
+    pairs = at.filter(F.col("k") <= TILE).withColumn("pack", F.pmod(F.xxhash64("g"), F.lit(packs))).select("pack", "g", "c", "root", "n", "bits").groupBy("pack").applyInPandas(small, form)
+    large = at.filter(F.col("k") > TILE)
+    if large.take(1):
+        top = large.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
+        large = meet(settle(large.withColumn("blocks", F.ceil(F.col("k") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "jaccard-large"), top, "g")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        sides = large.filter("root <> top").select("g", F.col("own").alias("p"), every.alias("q"), F.lit(0).alias("side"), "c", "root", "n", "bits")
+        sides = sides.unionByName(large.select("g", every.alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "c", "root", "n", "bits"))
+        pairs = pairs.unionByName(sides.groupBy("g", "p", "q").applyInPandas(tile, form))
+    return settle(pairs.distinct(), "jaccard-pairs")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """A row for each row of docs: key (whole number), n (size of its set of n-grams of `width` words), rep (the smallest key with the
-    same set) and component (the smallest key reachable by links of Jaccard similarity num/den or more, itself included).
+    """A row for each row of docs: key, th (hash of its text), n (size of its set of n-grams of `width` words), rep (the smallest key with the same set), component (the
+    smallest key reachable by links of Jaccard similarity num/den or more, itself included) and cluster (a number that such rows alone have in common).
 
     Words are what stands between white space, A-Z lower-cased. A text of fewer words than `width` has its whole sequence as one n-gram; a null or
-    empty text has none and links with nothing. Rows without a key take part and get what their class gets. Equal rows stay separate rows with the same
-    result. Every text counts as a whole, however long, and no group, however large, is cut.
+    empty text has none, links with nothing and has no cluster. Keys may be of any type that has an order. Rows without a key take part as all others; rep and component are null only
+    where no row of them has a key. Equal rows stay separate rows with the same result. Every text counts as a whole, however long, and no group, however large, is cut.
     """
-    plan = Plan(num, den)
-    base = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[key]
+    base = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
     def digest(batches):
+        seen = np.zeros(SKETCH, np.uint32)
         for pdf in batches:
             for a, b, n, g in sets(pdf["text"], width):
-                yield pd.DataFrame({"key": pdf["key"].iloc[a:b].to_numpy(), "n": n, "c": _class_ids(n, g)})
-
-    rows = settle(base.mapInPandas(digest, "key long, n long, c long"), "jaccard-sets")
-    classes = settle(rows.filter("n > 0 and key is not null").groupBy("c").agg(F.min("key").alias("rep"), F.min("n").alias("n")), "jaccard-classes")
-
-    def keyed(batches):
+                np.add.at(seen, (g & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                yield pd.DataFrame({"key": pdf["key"].iloc[a:b].to_numpy(), "th": pdf["th"].iloc[a:b].to_numpy(), "n": n, "c": _class_ids(n, g), "bits": bitmaps(n, g), "slice": None, "counts": None})
+        for k, x in _counted(seen):
+            yield pd.DataFrame({"key": [None], "th": None, "n": None, "c": None, "bits": None, "slice": k, "counts": [x]})
+
+    read = settle(base.mapInPandas(digest, "key string, th long, n long, c long, bits binary, slice int, counts binary"), "jaccard-sets")
+    rows = read.filter("slice is null").select(F.col("key").cast(kind).alias("key"), "th", "n", "c")
+    classes = read.filter("slice is null and n > 0").groupBy("c").agg(F.min(F.col("key").cast(kind)).alias("rep"), F.min("th").alias("th"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    classes = settle(classes, "jaccard-classes")
+    order = levels(read.filter("slice is not null").select("slice", "counts"))
+    level = spark.sparkContext.broadcast(order.tobytes())
+    # counters of more n-grams than this are hot: no other column has more rows
+    hot = int(np.ceil(2 * np.log2(max(common.HOT, (rows.agg(F.sum("n")).first()[0] or 0) // common.MANY))))
+
+    def columns(batches):
+        order = np.frombuffer(level.value, np.uint8)
         for pdf in batches:
             for _, _, n, g in sets(pdf["text"], width):
                 c = _class_ids(n, g)
-                for d, k in plan.keys(n, g):
-                    yield pd.DataFrame({"k": k.view(np.int64), "c": c[d]})
-
-    met = base.filter("key is not null").select("text").mapInPandas(keyed, "k long, c long")
-    shared = settle(met.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("k", "low"), "jaccard-shared")
-    free(rows.sparkSession)
-    edges = settle(met.join(shared, "k").filter("c > low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct(), "jaccard-edges")
-    free(rows.sparkSession)
-    group = settle(components(edges, "jaccard-met").join(classes, F.col("node") == F.col("c")).select(F.col("rep").alias("key"), "root"), "jaccard-groups")
-
-    def whole(batches):
-        for pdf in batches:
-            ids, roots = pdf["key"].to_numpy(), pdf["root"].to_numpy()
-            for a, b, n, g in sets(pdf["text"], width):
-                yield pd.DataFrame({"key": ids[a:b], "root": roots[a:b], "c": _class_ids(n, g), "n": n, "grams": [x.tobytes() for x in np.split(g, np.cumsum(n)[:-1])]})
-
-    few = group.count() <= BROADCAST_ROWS
-    members = base.join(F.broadcast(group) if few else group.hint("shuffle_hash"), "key").mapInPandas(whole, "key long, root long, c long, n long, grams binary")
-    # a key may stand in several rows: only the text of its class is meant
-    members = members.join(F.broadcast(classes.join(group, classes["rep"] == group["key"]).select("c")) if few else classes.select("c"), "c", "left_semi") if rows.groupBy("key").count().filter("count > 1").take(1) else members
-    held = settle(members.drop("c"), "jaccard-members")
-    free(rows.sparkSession)
-    links = _links(held, num, den)
-    roots = components(links, "jaccard-links").withColumnsRenamed({"node": "rep", "root": "component"})
-    named = classes.drop("n").join(roots, "rep", "left").select("c", "rep", F.coalesce("component", "rep").alias("component"))
-    some = rows.filter("n > 0").join(named, "c", "left").drop("c")
-    none = rows.filter("n = 0").select("key", "n", F.col("key").alias("rep"), F.col("key").alias("component"))
-    return some.select("key", "n", "rep", "component").unionByName(none)
-
-
-def _class_ids(n: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set, the same for equal sets and independent of where they stand."""
-    edge = np.concatenate([[0], np.cumsum(n)])
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x51ED270B7A3C1F55)), dtype=np.uint64)])
-    return mix((run[edge[1:]] - run[edge[:-1]]) + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
-
-
-def _product(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links within a block (side 0 alone), or between the sides of a tile."""
-    side = pdf["side"].to_numpy()
-    ids = pdf["key"].to_numpy()
-    grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    where = np.concatenate([left, right])
-    got: list[tuple[int, int]] = []
-    if not len(right) and side.max(initial=0) == 0 and not pdf["tile"].iat[0]:
-        got = _tile([grams[i] for i in left], None, num, den)
-    elif len(left) and len(right):
-        got = _tile([grams[i] for i in left], [grams[i] for i in right], num, den, pdf["part"].to_numpy()[where])
-    return pd.DataFrame({"a": [int(ids[where[i]]) for i, _ in got], "b": [int(ids[where[j]]) for _, j in got]}, dtype="int64")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """rows with b: blocks of a group, in order of size, of SIDE documents or GRAMS n-grams at most, whichever is less. Places come from the counts of each
-    size, and among equal sizes from a hash."""
-    weight = F.greatest(F.lit(1.0 / SIDE), F.col("n") / float(GRAMS))
-    sizes = rows.groupBy("root", "n").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # a row for each size
-    start = sizes.withColumn("start", F.coalesce(F.sum(F.col("k") * weight).over(w), F.lit(0.0)))
-    return rows.join(start, ["root", "n"]).withColumn("b", F.floor(F.col("start") + F.pmod(F.xxhash64("key"), F.col("k")) * weight).cast("int")).drop("k", "start")
-
-
-def _links(held: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect what hangs together in each group. A group that fits a block is one product. A larger one is dealt into blocks at random, twice,
-    which joins what is dense; then every document outside the group's largest component meets all documents of a size that allows a link, in
-    tiles, so that no link between components is missed."""
-    m = held.groupBy("root").agg(F.count("*").alias("m"))
-    packs = max(1, held.count() // 256)
-
-    def dealt(rows: DataFrame, salt: int) -> DataFrame:
-        b = F.when(F.col("m") <= TILE, 0).otherwise(F.pmod(F.xxhash64("key", F.lit(salt)), F.ceil(F.col("m") * 4 / (3 * TILE))))
-        # blocks of small groups share a call
-        return rows.join(m, "root").withColumn("b", b.cast("int")).withColumn("pack", F.when(F.col("m") <= TILE, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", "b")))
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_product(part.assign(side=0, tile=False), num, den) for _, part in pdf.groupby(["root", "b"], sort=False)] or [pd.DataFrame({"a": [], "b": []}, dtype="int64")])
-
-    def in_blocks(rows: DataFrame, salt: int) -> DataFrame:
-        return dealt(rows, salt).select("pack", "root", "b", "key", "grams").groupBy("pack").applyInPandas(whole, "a long, b long")
-
-    links = settle(in_blocks(held, 1), "jaccard-blocks")
-    free(held.sparkSession)
-    large = held.join(m.filter(F.col("m") > TILE), "root").drop("m")
-    if not large.take(1):
-        return links
-    large = settle(large, "jaccard-large")
-    links = links.unionByName(settle(in_blocks(large, 2), "jaccard-blocks"))
-    part = components(links, "jaccard-parts").select(F.col("node").alias("key"), F.col("root").alias("part"))
-    named = settle(large.join(part, "key", "left").withColumn("part", F.coalesce("part", "key")), "jaccard-named")
-    free(held.sparkSession)
-    top = named.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("top"))
-    every = _blocks(named)
-    other = _blocks(named.join(top, "root").filter("part <> top").drop("top"))
-    span = lambda df, x: df.groupBy("root", "b").agg(F.min("n").alias(f"{x}lo"), F.max("n").alias(f"{x}hi")).withColumnRenamed("b", x)
-    met = span(other, "p").join(span(every, "q"), "root").filter((F.col("phi") * den >= F.col("qlo") * num) & (F.col("qhi") * den >= F.col("plo") * num)).select("root", "p", "q")
-    met = settle(met, "jaccard-tiles")
-    sides = other.select("root", F.col("b").alias("p"), "key", "grams", "part", F.lit(0).alias("side")).join(met, ["root", "p"])
-    sides = sides.unionByName(every.select("root", F.col("b").alias("q"), "key", "grams", "part", F.lit(1).alias("side")).join(met, ["root", "q"]))
-    tiles = sides.withColumn("tile", F.lit(True)).groupBy("root", "p", "q").applyInPandas(lambda pdf: _product(pdf, num, den), "a long, b long")
-    return links.unionByName(settle(tiles.filter("a <> b"), "jaccard-spans"))
+                at, g = firsts(n, g, order, num, den)
+                yield pd.DataFrame({"g": g.view(np.int64), "c": c[at], "hot": order[(g & np.uint64(SKETCH - 1)).astype(np.int64)] >= hot})
+
+    cells = settle(base.select("text").mapInPandas(columns, "g long, c long, hot boolean"), "jaccard-columns")
+    column = Window.partitionBy("g")
+    cold = cells.filter("not hot").select("g", "c").withColumns({"low": F.min("c").over(column), "high": F.max("c").over(column)}).filter("low < high")
+    # more: the column has a third row
+    cold = cold.withColumn("more", F.max((F.col("c") > F.col("low")) & (F.col("c") < F.col("high"))).over(column)).drop("high")
+    if order.max(initial=0) >= hot:  # hot columns are summed where they are, and what they have in common meets them in a broadcast
+        cells = cells.filter("hot").select("g", "c").distinct()
+        shared = settle(cells.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("low < high").select("g", "low", F.expr("k > 2").alias("more")), "jaccard-shared")
+        cold = cold.unionByName(cells.join(F.broadcast(shared), "g") if shared.count() <= BROADCAST_ROWS else meet(settle(cells, "jaccard-hot"), shared, "g"))
+    cells = settle(cold.distinct(), "jaccard-cells")
+    sides = classes.select("c", "n", "bits")
+    links = _linked(base, _stars(cells, sides, num, den), classes, width, num, den)
+    roots = components(links, "jaccard-roots")
+    cells = cells.filter("more").select("g", "c")
+    for best in (True, False):
+        pairs = _rest(cells, roots, sides, num, den, best)
+        if not pairs.take(1):
+            break
+        more = _linked(base, pairs, classes, width, num, den)
+        links = links.unionByName(more)
+        roots = components(links, "jaccard-roots")
+        # where the closest of a row and a component linked, the others of the two are of one component as well; open are columns of rows of which one did not
+        failed = pairs.join(more.select(F.col("a").alias("pivot"), F.col("b").alias("c")), ["pivot", "c"], "left_anti")
+        failed = settle(failed.select("c").unionByName(failed.select(F.col("pivot").alias("c"))).distinct(), "jaccard-failed")
+        few = failed.count()
+        if not few:
+            break
+        left = cells.join(F.broadcast(failed) if few <= BROADCAST_ROWS else failed, "c", "left_semi").select("g").distinct()
+        left = settle(left, "jaccard-left")
+        cells = cells.join(F.broadcast(left) if left.count() <= BROADCAST_ROWS else left, "g", "left_semi")
+
+    found = settle(roots.join(classes.select(F.col("c").alias("node"), "rep"), "node"), "jaccard-found")
+    least = found.groupBy("root").agg(F.min("rep").alias("component"))
+    found = meet(found, least, "root").select(F.col("node").alias("c"), "component", F.col("root").alias("cluster"))
+    named = classes.select("c", "rep").join(found, "c", "left").select("c", "rep", F.when(F.col("cluster").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"), F.coalesce("cluster", "c").alias("cluster"))
+    named = settle(named, "jaccard-named")
+    some = meet(settle(rows.filter("n > 0"), "jaccard-whole"), named, "c").select("key", "th", "n", "rep", "component", "cluster")
+    none = rows.filter("n = 0").select("key", "th", "n", F.col("key").alias("rep"), F.col("key").alias("component"), F.lit(None).cast("long").alias("cluster"))
+    return some.unionByName(none)
