@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard, langid, lm, mixing, secrets, sharding, topk, urls
-from .common import table
+from .common import own_folder, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    paths = secrets.scan_into(table(spark, sf_dir, "documents").select("doc_id", "text"), own_folder(spark, "secrets-ledger"))
     return secrets.digests(paths).withColumnRenamed("path", "doc_id")
 
 
@@ -49,7 +49,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+    return out.drop("th").withColumnsRenamed({"key": "doc_id", "item": "item_id"})
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, settle
+from .common import meet, settle
 
 FOUND = "array<struct<start: int, k: int, kind: string, end: int>>"
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 250_000
 LEDGER = "blob string, kind string, version int, spans array<struct<start: int, end: int>>"
 
 # The rules' patterns. kind, version, pattern, least length (of the group, else of the match), group, strings of which a
@@ -47,53 +49,67 @@ def find(text: str, rule: tuple) -> list[tuple[int, int]]:
     return [m.span() for m in re.compile(pattern, flags).finditer(text) if m.end(group) - m.start(group) >= least]
 
 
+def _unseen(rows: DataFrame, files: DataFrame, ledger: DataFrame | None, rules: tuple) -> DataFrame:
+    """(blob, text, kinds): the blobs of which rules' present versions are not in the ledger, with these rules' kinds. Texts stay where they are read, unless the blobs that stand in
+    several rows or in the ledger are too many to broadcast."""
+    kinds = F.array(*[F.lit(k) for k, *_ in rules])
+    place = F.struct("path")
+    skip = rows.groupBy("blob").agg(F.count("*").alias("k"), F.min(place).alias("first"))
+    if ledger is None:
+        skip = skip.withColumn("done", F.lit(None).cast("array<string>"))
+    else:
+        now = F.create_map(*[F.lit(x) for k, v, *_ in rules for x in (k, v)])
+        done = ledger.filter(now[F.col("kind")] == F.col("version")).groupBy("blob").agg(F.collect_set("kind").alias("done"))  # as many as there are rules
+        skip = skip.join(done, "blob", "left")
+    todo = F.array_except(kinds, F.coalesce("done", F.array().cast("array<string>")))
+    texts = files.withColumn("blob", F.sha2("text", 256))
+    few = settle(skip.filter("k > 1 or done is not null").select("blob", "first", "done"), "secrets-skip")
+    if few.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(few), "blob", "left").filter(F.col("first").isNull() | place.eqNullSafe(F.col("first")))
+        return texts.select("blob", "text", todo.alias("kinds")).filter(F.size("kinds") > 0)
+    wanted = skip.select(F.col("blob").alias("b"), F.col("first.path").alias("p"), todo.alias("kinds")).filter(F.size("kinds") > 0)
+    return texts.join(wanted, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p"))).select("blob", "text", "kinds")
+
+
 def scan(files: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple = RULES) -> tuple[DataFrame, DataFrame]:
     """(paths, new): paths has a row for each row of files: path, blob, found (array of kind, start, end by start, then kind as listed);
     new holds the ledger's rows for the pairs of blob and rule version that were not in `ledger` and have been scanned now.
 
-    A null text counts as empty. Rows of one path are its versions. A rule whose version is raised is scanned anew and its older findings are not
-    reported. Equal texts, however many, are scanned once; an empty table or ledger is fine; other columns are ignored.
+    A null text counts as empty; null paths are paths like others. Rows of one path are its versions. A rule whose version is raised is scanned anew and its older findings are not
+    reported. Equal texts, however many, are scanned once, as a whole; an empty table or ledger is fine; other columns are ignored.
     """
-    spark = files.sparkSession
-    rows = files.select(F.col(f"`{path}`").alias("path"), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("blob"))
-    rows = settle(rows, "secrets-paths")
-    blobs = rows.groupBy("blob").agg(F.min("path").alias("path"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v, *_ in rules])
-    seen = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
-    if ledger is not None:
-        done = seen.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
-        blobs = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<struct<kind:string,version:int>>"))))
-    else:
-        blobs = blobs.withColumn("todo", wanted)
-    todo = blobs.filter(F.size("todo") > 0).select("blob", "path", F.col("todo.kind").alias("kinds"))
-    texts = files.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    texts = texts.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))).join(todo.withColumn("path", F.coalesce(F.col("path").cast("string"), F.lit(""))).hint("shuffle_hash"), ["path", "blob"]).select("blob", "text", "kinds")
-    version = {k: v for k, v, *_ in rules}
-    order = {k: i for i, (k, *_) in enumerate(rules)}
+    files = files.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = settle(files.select("path", F.sha2("text", 256).alias("blob")), "secrets-paths")
+    version = F.create_map(*[F.lit(x) for k, v, *_ in rules for x in (k, v)])
+    rank = F.create_map(*[F.lit(x) for i, (k, *_) in enumerate(rules) for x in (k, i)])
 
     def search(batches):
         for pdf in batches:
             out = []
             for blob, text, kinds in zip(pdf["blob"], pdf["text"], pdf["kinds"], strict=True):
-                got = sorted((s, order[r[0]], r[0], e) for r in rules if r[0] in kinds for s, e in find(text, r))
-                out.append((blob, list(kinds), [dict(zip(("start", "k", "kind", "end"), x, strict=True)) for x in got]))
-            yield pd.DataFrame(out, columns=["blob", "kinds", "found"])
+                out += [(blob, r[0], r[1], [{"start": s, "end": e} for s, e in find(text, r)]) for r in rules if r[0] in kinds]
+            yield pd.DataFrame(out, columns=["blob", "kind", "version", "spans"])
 
-    scanned = texts.mapInPandas(search, f"blob string, kinds array<string>, found {FOUND}")
+    new = _unseen(rows, files, ledger, rules).mapInPandas(search, LEDGER)
     if rows.groupBy("path", "blob").count().filter("count > 1").take(1):  # a path holds one blob in several rows, with equal findings
-        scanned = scanned.dropDuplicates(["blob"])
-    scanned = settle(scanned, "secrets-ledger")
-    free(spark)
-    place = F.create_map(*[F.lit(x) for k, v in version.items() for x in (k, v)])
-    new = scanned.select("blob", "found", F.explode("kinds").alias("kind"))
-    new = new.select("blob", "kind", place[F.col("kind")].alias("version"), F.transform(F.filter("found", lambda x: x["kind"] == F.col("kind")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
-    hits = scanned.filter(F.size("found") > 0).select("blob", "found")
-    if ledger is not None:
-        rank = F.create_map(*[F.lit(x) for k, i in order.items() for x in (k, i)])
-        old = seen.filter((place[F.col("kind")] == F.col("version")) & (F.size("spans") > 0))
-        old = old.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("k"), F.col("kind").alias("kind"), s["end"].alias("end"))).alias("found"))
-        hits = hits.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    return rows.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), new
+        new = new.dropDuplicates(["blob", "kind"])
+    new = settle(new, "secrets-new")
+    every = new if ledger is None else new.unionByName(ledger.filter(version[F.col("kind")] == F.col("version")).select(new.columns))
+    found = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("k"), F.col("kind").alias("kind"), s["end"].alias("end")))
+    hits = every.filter(F.size("spans") > 0).select("blob", found.alias("found")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))  # a row for each rule
+    hits = settle(hits, "secrets-hits")
+    out = rows.join(F.broadcast(hits), "blob", "left") if hits.count() <= BROADCAST_ROWS else meet(rows, hits, "blob", how="left")
+    return out.select("path", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")), new
+
+
+def scan_into(files: DataFrame, where: str, **how) -> DataFrame:
+    """scan()'s paths, with the ledger as a table in the folder `where`: read if it is there, and added to. A scan that fails adds nothing, or what it has found in full."""
+    spark = files.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    paths, new = scan(files, spark.read.schema(LEDGER).parquet(where) if there else None, **how)
+    new.write.mode("append").parquet(where)
+    return paths
 
 
 def digests(paths: DataFrame, base: tuple[str, ...] = KINDS[:3]) -> DataFrame:
