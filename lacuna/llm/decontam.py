@@ -52,16 +52,16 @@ def _seeds(rows: DataFrame, h: Column) -> DataFrame:
 
 
 def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, words, matched, first): a row for each text and item that overlap. words: the item's number of words; matched: equal words in the
+    """(key, th, item, words, matched, first): a row for each text and item that overlap. th: hash of the text; words: the item's number of words; matched: equal words in the
     best-scoring stretch (1 for an equal word, -2 for another); first: the word of the text at which the item would begin.
 
     They overlap if matched is OVERLAP or more, or, for an item too short for that, SHARE of its words; items under LEAST words never do.
-    Words are what stands between white space, A-Z lower-cased; null and empty texts have none. Equal items are sought once and all reported; rows of one key
-    and different texts are sought each. Empty tables give an empty result; other columns are ignored.
+    Words are what stands between white space, A-Z lower-cased; null and empty texts have none. Items of equal words are sought once and all reported, as are different texts under one item id; rows of
+    one key and different texts are sought and reported each, and so are null keys and null item ids. Equal rows are reported once. Empty tables give an empty result; other columns are ignored.
     """
     items = bench.select(F.col(f"`{item}`").alias("item"), word_array(F.col(f"`{item_text}`")).alias("q")).filter(F.size("q") >= LEAST)
-    items = settle(items, "leak-items")
-    each = items.groupBy("q").agg(F.min("item").alias("rep"))  # equal items are one
+    items = settle(items.withColumn("rep", F.xxhash64("q")).distinct(), "leak-items")
+    each = items.select("q", "rep").distinct()  # equal items are one
     seeds = settle(_seeds(each, F.col("q")).select("k", F.col("i").alias("o"), "rep"), "leak-seeds")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     spots = _seeds(rows.select("key", F.xxhash64("t").alias("th"), "t"), word_array(F.col("t")))
@@ -69,9 +69,15 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
     hits = spots.select("key", "th", "k", "i").join(small(seeds), "k").select("key", "th", "rep", (F.col("i") - F.col("o")).alias("first"))
     hits = hits.groupBy("key", "th", "rep").agg(F.collect_set("first").alias("firsts"))  # no more than a text has words
     hits = settle(hits, "leak-hits")
-    small = F.broadcast if hits.count() <= BROADCAST_SEEDS else (lambda x: x)
-    again = rows.withColumn("th", F.xxhash64("t")).join(small(hits), ["key", "th"]).withColumn("h", word_array(F.col("t")))
-    found = again.join(small(each) if small is F.broadcast else each, "rep").select("key", "h", "q", "rep", F.explode("firsts").alias("first"))
+
+    def sized(df: DataFrame, numbers: str) -> DataFrame:
+        """df, to be broadcast if all its numbers are few."""
+        size = df.agg(F.coalesce(F.sum(F.size(numbers) + 4), F.lit(0))).first()[0]
+        return F.broadcast(df) if size <= 8 * BROADCAST_SEEDS else df
+
+    where = sized(hits.select(F.col("key").alias("key2"), F.col("th").alias("th2"), "rep", "firsts"), "firsts")
+    again = rows.withColumn("th", F.xxhash64("t")).join(where, (F.col("th") == F.col("th2")) & F.col("key").eqNullSafe(F.col("key2"))).withColumn("h", word_array(F.col("t")))
+    found = again.join(sized(each, "q"), "rep").select("key", "th", "h", "q", "rep", F.explode("firsts").alias("first"))
     same = F.transform("q", lambda w, j: F.coalesce(F.get("h", F.col("first") + j) == w, F.lit(False)))
     state = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("top"), F.lit(0).alias("matched"))
 
@@ -80,17 +86,16 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
         n = F.when(eq, a["n"] + 1).when(a["s"] > 2, a["n"]).otherwise(0)
         return F.struct(s.alias("s"), n.alias("n"), F.greatest(a["top"], s).alias("top"), F.when(s > a["top"], n).otherwise(a["matched"]).alias("matched"))
 
-    scored = found.select("key", "rep", "first", F.size("q").alias("words"), F.aggregate(same, state, step)["matched"].alias("matched"))
+    scored = found.select("key", "th", "rep", "first", F.size("q").alias("words"), F.aggregate(same, state, step)["matched"].alias("matched"))
     scored = scored.filter(F.col("matched") >= F.least(F.lit(OVERLAP), F.ceil(F.col("words") * SHARE)))
-    best = scored.groupBy("key", "rep").agg(F.max("words").alias("words"), F.max(F.struct("matched", (-F.col("first")).alias("f"))).alias("b"))
-    named = items.join(each, "q").select("item", "rep")
-    return best.join(named, "rep").select("key", "item", "words", F.col("b.matched").alias("matched"), (-F.col("b.f")).alias("first"))
+    best = scored.groupBy("key", "th", "rep").agg(F.max("words").alias("words"), F.max(F.struct("matched", (-F.col("first")).alias("f"))).alias("b"))
+    return best.join(items.select("item", "rep"), "rep").select("key", "th", "item", "words", F.col("b.matched").alias("matched"), (-F.col("b.f")).alias("first"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the rows that overlap with an item; their columns. Rows of a key of which one text overlaps all go."""
-    found = leaks(docs, bench, key, text, **how).select(F.col("key").alias("__k")).distinct()
+    """docs without the rows whose text overlaps with an item; their columns. A row goes for its own text, never for its key, which may be null or repeated."""
+    found = leaks(docs, bench, key, text, **how).select(F.col("key").alias("__k"), F.col("th").alias("__th")).distinct()
     found = settle(found, "leak-keys")
     if found.count() <= BROADCAST_SEEDS:
         found = F.broadcast(found)
-    return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left_anti")
+    return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__th")), "left_anti")
