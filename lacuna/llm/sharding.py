@@ -32,8 +32,9 @@ def shard(docs: DataFrame, key: list[str] | None = None, text: str = "text", lim
 
     shard: the bucket's hash prefix in binary; the empty string if one bucket holds all. Buckets split on one more bit until
     their texts' UTF-8 bytes fit `limit`; a bucket of one row is final however large, as a text is never cut. Null and empty texts have 0 bytes, and null
-    keys share one hash. Rows of one key whose bits run out are split on by content, and equal rows by their ordinal (their
-    shard reads `prefix/prefix`), so that no key, however hot, overflows a shard. An empty table gives an empty result. Columns of
+    keys share one hash. Rows of a key whose bits run out have no shard of their own: with those of other such keys they are split on by content, and equal
+    rows by their ordinal, into shards that read `+/prefix`, so that no key, however hot, overflows a shard. A key whose bits lead to no other shard is
+    in those. An empty table gives an empty result. Columns of
     docs with one of the four names are replaced; all others stay.
     """
     key = key or ["doc_id"]
@@ -122,10 +123,17 @@ def directory(shards: DataFrame) -> DataFrame:
 
 
 #: The buckets in DuckDB's SQL: sums at every depth, then the shortest prefix that fits.
-ORACLE = f"""
+_ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, 15))::BIGINT AS h FROM documents),
-n AS (SELECT k, h >> ({BITS} - k) AS p, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM d, generate_series(0, 30) g(k) GROUP BY ALL),
-i AS (SELECT doc_id, n_bytes, h, min(k) AS k FROM d, n WHERE h >> ({BITS} - k) = p AND (b <= {LIMIT} OR n = 1) GROUP BY ALL)
+n AS (SELECT k, h >> (60 - k) AS p, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM d, generate_series(0, 60) g(k) GROUP BY ALL),
+i AS (SELECT doc_id, n_bytes, h, min(k) AS k FROM d, n WHERE h >> (60 - k) = p AND (b <= %d OR n = 1) GROUP BY ALL)
 SELECT doc_id, n_bytes, CASE WHEN k = 0 THEN '' ELSE right(lpad(bin(n.p), 64, '0'), k::INT) END AS shard, k::INT AS shard_depth, n.b AS shard_bytes, n.n AS shard_docs
-FROM i JOIN n USING (k) WHERE h >> ({BITS} - k) = n.p
+FROM i JOIN n USING (k) WHERE h >> (60 - k) = n.p
 """
+
+
+def oracle(limit: int) -> str:
+    return _ORACLE % limit
+
+
+ORACLE = oracle(LIMIT)
