@@ -1,7 +1,7 @@
 """URL filters: rules on hosts and paths, and trust and distrust that spread over the graph of hosts.
 
 Trust is personalised PageRank from the hosts of allowed pages along links; distrust is the same from the hosts of blocked pages against the links'
-direction. Both run over host edges in Spark, counted once per pair of hosts, for a fixed number of rounds.
+direction. Both run over host edges in Spark, counted once per pair of hosts, until they stand still.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, settle
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, LIFT = 0.85, 16, 1.0
+DAMPING, LIFT = 0.85, 1.0
+#: Propagation ends when the last rounds have moved less than CLOSE of all rank, or after ROUNDS.
+CLOSE, ROUNDS = 1e-3, 64
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -45,11 +47,11 @@ def edges(pages: DataFrame, host_: str = "host", html: str = "html") -> DataFram
     return both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """(host, trust, distrust), each summing to 1, for seeds (host, trust, distrust; weights) and links (src, dst, w).
 
     What reaches a host without onward edges is given back to the seeds: leaving it out and scaling at the end gives the same ranks.
-    Either sum is 0 if it has no seeds."""
+    Either sum is 0 if it has no seeds. Ends once `close` to still; after ROUNDS, what is left to move is below damping to their power."""
     sums = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     scale = lambda c, s: F.col(c) / (s or 1.0)
     base = settle(seeds.select("host", scale("trust", sums["t"]).alias("trust"), scale("distrust", sums["d"]).alias("distrust")).filter("trust > 0 or distrust > 0"), "url-seeds")
@@ -63,13 +65,18 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
         ),
         "url-flow",
     )
-    rank = base
+    rank = last = base
     for r in range(rounds):
         moved = rank.join(step, rank["host"] == step["a"]).select(F.col("z").alias("host"), (F.col("trust") * F.col("ft") * damping).alias("trust"), (F.col("distrust") * F.col("fd") * damping).alias("distrust"))
         again = base.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
         rank = moved.unionByName(again).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if r % 4 == 3 or r == rounds - 1:
             rank = settle(rank, "url-rank")
+            both = rank.join(last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "left").na.fill(0.0)
+            moved = both.agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d"))).alias("by"), F.sum(F.col("trust") + F.col("distrust")).alias("all")).first()
+            if (moved["by"] or 0.0) <= close * (moved["all"] or 0.0):
+                break
+            last = rank
     sums = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     return rank.select("host", scale("trust", sums["t"]).alias("trust"), scale("distrust", sums["d"]).alias("distrust"))
 
