@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, decontam, jaccard, langid, lm, mixing, secrets, sharding, topk, urls
+from lacuna.llm import chat, common, decontam, jaccard, langid, lm, mixing, secrets, sharding, topk, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,6 +73,17 @@ def test_shards_of_a_hot_key_and_odd_rows(spark, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_shards_equal_sql_where_they_split(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("create view documents as select doc_id, text from '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(c.execute(f"select doc_id, n_bytes, shard, shard_depth, shard_bytes, shard_docs from ({sharding.oracle(60_000)})").fetchall())
+    got = sharding.shard(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), limit=60_000)
+    got = got.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)), "shard", "shard_depth", "shard_bytes", "shard_rows")
+    assert sorted(map(tuple, got.collect())) == want and len({r[2] for r in want}) > 20
+
+
 # ---- decontamination
 
 
@@ -85,10 +96,19 @@ def test_leaks_with_substituted_words(spark, odd, empty):
     got = {(r["key"], r["item"]): r["matched"] for r in decontam.leaks(docs, bench).collect()}
     assert set(got) == {(1, 10), (1, 11), (3, 10), (3, 11), (5, 10), (5, 11), (7, 12)}
     assert got[(1, 10)] == 30 and got[(5, 10)] == 16
-    assert decontam.clean(docs, bench).select("doc_id").distinct().count() == 3
+    assert decontam.clean(docs, bench).select("doc_id").distinct().count() == 4  # of 7, the empty row
     assert decontam.leaks(odd, bench).count() == 0 and decontam.leaks(empty, bench).count() == 0 and decontam.leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_leaks_of_rows_and_items_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(15)) for x in "abc")
+    docs = spark.createDataFrame([(None, a), (None, "clean words stay here"), (None, b), (5, a), (5, "other clean words"), (6, c)], "doc_id long, text string").withColumns({"th": F.lit("mine"), "rep": F.lit("mine")})
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c), (1, a)], "item_id long, text string")
+    got = [(r["key"], r["item"], r["words"]) for r in decontam.leaks(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 15), (None, 1, 15), (5, 1, 15), (6, None, 15)], key=str)
+    assert sorted(r["text"] for r in decontam.clean(docs, bench).collect()) == ["clean words stay here", "other clean words"]
+
+
 def test_leaks_do_not_depend_on_the_join(spark, monkeypatch):
     item = [f"q{i}" for i in range(20)]
     docs = spark.createDataFrame([(i, prose(50, i) + " " + (" ".join(item) if i % 3 == 0 else "")) for i in range(12)], "doc_id long, text string")
@@ -259,6 +279,33 @@ def test_secrets_and_ledger(spark, odd, empty):
     assert secrets.digests(secrets.scan(odd)[0]).count() == odd.count() and secrets.scan(empty)[0].count() == 0
 
 
+def plain_secrets(text):
+    """Counts and sorted lines of the base patterns."""
+    rules = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+    got = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, g, least) in enumerate(rules) for m in re.finditer(p, text or "", re.ASCII) if len(m[g]) >= least]
+    return [sum(x[1] == k for x in got) for k in range(3)], hashlib.sha256(",".join(x[2] for x in sorted(got)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [250_000, -1])
+def test_secrets_equal_plain_patterns(spark, monkeypatch, tmp_path, limit):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", limit)
+    long = prose(30000, 4) + " api_key='" + "k" * 40 + "' " + "ab12" * 9
+    texts = [(None, long), (None, long), (0, "token=abcdef"), (1, None), (2, ""), (3, "token=abcdef ghp_" + "a" * 36), (3, "AKIA" + "Z9" * 10), (None, ""), (4, "0123456789abcdef0123456 Secret:'a/b+c='")]
+    files = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"blob": F.lit("x"), "kinds": F.lit("x")})
+    by = {}
+    for _ in range(2):  # the second time all is in the ledger
+        out = secrets.digests(secrets.scan_into(files, str(tmp_path / f"ledger{limit}"))).collect()
+        assert len(out) == len(texts)
+        by = sorted(([r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"]) for r in out)
+        assert by == sorted(plain_secrets(t) for _, t in texts)
+    assert spark.read.parquet(str(tmp_path / f"ledger{limit}")).count() == len({t or "" for _, t in texts}) * len(secrets.RULES)
+
+
+def test_secrets_of_null_and_empty_paths(spark):
+    files = spark.createDataFrame([(None, "token=abcdef"), ("", "token=abcdef")], "doc_id string, text string")
+    assert [len(r["found"]) for r in secrets.scan(files)[0].collect()] == [1, 1]
+
+
 # ---- chat
 
 
@@ -278,6 +325,13 @@ def test_chat_round_trip_and_layout(spark):
     assert chat.read_back(*chat.build(df.filter("false"))).count() == 0
 
 
+def test_chat_of_null_and_very_long_conversations(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", "b" * 200_000)] + [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(1500)]
+    nodes, paths, convs = chat.build(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r["conv"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(nodes, paths, convs).withColumn("conv", F.col("conv").cast("long")).collect()}
+    assert got == {None: (2, 200_000), 1: (1500, sum(len(t[3]) for t in turns[2:] if t[2] == "assistant"))}
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|x", "a<\\\\|<|", "<<|", "\\n\n", ""])
 def test_escapes(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
@@ -320,7 +374,7 @@ def test_url_rules_and_propagation(spark):
 
 def test_pagerank_against_numpy(spark):
     e = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "a", 1.0), ("d", "c", 1.0)]
-    rank = {r["host"]: r for r in urls.propagate(spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double"), spark.createDataFrame(e, "src string, dst string, w double"), rounds=30).collect()}
+    rank = {r["host"]: r for r in urls.propagate(spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double"), spark.createDataFrame(e, "src string, dst string, w double"), rounds=30, close=0).collect()}
     names = "abcd"
     m = np.zeros((4, 4))
     for s, d, w in e:
@@ -384,7 +438,8 @@ def plain_components(rows, width, num, den):
 @pytest.mark.parametrize(("width", "num", "den", "tile"), [(4, 85, 100, 512), (4, 85, 100, 8), (5, 80, 100, 8)])
 def test_jaccard_against_brute_force(spark, monkeypatch, width, num, den, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "SIDE", tile)
+    monkeypatch.setattr(common, "HOT", 4 * tile)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1000 if tile > 8 else 0)
     rng = np.random.default_rng(9)
     rows = []
     for g in range(14):
@@ -417,6 +472,29 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.link(empty).count() == 0
 
 
+def test_jaccard_of_string_and_null_keys(spark):
+    a = prose(60, 5)
+    rows = [("x", a), ("w", a + " more"), (None, a + " other"), (None, prose(60, 6)), (None, prose(60, 6) + " end"), (None, None)]
+    got = {r["text"]: (r["component"], r["cluster"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id string, text string")).join(spark.createDataFrame(rows, "k string, text string").withColumn("th", F.xxhash64("text")).drop("k"), "th").collect()}
+    assert [got[rows[i][1]][0] for i in range(5)] == ["w", "w", "w", None, None]
+    assert got[rows[3][1]][1] == got[rows[4][1]][1] != got[a][1]
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Near copies at mixed distances, most of which do not link directly: more than a tile in each column."""
+    monkeypatch.setattr(jaccard, "TILE", 32)
+    monkeypatch.setattr(common, "HOT", 100)
+    rng = np.random.default_rng(2)
+    base, rows = prose(120, 9, 10**6).split(), []
+    for i in range(300):
+        w = base.copy()
+        for k in rng.integers(0, len(w), int(rng.integers(0, 5))):
+            w[k] = f"e{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r["key"]: (r["n"], r["component"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows, 4, 85, 100)
+
+
 # ---- pipeline
 
 
@@ -435,3 +513,14 @@ def test_pipeline_stages(spark, tmp_path):
     c = p.decontaminated(spark, b, str(tmp_path))
     assert {r["doc_id"] for r in c.collect()} == set(range(30)) and c.columns == docs.columns
     assert p.run(spark, str(tmp_path)).filter("shard is null").count() == 0
+
+
+def test_pipeline_near_duplicates_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (None, a), (None, b), (5, c), (5, a + " word"), (5, c), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("mine"), "stays": F.lit(1), "cluster": F.lit(2)})
+    out = p.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(1, a), (None, b), (5, c), (7, None), (8, "")])) and out.columns == docs.columns
+    assert p.near_duplicates(spark, docs.filter("false"), str(tmp_path)).count() == 0
