@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontam, jaccard, langid, mixing, sharding
-from lacuna.llm.common import settle, table
+from lacuna.llm.common import meet, settle, table
 
 #: Below this posterior probability a text's language counts as not identified.
 SURE = 0.5
@@ -23,14 +23,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents that hang together by Jaccard similarities of 0.8 or more of their sets of five-word
-    shingles, and one of equal rows of it; documents without an id stay only if no document with one has the same words."""
-    found = jaccard.link(docs, width=5, num=80, den=100)
-    doubles = bool(docs.groupBy("doc_id").count().filter("count > 1").take(1))
-    drop = settle(found.filter("key <> component or (key is null and component is not null)").select("key").distinct(), "dropped")
-    few = drop.count() <= jaccard.BROADCAST_ROWS
-    out = docs.join(F.broadcast(drop) if few else drop, docs["doc_id"].eqNullSafe(drop["key"]), "left_anti")
-    return out.dropDuplicates(["doc_id", "text"]) if doubles else out
+    """Keeps one document of each group of documents that hang together by Jaccard similarities of 0.8 or more of their sets of five-word shingles: the one of the
+    smallest doc_id (a null one last), and of texts and rows of the same doc_id any one. Documents without words are in no group and stay. A row goes for its own
+    text, never for its doc_id, which may be null or stand in other rows."""
+    found = settle(jaccard.link(docs, width=5, num=80, den=100).filter("cluster is not null").select("key", "th", "cluster"), "groups")
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "th")
+    first = found.groupBy("cluster").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").select("cluster", "first")
+    many = settle(meet(found, first, "cluster").groupBy("key", "th").agg(F.first(place == F.col("first")).alias("stays"), F.count("*").alias("k")), "copies")
+    drop = settle(many.filter("not stays or k > 1").select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("stays").alias("__stays")), "dropped")
+    few = F.broadcast if drop.count() <= jaccard.BROADCAST_ROWS else (lambda x: x)
+    same = F.col("doc_id").eqNullSafe(F.col("__key")) & (F.xxhash64("text") == F.col("__th"))
+    repeated = drop.filter("__stays")
+    if not repeated.take(1):
+        return docs.join(few(drop), same, "left_anti")
+    once = docs.join(few(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(few(drop), same, "left_anti").unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
