@@ -49,10 +49,26 @@ def _sum(a: np.ndarray, r: int) -> np.ndarray:
     return c[np.ix_(y1, x1)] - c[np.ix_(y0, x1)] - c[np.ix_(y1, x0)] + c[np.ix_(y0, x0)]
 
 
+def _matches(v: np.ndarray, hole: np.ndarray, can: np.ndarray, ty: int, tx: int, r: int) -> np.ndarray:
+    """(y, x, mean squared, mean absolute difference) of the candidate centres, best first."""
+    cy, cx = np.nonzero(can)
+    d, a, m = np.zeros(len(cy)), np.zeros(len(cy)), 0
+    for y in range(max(0, ty - r), min(v.shape[0], ty + r + 1)):
+        for x in range(max(0, tx - r), min(v.shape[1], tx + r + 1)):
+            if not hole[y, x]:
+                e = v[cy + y - ty, cx + x - tx] - v[y, x]
+                d += e * e
+                a += np.abs(e)
+                m += 1
+    got = np.stack([cy, cx, np.round(d / max(1, m), 12), np.round(a / max(1, m), 12)], 1)
+    return got[np.argsort(got[:, 2], kind="stable")]
+
+
 def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1):
     """Values, source positions and the step of each filled cell, for a grid v [y, x] and its holes: the boundary cell of the highest confidence is
-    filled from the patch of least mean squared difference, until no hole is left. With `accept`, a best match above it gives way to the first of the k best
-    (a stand-in for a person's choice). `neighborhood` limits candidates to a square about the target. Ties go to the smaller y, then x."""
+    filled from the patch of least mean squared difference, until no hole is left. `neighborhood` limits candidates to a square about the target. With `accept`,
+    a best match of that difference or more is not taken: the whole grid is searched where the search was local, and of the k best the one of the least mean absolute difference is taken, in place
+    of a person's choice. Ties go to the smaller y, then x."""
     v, hole, before = v.copy(), hole.copy(), hole.copy()
     h, w = v.shape
     yy, xx = np.mgrid[0:h, 0:w]
@@ -72,22 +88,15 @@ def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = Non
             near = np.zeros_like(source)
             near[max(0, ty - neighborhood) : ty + neighborhood + 1, max(0, tx - neighborhood) : tx + neighborhood + 1] = True
             can = source & near if (source & near).any() else source
-        cy, cx = np.nonzero(can)
-        if not len(cy):
+        best = _matches(v, hole, can, ty, tx, r)
+        if not len(best):
             break
-        d, m = np.zeros(len(cy)), 0
-        for dy in range(-r, r + 1):
-            for dx in range(-r, r + 1):
-                y, x = ty + dy, tx + dx
-                if 0 <= y < h and 0 <= x < w and not hole[y, x]:
-                    e = v[cy + dy, cx + dx] - v[y, x]
-                    d += e * e
-                    m += 1
-        order = np.argsort(np.round(d / max(1, m), 12), kind="stable")[: max(1, k)]
-        pick = order[0]
-        if accept is not None and d[pick] / max(1, m) >= accept:
-            pick = order[0]  # the person's choice: the first valid of the list
-        py, px = int(cy[pick]), int(cx[pick])
+        py, px, d, _ = best[0]
+        if accept is not None and d >= accept:
+            if neighborhood is not None:
+                best = _matches(v, hole, source, ty, tx, r)
+            py, px, d, _ = min(best[:k], key=lambda b: b[3])
+        py, px = int(py), int(px)
         c = pr[ty, tx]
         for dy in range(-r, r + 1):
             for dx in range(-r, r + 1):
@@ -99,7 +108,7 @@ def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = Non
     return v, sx, sy, step
 
 
-def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1, priority: str = "confidence") -> DataFrame:
+def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1) -> DataFrame:
     """(image_id, x, y, v, iter, src_x, src_y): each image filled, in a task of its own; iter is the step that filled a pixel, -1 if it was valid."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +135,7 @@ def steps(px: DataFrame, r: int, most: int, keep=lambda df: df) -> tuple[DataFra
         scored = patches.differences(t_px, patches.target_values(t_px, t["x"], t["y"], r), r, patches.ssd(["v"]), first)
         s = search.best(scored.withColumn("d", F.round("d", 12)), ["cy", "cx"]).first()
         log.append((n, t["x"], t["y"], s["cx"], s["cy"]))
-        conf = priority.update_confidence(px, t["x"], t["y"], r).select("x", "y", F.col("confidence").alias("_c"))
+        conf = priority.update_confidence(px, t["x"], t["y"], r).select("image_id", "x", "y", F.col("confidence").alias("_c"))
         new = patches.paint(px.drop("confidence", "src_x", "src_y"), t["x"], t["y"], s["cx"], s["cy"], r)
-        px = keep(new.join(conf, ["x", "y"]).withColumnRenamed("_c", "confidence"))
+        px = keep(new.join(conf, ["image_id", "x", "y"]).withColumnRenamed("_c", "confidence"))
     return px, log

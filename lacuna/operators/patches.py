@@ -87,18 +87,19 @@ def vectorised(px: DataFrame, centres: DataFrame, r: int, value: str = "v") -> D
 
 
 def correspondence(px: DataFrame, cands: DataFrame, tx: int, ty: int, r: int) -> DataFrame:
-    """Target and candidates' pixels side by side: cx, cy, dx, dy, thole, t_<value>, s_<value>; cands (cx, cy) are few, and only offsets that
-    both patches have remain."""
-    t = patch(px, tx, ty, r).select("dx", "dy", F.col("hole").alias("thole"), *[F.col(c).alias(f"t_{c}") for c in values(px)])
-    at = cands.select("cx", "cy").join(F.broadcast(t)).withColumns({"x": F.col("cx") + F.col("dx"), "y": F.col("cy") + F.col("dy")})
-    return px.select("x", "y", F.col("hole").alias("shole"), *[F.col(c).alias(f"s_{c}") for c in values(px)]).join(F.broadcast(at), ["x", "y"])
+    """Target and candidates' pixels side by side: image_id, cx, cy, dx, dy, thole, t_<value>, s_<value>; cands (cx, cy, and image_id unless they
+    are sought in each image) are few, and only offsets that both patches have remain."""
+    t = patch(px, tx, ty, r).select("image_id", "dx", "dy", F.col("hole").alias("thole"), *[F.col(c).alias(f"t_{c}") for c in values(px)])
+    of = [c for c in cands.columns if c == "image_id"]
+    at = cands.select(*of, "cx", "cy").join(F.broadcast(t), of or None).withColumns({"x": F.col("cx") + F.col("dx"), "y": F.col("cy") + F.col("dy")})
+    return px.select("image_id", "x", "y", F.col("hole").alias("shole"), *[F.col(c).alias(f"s_{c}") for c in values(px)]).join(F.broadcast(at), ["image_id", "x", "y"])
 
 
 def paint(px: DataFrame, tx: int, ty: int, sx: int, sy: int, r: int) -> DataFrame:
     """px with the target patch's hole pixels taken from the source patch at the same offsets, no longer holes, and (src_x, src_y) of
     where each came from."""
-    at = patch(px, sx, sy, r).select((F.col("dx") + tx).alias("x"), (F.col("dy") + ty).alias("y"), *[F.col(c).alias(f"_n_{c}") for c in values(px) if not c.startswith("src_")], F.lit(True).alias("_in"))
-    out = px.join(F.broadcast(at), ["x", "y"], "left")
+    at = patch(px, sx, sy, r).select("image_id", (F.col("dx") + tx).alias("x"), (F.col("dy") + ty).alias("y"), *[F.col(c).alias(f"_n_{c}") for c in values(px) if not c.startswith("src_")], F.lit(True).alias("_in"))
+    out = px.join(F.broadcast(at), ["image_id", "x", "y"], "left")
     fill = F.col("hole") & F.col("_in").isNotNull()
     moved = {c: F.when(fill, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in values(px) if not c.startswith("src_")}
     sx_, sy_ = F.col("x") - tx + sx, F.col("y") - ty + sy

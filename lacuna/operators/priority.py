@@ -1,4 +1,4 @@
-"""Fill priorities of boundary pixels, and the queue as a table (x, y, priority, valid)."""
+"""Fill priorities of boundary pixels, and the queue as a table (image_id, x, y, priority, valid)."""
 
 from __future__ import annotations
 
@@ -32,9 +32,9 @@ def initial_queue(px: DataFrame, r: int) -> DataFrame:
 def update_confidence(px: DataFrame, tx: int, ty: int, r: int) -> DataFrame:
     """The target's term goes to the pixels of its patch whose confidence is exactly 0."""
     near = px.filter(F.col("x").between(tx - r, tx + r) & F.col("y").between(ty - r, ty + r))
-    c = near.agg((F.sum(F.when(~F.col("hole"), F.col("confidence")).otherwise(0.0)) / F.count("*")).alias("_t"))
+    c = near.groupBy("image_id").agg((F.sum(F.when(~F.col("hole"), F.col("confidence")).otherwise(0.0)) / F.count("*")).alias("_t"))
     inside = F.col("x").between(tx - r, tx + r) & F.col("y").between(ty - r, ty + r)
-    return px.join(F.broadcast(c)).withColumn("confidence", F.when(inside & (F.col("confidence") == 0), F.col("_t")).otherwise(F.col("confidence"))).drop("_t")
+    return px.join(F.broadcast(c), "image_id", "left").withColumn("confidence", F.when(inside & (F.col("confidence") == 0), F.col("_t")).otherwise(F.col("confidence"))).drop("_t")
 
 
 def _terms(px: DataFrame, r: int) -> DataFrame:
@@ -71,8 +71,8 @@ def depth(px: DataFrame, value: str, reach: int, radius: int = 2, space: float =
     g = windows.gradient(smooth, "_z").withColumns({"ix": -F.col("gy"), "iy": F.col("gx")})
     on = boundary(g).select("image_id", "x", "y", "ix", "iy")
     over = windows.across_hole(px, on, reach)
-    far = g.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("ix").alias("jx"), F.col("iy").alias("jy"))
-    met = on.join(over, ["x", "y"], "left").join(far, ["ox", "oy"], "left")
+    far = g.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("ix").alias("jx"), F.col("iy").alias("jy"))
+    met = on.join(over, ["image_id", "x", "y"], "left").join(far, ["image_id", "ox", "oy"], "left")
     return met.select("image_id", "x", "y", F.coalesce(F.abs(F.col("ix") * F.col("jx") + F.col("iy") * F.col("jy")), F.lit(0.0)).alias("priority"), F.lit(True).alias("valid"))
 
 
@@ -87,8 +87,8 @@ def random(px: DataFrame, seed: int) -> DataFrame:
 
 def push_or_update(queue: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert: new priorities win, and make their nodes valid."""
-    both = queue.select("x", "y", "priority", "valid", F.lit(0).alias("_o")).unionByName(new.select("x", "y", "priority", F.lit(True).alias("valid"), F.lit(1).alias("_o")))
-    return both.groupBy("x", "y").agg(F.max_by(F.struct("priority", "valid"), "_o").alias("b")).select("x", "y", "b.priority", "b.valid")
+    both = queue.select("image_id", "x", "y", "priority", "valid", F.lit(0).alias("_o")).unionByName(new.select("image_id", "x", "y", "priority", F.lit(True).alias("valid"), F.lit(1).alias("_o")))
+    return both.groupBy("image_id", "x", "y").agg(F.max_by(F.struct("priority", "valid"), "_o").alias("b")).select("image_id", "x", "y", "b.priority", "b.valid")
 
 
 def invalidate(queue: DataFrame, which: Column) -> DataFrame:
@@ -96,8 +96,8 @@ def invalidate(queue: DataFrame, which: Column) -> DataFrame:
 
 
 def top(queue: DataFrame) -> DataFrame:
-    """The valid node of the highest priority; ties go to the smaller y, then x."""
-    return queue.filter("valid").groupBy().agg(F.max_by(F.struct("x", "y", "priority"), F.struct("priority", -F.col("y"), -F.col("x"))).alias("b")).filter("b is not null").select("b.*")
+    """Each image's valid node of the highest priority; ties go to the smaller y, then x."""
+    return queue.filter("valid").groupBy("image_id").agg(F.max_by(F.struct("x", "y", "priority"), F.struct("priority", -F.col("y"), -F.col("x"))).alias("b")).select("image_id", "b.*")
 
 
 def dump(queue: DataFrame) -> DataFrame:

@@ -156,15 +156,15 @@ def rind(px: DataFrame, r: int, out: str = "rind") -> DataFrame:
 
 
 def across_hole(px: DataFrame, starts: DataFrame, reach: int) -> DataFrame:
-    """(x, y, ox, oy): for starts (x, y, ix, iy), a valid pixel's first valid one beyond a hole, in the direction of (ix, iy) or else against it."""
-    ray = starts.select("x", "y", "ix", "iy", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    """(image_id, x, y, ox, oy): for starts (image_id, x, y, ix, iy), a valid pixel's first valid one beyond a hole, in the direction of (ix, iy) or else against it."""
+    ray = starts.select("image_id", "x", "y", "ix", "iy", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     length = F.sqrt(F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy"))
     step = lambda a, c: F.round(F.col(a) + F.col("sign") * F.col("k") * F.col(c) / length).cast("int")
     ray = ray.filter(length > 0).withColumns({"px": step("x", "ix"), "py": step("y", "iy")})
-    seen = ray.join(px.select(F.col("x").alias("px"), F.col("y").alias("py"), "hole"), ["px", "py"])
-    w = Window.partitionBy("x", "y", "sign").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    seen = ray.join(px.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "hole"), ["image_id", "px", "py"])
+    w = Window.partitionBy("image_id", "x", "y", "sign").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     out = seen.withColumn("crossed", F.max("hole").over(w)).filter(~F.col("hole") & F.col("crossed"))
-    return out.groupBy("x", "y").agg(F.min_by(F.struct("px", "py"), F.struct("k", -F.col("sign"))).alias("o")).select("x", "y", F.col("o.px").alias("ox"), F.col("o.py").alias("oy"))
+    return out.groupBy("image_id", "x", "y").agg(F.min_by(F.struct("px", "py"), F.struct("k", -F.col("sign"))).alias("o")).select("image_id", "x", "y", F.col("o.px").alias("ox"), F.col("o.py").alias("oy"))
 
 
 def gradient_change(px: DataFrame, painted: DataFrame, value: str = "v") -> DataFrame:

@@ -62,7 +62,7 @@ def grid_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMMON = """WITH
-px AS (SELECT i - 1 AS x, vec_id AS y, CAST(embedding[i] AS DOUBLE) AS v, (i - 1 BETWEEN 20 AND 29 AND vec_id BETWEEN 100 AND 119) AS hole FROM embeddings, generate_series(1, 64) g(i)),
+px AS MATERIALIZED (SELECT i - 1 AS x, vec_id AS y, CAST(embedding[i] AS DOUBLE) AS v, (i - 1 BETWEEN 20 AND 29 AND vec_id BETWEEN 100 AND 119) AS hole FROM embeddings, generate_series(1, 64) g(i)),
 o4 AS (SELECT a.i AS dx, b.i AS dy FROM generate_series(-4, 4) a(i), generate_series(-4, 4) b(i)), o1 AS (SELECT dx, dy FROM o4 WHERE abs(dx) <= 1 AND abs(dy) <= 1),
 ext AS (SELECT max(y) AS my FROM px),
 src AS (SELECT x AS cx, y AS cy FROM px, ext WHERE x BETWEEN 4 AND 59 AND y BETWEEN 4 AND my - 4 AND NOT (x + 4 >= 20 AND x - 4 <= 29 AND y + 4 >= 100 AND y - 4 <= 119)),

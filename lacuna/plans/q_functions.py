@@ -136,11 +136,11 @@ def a4(spark, sf):
 
 def _vectors(spark, sf):
     px = grid.pixels(spark, sf)
-    few = patches.sources(px, R).filter("cx % 8 = 4 and cy % 16 = 4")
+    few = patches.sources(px, R)
     return patches.vectorised(px, few, R)
 
 
-@query("a5_vectorised_difference", "SELECT s.cx, s.cy, round(sum((p.v - t.v) ** 2) / 81, 6) AS d FROM src s, px t, px p WHERE cx % 8 = 4 AND cy % 16 = 4 AND t.x BETWEEN 8 AND 16 AND t.y BETWEEN 16 AND 24 AND p.x = cx + t.x - 12 AND p.y = cy + t.y - 20 AND NOT (cx = 12 AND cy = 20) GROUP BY ALL")
+@query("a5_vectorised_difference", "SELECT s.cx, s.cy, round(sum((p.v - t.v) ** 2) / 81, 6) AS d FROM src s, px t, px p WHERE t.x BETWEEN 8 AND 16 AND t.y BETWEEN 16 AND 24 AND p.x = cx + t.x - 12 AND p.y = cy + t.y - 20 AND NOT (cx = 12 AND cy = 20) GROUP BY ALL")
 def a5(spark, sf):
     """Flat arrays side by side, without a join on offsets."""
     vs = _vectors(spark, sf)
@@ -148,7 +148,7 @@ def a5(spark, sf):
     return vs.filter("not (cx = 12 and cy = 20)").join(F.broadcast(one)).select("cx", "cy", rd(fn.squared(F.col("pixels"), F.col("t")) / F.size("t")).alias("d"))
 
 
-@query("a6_vectorised_indices_difference", "SELECT s.cx, s.cy, round(sum((p.v - t.v) ** 2) / 81, 6) AS d FROM src s, px t, px p WHERE cx % 8 = 4 AND cy % 16 = 4 AND t.x BETWEEN 8 AND 16 AND t.y BETWEEN 16 AND 24 AND p.x = cx + t.x - 12 AND p.y = cy + t.y - 20 AND NOT (cx = 12 AND cy = 20) GROUP BY ALL")
+@query("a6_vectorised_indices_difference", "SELECT s.cx, s.cy, round(sum((p.v - t.v) ** 2) / 81, 6) AS d FROM src s, px t, px p WHERE t.x BETWEEN 8 AND 16 AND t.y BETWEEN 16 AND 24 AND p.x = cx + t.x - 12 AND p.y = cy + t.y - 20 AND NOT (cx = 12 AND cy = 20) GROUP BY ALL")
 def a6(spark, sf):
     """Through arrays of positions: exploded by place and met there."""
     vs = _vectors(spark, sf).select("cx", "cy", F.posexplode("pixels").alias("i", "s"))
@@ -286,14 +286,14 @@ def q16(spark, sf):
 
 @query("k18_local_optimisation", """, q AS (SELECT x AS qx, y AS qy FROM (VALUES (18, 109), (18, 110), (18, 111), (19, 109), (19, 111), (20, 109), (20, 110), (20, 111)) w(x, y)),
 tt AS MATERIALIZED (SELECT qx, qy, dx, dy, t.v FROM q, o4 o, px t WHERE t.x = qx + o.dx AND t.y = qy + o.dy AND NOT t.hole),
-ns AS (SELECT qx, qy, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p WHERE (p.x - dx) % 2 = 0 GROUP BY ALL HAVING (cx, cy) IN (SELECT (s.cx, s.cy) FROM src s)),
+ns AS (SELECT qx, qy, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p WHERE (p.x - dx, p.y - dy) IN (SELECT (s.cx, s.cy) FROM src s) GROUP BY qx, qy, p.x - dx, p.y - dy),
 nt AS (SELECT *, row_number() OVER (PARTITION BY qx, qy ORDER BY d, cy, cx) AS r FROM ns QUALIFY r <= 10),
 m AS (SELECT c.cx, c.cy, c.rn, qx, qy, min(sqrt((c.cx - nt.cx) ** 2 + (c.cy - nt.cy) ** 2)) AS m FROM top c, nt WHERE c.rn <= 10 GROUP BY ALL)
 SELECT cx, cy, round(sum(m), 6) AS total FROM m GROUP BY cx, cy, rn ORDER BY sum(m), rn LIMIT 1""")
 def k18(spark, sf):
-    """The ten best of the target, judged by how near they are to the ten best of each of its eight neighbours (of every second column's centres)."""
+    """The ten best of the target, judged by how near they are to the ten best of each of its eight neighbours."""
     px = grid.pixels(spark, sf)
-    few = patches.sources(px, R).filter("cx % 2 = 0")
+    few = patches.sources(px, R)
     near = None
     for dx in (-1, 0, 1):
         for dy in (-1, 0, 1):

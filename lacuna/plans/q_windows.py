@@ -94,24 +94,24 @@ def p17(spark, sf):
     return patches.target_values(px1(spark, sf), TX, TY, R).select("dx", "dy", rd("t_v").alias("v"))
 
 
-@query("p18_vectorised_patch", "SELECT s.cx, s.cy, list(round(p.v, 4) + 0.0 ORDER BY p.y, p.x) AS pixels FROM src s, o4 o, px p WHERE cx % 16 = 4 AND cy % 64 = 4 AND p.x = cx + o.dx AND p.y = cy + o.dy GROUP BY ALL")
+@query("p18_vectorised_patch", "SELECT s.cx, s.cy, list(round(p.v, 4) + 0.0 ORDER BY p.y, p.x) AS pixels FROM src s, o4 o, px p WHERE p.x = cx + o.dx AND p.y = cy + o.dy GROUP BY ALL")
 def p18(spark, sf):
     px = px1(spark, sf)
-    got = patches.vectorised(px, patches.sources(px, R).filter("cx % 16 = 4 and cy % 64 = 4"), R)
+    got = patches.vectorised(px, patches.sources(px, R), R)
     return got.select("cx", "cy", F.transform("pixels", lambda v: F.round(v, 4) + F.lit(0.0)).alias("pixels"))
 
 
-@query("p19_feature_vector_of_patch", "SELECT s.cx, s.cy, CAST(count(*) AS INTEGER) AS n, round(sum(p.v), 6) + 0.0 AS total FROM src s, o4 o, px p WHERE cx % 16 = 4 AND cy % 64 = 4 AND p.x = cx + o.dx AND p.y = cy + o.dy GROUP BY ALL")
+@query("p19_feature_vector_of_patch", "SELECT s.cx, s.cy, CAST(count(*) AS INTEGER) AS n, round(sum(p.v), 6) + 0.0 AS total FROM src s, o4 o, px p WHERE p.x = cx + o.dx AND p.y = cy + o.dy GROUP BY ALL")
 def p19(spark, sf):
     px = px1(spark, sf)
-    got = patches.vectorised(px, patches.sources(px, R).filter("cx % 16 = 4 and cy % 64 = 4"), R)
+    got = patches.vectorised(px, patches.sources(px, R), R)
     return got.select("cx", "cy", F.size("pixels").alias("n"), rd(fn.total(F.col("pixels"))).alias("total"))
 
 
-@query("p20_precomputed_features", "SELECT p.x, p.y, CASE WHEN y % 9 = 0 THEN 'INVALID' ELSE 'SOURCE_NODE' END AS status FROM px p WHERE x < 4")
+@query("p20_precomputed_features", "SELECT p.x, p.y, CASE WHEN y % 9 = 0 THEN 'INVALID' ELSE 'SOURCE_NODE' END AS status FROM px p")
 def p20(spark, sf):
     """Feature rows joined to pixels; a pixel without a row, or with one that is not finite, is INVALID."""
-    px = px1(spark, sf).filter("x < 4")
+    px = px1(spark, sf)
     feats = grid.embeddings(spark, sf).filter("vec_id % 9 <> 0").select(F.col("vec_id").cast("int").alias("y"), F.col("embedding").alias("f"))
     bad = F.col("f").isNull() | F.exists("f", lambda v: F.isnan(v))
     return px.join(feats, "y", "left").select("x", "y", F.when(bad, "INVALID").otherwise("SOURCE_NODE").alias("status"))
@@ -253,8 +253,8 @@ def w14(spark, sf):
 def w15(spark, sf):
     """From the left edge of the mask straight through to its right."""
     px = px1(spark, sf)
-    starts = px.filter("x = 19 and y between 100 and 119").select("x", "y", F.lit(-1.0).alias("ix"), F.lit(0.0).alias("iy"))
-    return windows.across_hole(px, starts, 20)
+    starts = px.filter("x = 19 and y between 100 and 119").select("image_id", "x", "y", F.lit(-1.0).alias("ix"), F.lit(0.0).alias("iy"))
+    return windows.across_hole(px, starts, 20).drop("image_id")
 
 
 @query("w16_rind", "SELECT x, y FROM px WHERE NOT hole AND x BETWEEN 14 AND 35 AND y BETWEEN 94 AND 125")
@@ -314,7 +314,7 @@ def q10(spark, sf):
 @query("q12_push_or_update", CONF + "SELECT x, y, round(CASE WHEN x = 19 THEN 2 ELSE c END, 6) AS priority FROM cf UNION ALL SELECT 5, 5, 3")
 def q12(spark, sf):
     q = priority.initial_queue(px1(spark, sf), R)
-    new = q.filter("x = 19").select("x", "y", F.lit(2.0).alias("priority")).unionByName(spark.range(1).select(F.lit(5).alias("x"), F.lit(5).alias("y"), F.lit(3.0).alias("priority")))
+    new = q.filter("x = 19").select("image_id", "x", "y", F.lit(2.0).alias("priority")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("image_id"), F.lit(5).alias("x"), F.lit(5).alias("y"), F.lit(3.0).alias("priority")))
     return priority.push_or_update(q, new).select("x", "y", rd("priority").alias("priority"))
 
 
@@ -387,7 +387,7 @@ for _n in ("u7_replay", "g6_precomputed"):
 
 @query("g7_forward_look", CONF + """, tg AS (SELECT x AS tx, y AS ty, row_number() OVER (ORDER BY c DESC, y, x) AS r FROM cf QUALIFY r <= 3),
 tt AS MATERIALIZED (SELECT tx, ty, dx, dy, t.v FROM tg, o4 o, px t WHERE t.x = tx + o.dx AND t.y = ty + o.dy AND NOT t.hole),
-ds AS (SELECT tx, ty, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p GROUP BY ALL HAVING (cx, cy) IN (SELECT (s.cx, s.cy) FROM src s))
+ds AS (SELECT tx, ty, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p WHERE (p.x - dx, p.y - dy) IN (SELECT (s.cx, s.cy) FROM src s) GROUP BY tx, ty, p.x - dx, p.y - dy)
 SELECT tx, ty, cx, cy, round(d, 6) AS d FROM ds ORDER BY ds.d, ty, tx, cy, cx LIMIT 1""")
 def g7(spark, sf):
     px = px1(spark, sf)
@@ -427,4 +427,4 @@ _loop("g1_inpainting")
 _loop("g2_inpainting_local_search", neighborhood=24)
 _loop("g3_inpainting_verification", accept=0.03, k=10)
 _loop("g4_local_global_search", neighborhood=24, accept=0.03, k=10)
-_loop("g5_inpainting_loop", priority="confidence")
+_loop("g5_inpainting_loop")

@@ -59,7 +59,8 @@ def mask_header(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def apply_mask(px: DataFrame, levels: DataFrame, header: DataFrame) -> DataFrame:
     """px with hole: where the mask image `levels` (x, y, level) has the header's hole value."""
-    return px.drop("hole").join(levels.join(F.broadcast(header.limit(1))).select("x", "y", (F.col("level") == F.col("hole_value")).alias("hole")), ["x", "y"])
+    of = [c for c in levels.columns if c == "image_id"]  # else one mask is meant for all images
+    return px.drop("hole").join(levels.join(F.broadcast(header.limit(1))).select(*of, "x", "y", (F.col("level") == F.col("hole_value")).alias("hole")), [*of, "x", "y"])
 
 
 def match_log(lines: DataFrame, order: str, value: str = "value", source_first: bool = True) -> DataFrame:

@@ -98,3 +98,47 @@ def test_logs_round_trip(spark, tmp_path):
     grid.write_log(m, str(tmp_path / "log"))
     back = grid.match_log(spark.read.text(str(tmp_path / "log")), "value").drop("iter")
     assert sorted(map(tuple, back.collect())) == [(1, 2, 3, 4), (5, 6, -7, 8)]
+
+
+def two(px):
+    """The grid twice, the second time with other values and as another image."""
+    return px.unionByName(px.withColumns({"image_id": F.lit(1).cast("long"), "v": F.col("v") * 3 + 1}))
+
+
+def test_two_images_stay_apart(spark):
+    px = made(spark, 12, 12, (F.col("x") * 7 + F.col("y") * 3) % 11, F.col("x").between(5, 6) & F.col("y").between(5, 6))
+    both = two(px)
+    other = both.filter("image_id = 1")
+
+    def same(f):
+        rows = lambda df: sorted(map(str, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+        assert rows(f(both)) == sorted(rows(f(px)) + rows(f(other)))
+
+    same(lambda p: patches.paint(p, 5, 5, 2, 2, 1))
+    same(lambda p: patches.correspondence(p, spark.createDataFrame([(2, 2), (9, 9)], "cx int, cy int"), 5, 5, 1))
+    same(lambda p: priority.update_confidence(priority.with_confidence(p), 5, 5, 2))
+    same(lambda p: priority.top(priority.initial_queue(p, 1)))
+    same(lambda p: priority.push_or_update(priority.initial_queue(p, 1), priority.initial_queue(p, 1).filter("x = 4").withColumn("priority", F.lit(9.0))))
+    same(lambda p: windows.across_hole(p, patches.boundary(p).select("image_id", "x", "y", F.lit(1.0).alias("ix"), F.lit(0.0).alias("iy")), 6))
+    same(lambda p: priority.depth(p, "v", 6).withColumn("priority", F.round("priority", 6)))
+    same(lambda p: paint.inpaint(p, 1))
+
+
+def test_what_is_not_accepted_is_chosen_otherwise():
+    rng = np.random.default_rng(8)
+    v, hole = rng.random((24, 24)), np.zeros((24, 24), bool)
+    hole[10:13, 10:13] = True
+    plain, local = paint.fill(v, hole, 2), paint.fill(v, hole, 2, neighborhood=6)
+    assert all((a == b).all() for a, b in zip(plain, paint.fill(v, hole, 2, accept=9.0, k=5)))  # all accepted
+    assert all((a == b).all() for a, b in zip(plain, paint.fill(v, hole, 2, neighborhood=6, accept=0.0, k=1)))  # none: the whole grid is searched
+    assert (local[0] != plain[0]).any()
+    source = np.array([[not hole[y - 2 : y + 3, x - 2 : x + 3].any() and 2 <= y < 22 and 2 <= x < 22 for x in range(24)] for y in range(24)])
+    first = paint._matches(v, hole, source, 9, 9, 2)
+    for y, x, d, a in first[:20]:
+        e = [v[int(y) + i, int(x) + j] - v[9 + i, 9 + j] for i in range(-2, 3) for j in range(-2, 3) if not hole[9 + i, 9 + j]]
+        assert d == pytest.approx(np.mean(np.square(e))) and a == pytest.approx(np.mean(np.abs(e)))
+    out, sx, sy, step = paint.fill(v, hole, 2, accept=0.0, k=8)
+    ty, tx = np.argwhere(step == 0)[0]
+    ry, rx = sy[ty, tx] - ty, sx[ty, tx] - tx
+    targets = [(y, x) for y in range(8, 15) for x in range(8, 15) if not hole[y, x] and abs(ty - y) <= 2 and abs(tx - x) <= 2]
+    assert any((b := paint._matches(v, hole, source, y, x, 2)[:8])[b[:, 3].argmin()][:2].astype(int).tolist() == [y + ry, x + rx] for y, x in targets)
