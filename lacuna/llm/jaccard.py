@@ -25,7 +25,7 @@ SKETCH, SLICE = 1 << 23, 1 << 16
 #: Rows of a column whose pairs may be looked at in one task; larger columns come in tiles of so many by so many.
 TILE = 512
 #: Pairs in a task of the product, and words of bitmaps compared at once.
-PAIRS, WORDS = 256, 1 << 21
+PAIRS, WORDS = 256, 1 << 19
 #: Rows of 8 to 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -276,7 +276,7 @@ def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: in
     at = settle(at, "jaccard-cells")
     open_ = settle(at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g", "k"), "jaccard-open")
     at = settle(meet(at, open_, "g").join(rows, "c"), "jaccard-open-cells")
-    packs = max(1, at.count() // 8192)
+    packs = max(1, at.count() // 2048)
 
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         c, root, n = (pdf[x].to_numpy() for x in ("c", "root", "n"))
