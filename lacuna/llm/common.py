@@ -156,7 +156,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def chunks(texts, most: int = 1 << 20):
+def chunks(texts, most: int = 1 << 18):
     """(first, past-the-last, bytes, ends) of runs of texts of about `most` bytes each; null counts as empty. A longer text is a
     run of its own, so memory follows the longest text, not the batch."""
     first, got, size = 0, [], 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BUCKETS, ALPHA = 1 << 14, 0.5
 #: Characters handled at once; a longer text is handled alone, in pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _fold: list[np.ndarray] = []
 
 
