@@ -26,6 +26,8 @@ SKETCH, SLICE = 1 << 23, 1 << 16
 TILE = 512
 #: Pairs in a task of the product, and words of bitmaps compared at once.
 PAIRS, WORDS = 256, 1 << 19
+#: Cells of the open columns in a task, and pairs of these before repeated ones are dropped.
+CELLS, PAIRED = 1 << 13, 1 << 20
 #: Rows of 8 to 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -274,21 +276,33 @@ def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: in
     """Pairs of rows that share a column, are of different components and may link. Columns of two rows, which have been looked at as stars, are not among the cells."""
     at = cells.select("g", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
     at = settle(at, "jaccard-cells")
-    open_ = settle(at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g", "k"), "jaccard-open")
-    at = settle(meet(at, open_, "g").join(rows, "c"), "jaccard-open-cells")
-    packs = max(1, at.count() // 2048)
+    open_ = at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("low")).filter("lo < hi").select("g", "k", "low")
+    open_ = settle(open_, "jaccard-open")
+    # columns of the same first row, which have much in common, go to the same pack, in parts of about CELLS
+    homes = open_.groupBy("low").agg(F.ceil(F.sum("k") / CELLS).alias("parts"))
+    open_ = meet(open_, homes, "low").select("g", "k", F.xxhash64("low", F.pmod(F.xxhash64("g"), "parts")).alias("home"))
+    at = settle(meet(at, open_, "g"), "jaccard-open-cells")
+    need = at.select("c").distinct()
+    rows = rows.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "c", "left_semi")
+    packs = max(1, at.count() // CELLS)
 
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c", ignore_index=True)
         c, root, n = (pdf[x].to_numpy() for x in ("c", "root", "n"))
-        ids, first, own = np.unique(c, return_index=True, return_inverse=True)
-        met = []
-        for x in pdf.groupby("g", sort=False).indices.values():
+        column, own = np.concatenate(pdf["gs"].tolist()), np.repeat(np.arange(len(c)), pdf["gs"].map(len))
+        order = np.argsort(column, kind="stable")
+        met = np.zeros(0, np.int64)
+        wait, size = [], 0
+        for x in np.split(own[order], np.flatnonzero(np.diff(column[order])) + 1):
             i, j = np.triu_indices(len(x), 1)
-            i, j = own[x[i]], own[x[j]]
-            use = root[first[i]] != root[first[j]]
-            met.append(np.unique(np.minimum(i, j)[use] * len(ids) + np.maximum(i, j)[use]))
-        met = np.unique(np.concatenate(met))
-        return _crossed(ids, root[first], n[first], [pdf["bits"].iat[k] for k in first], met // len(ids), met % len(ids), num, den, best)
+            i, j = x[i], x[j]
+            use = root[i] != root[j]
+            wait.append(i[use] * len(c) + j[use])
+            size += len(wait[-1])
+            if size > PAIRED:
+                met, wait, size = np.unique(np.concatenate([met, *wait])), [], 0
+        met = np.unique(np.concatenate([met, *wait]))
+        return _crossed(c, root, n, pdf["bits"].tolist(), met // len(c), met % len(c), num, den, best)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         c, root, n, side = (pdf[x].to_numpy() for x in ("c", "root", "n", "side"))
@@ -298,11 +312,12 @@ def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: in
         return _crossed(c, root, n, bits, i[use], j[use], num, den, best)
 
     form = "pivot long, c long"
-    pairs = at.filter(F.col("k") <= TILE).withColumn("pack", F.pmod(F.xxhash64("g"), F.lit(packs))).select("pack", "g", "c", "root", "n", "bits").groupBy("pack").applyInPandas(small, form)
+    few = at.filter(F.col("k") <= TILE).withColumn("pack", F.pmod("home", F.lit(packs))).groupBy("c", "pack").agg(F.first("root").alias("root"), F.collect_list("g").alias("gs"))
+    pairs = few.join(rows, "c").groupBy("pack").applyInPandas(small, form)
     large = at.filter(F.col("k") > TILE)
     if large.take(1):
         top = large.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
-        large = meet(settle(large.withColumn("blocks", F.ceil(F.col("k") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "jaccard-large"), top, "g")
+        large = meet(settle(large.join(rows, "c").withColumn("blocks", F.ceil(F.col("k") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "jaccard-large"), top, "g")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sides = large.filter("root <> top").select("g", F.col("own").alias("p"), every.alias("q"), F.lit(0).alias("side"), "c", "root", "n", "bits")
         sides = sides.unionByName(large.select("g", every.alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "c", "root", "n", "bits"))
@@ -352,12 +367,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     column = Window.partitionBy("g")
     cold = cells.filter("not hot").select("g", "c").withColumns({"low": F.min("c").over(column), "high": F.max("c").over(column)}).filter("low < high")
     # more: the column has a third row
-    cold = cold.withColumn("more", F.max((F.col("c") > F.col("low")) & (F.col("c") < F.col("high"))).over(column)).drop("high")
+    cold = cold.withColumn("more", F.max((F.col("c") > F.col("low")) & (F.col("c") < F.col("high"))).over(column)).drop("high").distinct()  # lies by g already
     if order.max(initial=0) >= hot:  # hot columns are summed where they are, and what they have in common meets them in a broadcast
         cells = cells.filter("hot").select("g", "c").distinct()
         shared = settle(cells.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("low < high").select("g", "low", F.expr("k > 2").alias("more")), "jaccard-shared")
         cold = cold.unionByName(cells.join(F.broadcast(shared), "g") if shared.count() <= BROADCAST_ROWS else meet(settle(cells, "jaccard-hot"), shared, "g"))
-    cells = settle(cold.distinct(), "jaccard-cells")
+    cells = settle(cold, "jaccard-cells")
     sides = classes.select("c", "n", "bits")
     links = _linked(base, _stars(cells, sides, num, den), classes, width, num, den)
     roots = components(links, "jaccard-roots")
