@@ -248,6 +248,8 @@ def _linked(base: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, n
 def _stars(cells: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """Each row of a column with the column's first row, where sizes and bitmaps allow a link."""
     pairs = settle(cells.filter("c > low").select("c", F.col("low").alias("pivot")).distinct(), "jaccard-stars")
+    need = settle(pairs.select("c").unionByName(pairs.select(F.col("pivot").alias("c"))).distinct(), "jaccard-need")
+    rows = rows.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "c", "left_semi")
     pairs = meet(pairs, rows.select(F.col("c").alias("pivot"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "pivot", many=2000)
 
     def screen(batches):
