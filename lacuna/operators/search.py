@@ -15,10 +15,26 @@ def best(scored: DataFrame, ties: list[str], by: list[str] | None = None, score:
     return (scored.groupBy(*by) if by else scored.groupBy()).agg(pick).filter("b is not null").select("b.*")
 
 
-def ranked(scored: DataFrame, ties: list[str], by: list[str] | None = None, score: str | Column = "d") -> DataFrame:
-    s = F.col(score) if isinstance(score, str) else score
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return scored.withColumn("rn", F.row_number().over(w.orderBy(s, *ties)))
+#: Ranges of scores in which the ranks of a whole table are counted apart.
+RANGES = 64
+
+
+def numbered(few: DataFrame, order: list[str]) -> DataFrame:
+    """`few`, of a number of rows that the caller bounds, numbered by rn."""
+    return few.withColumn("rn", F.row_number().over(Window.partitionBy().orderBy(*order)))
+
+
+def ranked(scored: DataFrame, ties: list[str], by: list[str] | None = None, score: str = "d") -> DataFrame:
+    """scored with rn, each row's rank: within its group of `by`, or in the whole table. There a rank is the rank within a range of scores and the number of rows
+    in the ranges below, so no task takes all rows; the ranges come from approximate quantiles, on which no rank depends. Nulls come first, NaN last."""
+    if by:
+        return scored.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(score, *ties)))
+    bounds = sorted(set(scored.withColumn("_s", F.col(score).cast("double")).approxQuantile("_s", [i / RANGES for i in range(1, RANGES)], 0.01)))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(score))) if bounds else F.lit(0)
+    scored = scored.withColumn("_b", place)
+    sizes = scored.groupBy("_b").agg(F.count("*").alias("_k"))  # RANGES rows at most
+    below = sizes.select("_b", (F.sum("_k").over(Window.partitionBy().orderBy("_b")) - F.col("_k")).alias("_below"))
+    return scored.join(F.broadcast(below), "_b").withColumn("rn", F.row_number().over(Window.partitionBy("_b").orderBy(score, *ties)) + F.col("_below")).drop("_b", "_below")
 
 
 def top(scored: DataFrame, k: int, ties: list[str], by: list[str] | None = None, radius: float | None = None, score: str = "d") -> DataFrame:
@@ -26,13 +42,13 @@ def top(scored: DataFrame, k: int, ties: list[str], by: list[str] | None = None,
     got = scored if radius is None else scored.filter(F.col(score) < radius)
     if by:
         return ranked(got, ties, by, score).filter(F.col("rn") <= k)
-    return ranked(got.orderBy(score, *ties).limit(k), ties, None, score)
+    return numbered(got.orderBy(score, *ties).limit(k), [score, *ties])
 
 
 def top_or_fail(scored: DataFrame, k: int, ties: list[str], score: str = "d") -> DataFrame:
     """The k best; an error if there are fewer."""
     got = top(scored, k, ties, None, None, score)
-    count = F.count("*").over(Window.partitionBy())
+    count = F.count("*").over(Window.partitionBy())  # of k rows at most
     return got.withColumn("_n", count).filter(F.coalesce(F.assert_true(F.col("_n") >= k, F.lit("fewer candidates than k")).isNull(), F.lit(True))).drop("_n")
 
 
@@ -43,8 +59,8 @@ def strided(scored: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 def below_or_all(scored: DataFrame, threshold: float, score: str = "d") -> DataFrame:
     """All below the threshold; if there are none, all."""
-    any_ = F.max(F.col(score) < threshold).over(Window.partitionBy())
-    return scored.withColumn("_any", any_).filter((F.col(score) < threshold) | ~F.col("_any")).drop("_any")
+    some = scored.agg(F.coalesce(F.max(F.col(score) < threshold), F.lit(False))).scalar()
+    return scored.filter((F.col(score) < threshold) | ~some)
 
 
 def limit_reuse(scored: DataFrame, copied: DataFrame, limit: float, on: list[str]) -> DataFrame:
@@ -55,8 +71,8 @@ def limit_reuse(scored: DataFrame, copied: DataFrame, limit: float, on: list[str
 def limit_local_reuse(scored: DataFrame, used: DataFrame, limit: float, on: list[str], step: int = 10) -> DataFrame:
     """Candidates with at most `limit` used pixels, the limit raised by steps until there is one: the steps follow from the least use."""
     both = scored.join(used, on)
-    raise_ = F.greatest(F.lit(0.0), F.ceil((F.min("used").over(Window.partitionBy()) - limit) / step)) * step
-    return both.withColumn("_l", F.lit(limit) + raise_).filter(F.col("used") <= F.col("_l")).drop("_l")
+    raise_ = F.greatest(F.lit(0.0), F.ceil((both.agg(F.min("used")).scalar() - limit) / step)) * step
+    return both.filter(F.col("used") <= F.lit(limit) + raise_).drop("used")
 
 
 def without(scored: DataFrame, used: DataFrame, on: list[str]) -> DataFrame:
@@ -74,7 +90,7 @@ def staged(scored: DataFrame, k: int, second: str, ties: list[str], first: str =
 
 def resorted(scored: DataFrame, k: int, second: str, ties: list[str], first: str = "d") -> DataFrame:
     got = top(scored, k, ties, None, None, first).withColumnRenamed("rn", "rn1")
-    return ranked(got, ["rn1"], None, second)
+    return numbered(got, [second, "rn1"])
 
 
 def near(px: DataFrame, cx: int, cy: int, radius: int) -> Column:

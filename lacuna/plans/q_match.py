@@ -262,7 +262,7 @@ def r10(spark, sf):
 def r13(spark, sf):
     first = candidates3(grid.pixels3(spark, sf)).select("cx", "cy", F.col("rn").alias("rn1"))
     got = compare(spark, sf, "grad", 30, normal=True).withColumn("d", F.round("d", 9)).join(first, ["cx", "cy"])
-    return search.ranked(got, ["rn1"]).select("cx", "cy", "rn")
+    return search.numbered(got, ["d", "rn1"]).select("cx", "cy", "rn")
 
 
 def _lidar(name: str, ranked: bool = False):
@@ -279,7 +279,7 @@ def _lidar(name: str, ranked: bool = False):
         if not ranked:
             return got.select("cx", "cy", rd("d").alias("d"))
         first = candidates3(grid.pixels3(spark, sf)).select("cx", "cy", F.col("rn").alias("rn1"))
-        return search.ranked(got.withColumn("d", F.round("d", 9)).join(first, ["cx", "cy"]), ["rn1"]).select("cx", "cy", "rn")
+        return search.numbered(got.withColumn("d", F.round("d", 9)).join(first, ["cx", "cy"]), ["d", "rn1"]).select("cx", "cy", "rn")
 
 
 _lidar("r14_lidar_rgb_texture")

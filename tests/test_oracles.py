@@ -7,7 +7,7 @@ import pytest
 
 from lacuna.plans import registry
 
-CHOSEN = ["f4_sum_absolute", "f15_angle", "a1_patch_ssd", "a5_vectorised_difference", "a6_vectorised_indices_difference", "a7_gmh_difference", "a10_under_the_hole", "k10_limit_local_reuse", "k14_two_step", "k18_local_optimisation", "p5_neighborhood_search", "p18_vectorised_patch", "p19_feature_vector_of_patch", "p20_precomputed_features", "p24_region_copy", "w1_masked_derivative", "w3_masked_sobel", "w9_boundary_energy", "w13_masked_blur", "w15_across_hole", "q3_confidence_update", "q7_curvature", "q12_push_or_update", "q13_top", "u1_paint_patch", "u2_paint_vertex", "u3_paint_two_images", "u7_replay", "g7_forward_look", "r8_adaptive_dual_quadrant_histogram", "v5_average_difference", "v12_dilated_source_hole_target_valid", "v20_all_quadrants"]
+CHOSEN = ["f4_sum_absolute", "f15_angle", "a1_patch_ssd", "a5_vectorised_difference", "a6_vectorised_indices_difference", "a7_gmh_difference", "a10_under_the_hole", "k5_knn_stride", "k10_limit_local_reuse", "k13_below_threshold_or_all", "k13_fall_back_to_all", "k14_two_step", "k18_local_optimisation", "k24_insert_erase", "k24_metric_knn_by_label", "k24_metric_range", "k25_vantage_point", "k26_best_in_each_graph", "p5_neighborhood_search", "p10_stride", "p18_vectorised_patch", "p19_feature_vector_of_patch", "p20_precomputed_features", "p24_region_copy", "w1_masked_derivative", "w3_masked_sobel", "w9_boundary_energy", "w13_masked_blur", "w15_across_hole", "q3_confidence_update", "q7_curvature", "q12_push_or_update", "q16_sort_by_score", "q13_top", "u1_paint_patch", "u2_paint_vertex", "u3_paint_two_images", "u7_replay", "g7_forward_look", "r13_sort_by_gmh", "r8_adaptive_dual_quadrant_histogram", "v5_average_difference", "v12_dilated_source_hole_target_valid", "v20_all_quadrants"]
 NAMES = sorted(registry.ORACLES) if os.environ.get("ALL_ORACLES") else CHOSEN
 SF = "/root/testdata/sf0.001"
 
