@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import patches, priority, search
+from . import patches, priority, search, windows
 
 
 def check_match(px: DataFrame, tx: int, ty: int, sx: int, sy: int, r: int) -> DataFrame:
@@ -64,13 +64,89 @@ def _matches(v: np.ndarray, hole: np.ndarray, can: np.ndarray, ty: int, tx: int,
     return got[np.argsort(got[:, 2], kind="stable")]
 
 
-def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1):
-    """Values, source positions and the step of each filled cell, for a grid v [y, x] and its holes: the boundary cell of the highest confidence is
-    filled from the patch of least mean squared difference, until no hole is left. `neighborhood` limits candidates to a square about the target. With `accept`,
-    a best match of that difference or more is not taken: the whole grid is searched where the search was local, and of the k best the one of the least mean absolute difference is taken, in place
-    of a person's choice. Ties go to the smaller y, then x."""
+def _moved(a: np.ndarray, k: int, axis: int, fill: float) -> np.ndarray:
+    """a's cells k farther along an axis, at the place of each; `fill` beyond the edge."""
+    a = np.moveaxis(a, axis, 0)
+    out = np.full(a.shape, fill)
+    if abs(k) < len(a):
+        out[max(0, -k) : len(a) - max(0, k)] = a[max(0, k) : len(a) + min(0, k)]
+    return np.moveaxis(out, 0, axis)
+
+
+def _slope(v: np.ndarray, hole: np.ndarray, axis: int) -> np.ndarray:
+    """The masked derivative along an axis, averaged with a Gaussian's weights across it, as by windows.gaussian; 0 where there is none."""
+    seen = np.where(hole, np.nan, v)
+    a, b = _moved(seen, -1, axis, np.nan), _moved(seen, 1, axis, np.nan)
+    d = np.where(hole, np.nan, np.where(np.isnan(a), b - seen, np.where(np.isnan(b), seen - a, (b - a) / 2)))
+    weights = windows.kernel(11, 3.0)
+    part, used = np.zeros(v.shape), np.zeros(v.shape)
+    for k, w in enumerate(weights, -(len(weights) // 2)):
+        at = _moved(d, k, 1 - axis, np.nan)
+        part += np.where(np.isnan(at), 0, at * w)
+        used += np.where(np.isnan(at), 0, w)
+    return np.where(hole | (used == 0), 0, part / np.where(used == 0, 1, used))
+
+
+def _blurred(v: np.ndarray, there: np.ndarray, variance: float, radius: int = 3) -> np.ndarray:
+    """The Gaussian mean over the cells that are there, as by windows.convolved; 0 where none is near."""
+    total, weight = np.where(there, v, 0.0), there.astype(float)
+    for axis in (1, 0):
+        total, weight = (sum(_moved(x, k, axis, 0.0) * np.exp(-k * k / (2 * variance)) for k in range(-radius, radius + 1)) for x in (total, weight))
+    return np.where(weight > 0, total / np.where(weight > 0, weight, 1), 0)
+
+
+def _data_term(v: np.ndarray, hole: np.ndarray) -> np.ndarray:
+    """|isophote . normal| / 255, as in priority.criminisi, for a grid of one channel."""
+    ix, iy = -_slope(v, hole, 0), _slope(v, hole, 1)
+    m = _blurred(np.where(hole, 0.0, 1.0), np.ones(hole.shape, bool), 2.0)
+    pad = np.pad(m, 1, mode="edge")
+    nx, ny = (pad[1:-1, 2:] - pad[1:-1, :-2]) / 2, (pad[2:, 1:-1] - pad[:-2, 1:-1]) / 2
+    length = np.hypot(nx, ny)
+    return np.abs(ix * nx + iy * ny) / np.where(length > 0, length, 1) / 255
+
+
+def _histogram_scores(f: np.ndarray, hole: np.ndarray, best: np.ndarray, ty: int, tx: int, r: int, bins: int = 30) -> np.ndarray:
+    """For each candidate, the sum of differences between its histogram of f and the target's, both as shares: the target by its valid cells, a candidate by all of its patch, in bins over
+    the target's range; what lies beyond counts in the end bins."""
+    y0, y1, x0, x1 = max(0, ty - r), ty + r + 1, max(0, tx - r), tx + r + 1
+    t = f[y0:y1, x0:x1][~hole[y0:y1, x0:x1]]
+    lo, width = t.min(), np.ptp(t)
+
+    def shares(x: np.ndarray) -> np.ndarray:
+        place = np.clip(np.floor((x - lo) / width * bins), 0, bins - 1).astype(int) if width > 0 else np.zeros(x.shape, int)
+        return np.bincount(place.ravel(), minlength=bins) / x.size
+
+    own = shares(t)
+    return np.round([np.abs(shares(f[y - r : y + r + 1, x - r : x + r + 1]) - own).sum() for y, x in best[:, :2].astype(int)], 9)
+
+
+#: What a second stage may rank the first stage's k best by.
+SECOND = ("absolute", "histogram", "gradient_histogram")
+
+
+def _ranked_again(second: str, v: np.ndarray, f: np.ndarray, hole: np.ndarray, best: np.ndarray, ty: int, tx: int, r: int) -> np.ndarray:
+    """The candidates by the second stage's score; equal ones keep the first stage's order."""
+    if second == "absolute":
+        score = best[:, 3]
+    else:
+        score = _histogram_scores(f if second == "gradient_histogram" else v, hole, best, ty, tx, r)
+    return best[np.argsort(score, kind="stable")]
+
+
+def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1, order: str = "confidence", blur: float | None = None, second: str | None = None, strict: bool = False):
+    """Values, source positions and the step of each filled cell, for a grid v [y, x] and its holes: the boundary cell of the highest priority is
+    filled from the patch of least mean squared difference, until no hole is left.
+
+    order: the priority, the patch's `confidence`, or with the data term, `criminisi`. blur: patches are compared in the grid blurred with this variance, which is painted along with
+    the grid itself. neighborhood: candidates lie in a square about the target, or anywhere if none does. second: the k best are ranked again, by one of SECOND, and the first of them
+    is taken; gradients are those of the grid before the filling, 0 in its holes. accept: a match of that mean squared difference or more is not taken; the whole grid is searched where the search was
+    local, and of the k best the one of the least mean absolute difference is taken, in place of a person's choice; or, if strict, it is an error. Ties go to the smaller y, then x."""
+    if order not in ("confidence", "criminisi") or second not in (None, *SECOND):
+        raise ValueError(f"no such order or second stage: {order}, {second}")
     v, hole, before = v.copy(), hole.copy(), hole.copy()
     h, w = v.shape
+    seen = v if blur is None else _blurred(v, ~hole, blur)
+    f = np.hypot(_slope(v, hole, 1), _slope(v, hole, 0)) if second == "gradient_histogram" else v
     yy, xx = np.mgrid[0:h, 0:w]
     sx, sy, step = np.where(hole, -1, xx), np.where(hole, -1, yy), np.where(hole, 0, -1)
     conf = np.where(hole, 0.0, 1.0)
@@ -81,42 +157,49 @@ def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = Non
         edge = ~hole & (np.rint(_sum(hole.astype(float), 1)) > 0)
         if not edge.any():
             break
-        pr = np.where(edge, np.round(_sum(np.where(hole, 0, conf), r) / area, 9), -1)
+        term = _sum(np.where(hole, 0, conf), r) / area
+        pr = np.where(edge, np.round(term * _data_term(v, hole) if order == "criminisi" else term, 9), -1)
         ty, tx = np.unravel_index(int(pr.argmax()), pr.shape)
         can = source
         if neighborhood is not None:
             near = np.zeros_like(source)
             near[max(0, ty - neighborhood) : ty + neighborhood + 1, max(0, tx - neighborhood) : tx + neighborhood + 1] = True
             can = source & near if (source & near).any() else source
-        best = _matches(v, hole, can, ty, tx, r)
+        best = _matches(seen, hole, can, ty, tx, r)
         if not len(best):
             break
-        py, px, d, _ = best[0]
-        if accept is not None and d >= accept:
+        chosen = _ranked_again(second, v, f, hole, best[:k], ty, tx, r)[0] if second else best[0]
+        if accept is not None and chosen[2] >= accept:
+            if strict:
+                raise ValueError(f"the match at x = {tx}, y = {ty} is not accepted: {chosen[2]}")
             if neighborhood is not None:
-                best = _matches(v, hole, source, ty, tx, r)
-            py, px, d, _ = min(best[:k], key=lambda b: b[3])
-        py, px = int(py), int(px)
-        c = pr[ty, tx]
+                best = _matches(seen, hole, source, ty, tx, r)
+            chosen = min(best[:k], key=lambda b: b[3])
+        py, px = int(chosen[0]), int(chosen[1])
+        c = term[ty, tx]
         for dy in range(-r, r + 1):
             for dx in range(-r, r + 1):
                 y, x = ty + dy, tx + dx
                 if 0 <= y < h and 0 <= x < w and hole[y, x]:
                     v[y, x], sy[y, x], sx[y, x], step[y, x] = v[py + dy, px + dx], sy[py + dy, px + dx], sx[py + dy, px + dx], n
+                    if blur is not None:
+                        seen[y, x] = seen[py + dy, px + dx]
+                    if second == "gradient_histogram":
+                        f[y, x] = f[py + dy, px + dx]
                     hole[y, x], conf[y, x] = False, c
         n += 1
     return v, sx, sy, step
 
 
-def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: float | None = None, k: int = 1) -> DataFrame:
-    """(image_id, x, y, v, iter, src_x, src_y): each image filled, in a task of its own; iter is the step that filled a pixel, -1 if it was valid."""
+def inpaint(px: DataFrame, r: int, **how) -> DataFrame:
+    """(image_id, x, y, v, iter, src_x, src_y): each image filled, in a task of its own, as fill() does with `how`; iter is the step that filled a pixel, -1 if it was valid."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = pdf["x"].min(), pdf["y"].min()
         x, y = (pdf["x"] - x0).to_numpy(), (pdf["y"] - y0).to_numpy()
         v, hole = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1), bool)
         v[y, x], hole[y, x] = pdf["v"], pdf["hole"]
-        v, sx, sy, step = fill(v, hole, r, neighborhood, accept, k)
+        v, sx, sy, step = fill(v, hole, r, **how)
         shift = lambda s, o: np.where(s < 0, s, s + o)
         return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "x": pdf["x"].to_numpy(), "y": pdf["y"].to_numpy(), "v": v[y, x], "iter": step[y, x], "src_x": shift(sx, x0)[y, x], "src_y": shift(sy, y0)[y, x]})
 

@@ -427,4 +427,38 @@ _loop("g1_inpainting")
 _loop("g2_inpainting_local_search", neighborhood=24)
 _loop("g3_inpainting_verification", accept=0.03, k=10)
 _loop("g4_local_global_search", neighborhood=24, accept=0.03, k=10)
-_loop("g5_inpainting_loop")
+_loop("g5_inpainting_loop", accept=9.0, strict=True)
+
+
+# ---- sinks ---------------------------------------------------------------------------------------------------------
+
+
+@query("io6_image_sink", "SELECT x, y, round(v, 6) + 0.0 AS v, hole FROM px")
+def io6(spark, sf):
+    return grid.through(px1(spark, sf), "io6").select("x", "y", rd("v").alias("v"), "hole")
+
+
+@query("io7_final_image", PAINT + "SELECT x, y, round(v, 6) + 0.0 AS v, hole FROM n")
+def io7(spark, sf):
+    return grid.through(painted(px1(spark, sf)), "io7").select("x", "y", rd("v").alias("v"), "hole")
+
+
+@query("io10_iterations", PAINT + "SELECT 0 AS iter, x, y, round(v, 6) + 0.0 AS v, hole FROM px UNION ALL SELECT 1, x, y, round(v, 6) + 0.0, hole FROM n")
+def io10(spark, sf):
+    """The grid before and after a paint, in a folder each."""
+    px = px1(spark, sf)
+    both = px.select("x", "y", "v", "hole", F.lit(0).alias("iter")).unionByName(painted(px).select("x", "y", "v", "hole", F.lit(1).alias("iter")))
+    return grid.through(both, "io10", "iter").select("iter", "x", "y", rd("v").alias("v"), "hole")
+
+
+@query("io11_debug_regions", "SELECT 'source' AS region, x, y, round(v, 6) + 0.0 AS v FROM px WHERE x BETWEEN 20 AND 28 AND y BETWEEN 294 AND 302 UNION ALL SELECT 'target', x, y, round(v, 6) + 0.0 FROM px WHERE x BETWEEN 15 AND 23 AND y BETWEEN 106 AND 114")
+def io11(spark, sf):
+    """The source's and the target's patch of a match, in a folder each."""
+    px = px1(spark, sf)
+    both = [patches.patch(px, x, y, R).select("x", "y", "v", F.lit(name).alias("region")) for name, x, y in (("source", SX, SY), ("target", TX, TY))]
+    return grid.through(both[0].unionByName(both[1]), "io11", "region").select("region", "x", "y", rd("v").alias("v"))
+
+
+@query("io13_target_patch", "SELECT x, y, round(v, 6) + 0.0 AS v, hole FROM px WHERE x BETWEEN 15 AND 23 AND y BETWEEN 106 AND 114")
+def io13(spark, sf):
+    return grid.through(patches.patch(px1(spark, sf), TX, TY, R), "io13").select("x", "y", rd("v").alias("v"), "hole")

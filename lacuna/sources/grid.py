@@ -5,6 +5,11 @@ A grid is a DataFrame (image_id, x, y, value columns, hole). A table of arrays i
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +48,7 @@ def pixels3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_grid(embeddings(spark, sf_dir), hole=rect(*M3))
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
+def image_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(image_id, x, y, c0, c1, c2) of image files, by Spark's image source; image_id is a hash of the file's name. Channels come in the file's order (BGR)."""
     img = spark.read.format("image").load(path).select(F.xxhash64("image.origin").alias("image_id"), "image.width", "image.height", "image.nChannels", F.col("image.data").alias("d"))
     px = img.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
@@ -51,6 +56,19 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return px.select("image_id", F.expr("i % width").cast("int").alias("x"), F.expr("i div width").cast("int").alias("y"), *[byte(k).alias(f"c{k}") for k in range(3)])
 
 
+def mask_files(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(image_id, x, y, hole) of the mask files under path: each has one line `hole valid file`, and the image of that name in `folder` (the masks' own, if none) says by its levels which
+    pixels are holes. image_id is that of the mask image's file; levels that are neither value are an error."""
+    header = mask_header(spark.read.text(path)).withColumn("file", F.concat(F.lit((folder or path.rsplit("/", 1)[0]) + "/"), "file"))
+    images = [r["file"] for r in header.select("file").distinct().collect()]  # names of files, which must be listed to be read
+    level = image_files(spark, images).select("image_id", "x", "y", F.col("c0").cast("int").alias("level"))
+    names = spark.read.format("image").load(images).select(F.xxhash64("image.origin").alias("image_id"), F.element_at(F.split("image.origin", "/"), -1).alias("name"))
+    header = header.withColumn("name", F.element_at(F.split("file", "/"), -1)).drop("file")
+    got = level.join(names, "image_id").join(header, "name")
+    sound = F.assert_true(F.col("level").isin(F.col("hole_value"), F.col("valid_value")), F.lit("a level of the mask is neither hole nor valid"))
+    return got.filter(F.coalesce(sound.isNull(), F.lit(True))).select("image_id", "x", "y", (F.col("level") == F.col("hole_value")).alias("hole"))
+
+
 def mask_header(lines: DataFrame, value: str = "value") -> DataFrame:
     """(hole_value, valid_value, file) of mask files' header lines: `hole valid file`."""
     parts = F.split(F.trim(value), r"\s+")
@@ -83,3 +101,18 @@ def write_grid(px: DataFrame, path: str, by: str | None = None) -> None:
     """The grid as Parquet, in one folder or one for each value of `by` (an iteration, an image)."""
     out = px.write.mode("overwrite")
     (out.partitionBy(by) if by else out).parquet(path)
+
+
+def through(px: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """px written by write_grid and read again: the sink's content. It lies in the folder that driver and executors share, named in spark.checkpoint.dir; where none is named, a temporary one serves
+    on a single machine."""
+    spark = px.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lacuna-")
+        atexit.register(shutil.rmtree, root, True)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    write_grid(px, path, by)
+    return spark.read.parquet(path)
