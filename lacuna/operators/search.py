@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import grid
+
 
 def best(scored: DataFrame, ties: list[str], by: list[str] | None = None, score: str = "d") -> DataFrame:
     """The row of the least score, for each group of `by` if given."""
@@ -26,9 +28,10 @@ def numbered(few: DataFrame, order: list[str]) -> DataFrame:
 
 def ranked(scored: DataFrame, ties: list[str], by: list[str] | None = None, score: str = "d") -> DataFrame:
     """scored with rn, each row's rank: within its group of `by`, or in the whole table. There a rank is the rank within a range of scores and the number of rows
-    in the ranges below, so no task takes all rows; the ranges come from approximate quantiles, on which no rank depends. Nulls come first, NaN last."""
+    in the ranges below, so no task takes all rows; the ranges come from approximate quantiles, on which no rank depends. The scores are written once and read three times. Nulls come first, NaN last."""
     if by:
         return scored.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(score, *ties)))
+    scored = grid.through(scored, "ranked")
     bounds = sorted(set(scored.withColumn("_s", F.col(score).cast("double")).approxQuantile("_s", [i / RANGES for i in range(1, RANGES)], 0.01)))
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(score))) if bounds else F.lit(0)
     scored = scored.withColumn("_b", place)
