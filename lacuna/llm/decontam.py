@@ -30,25 +30,19 @@ def word_array(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, SPACE), lambda w: F.xxhash64(w)))
 
 
-def _keys(h: Column) -> Column:
-    """For each mask, at each word, the hash of the words that count there; null where the mask does not fit. One array, mask after mask,
-    each as long as h. The lambda's variable holds h, which is so worked out once."""
-
-    def one_mask(x: Column, number: int, mask: str) -> Column:
-        picked = lambda i: [F.get(x, i + j) for j, bit in enumerate(mask) if bit == "1"]
-        return F.transform(x, lambda _, i: F.when(i + len(mask) <= F.size(x), F.xxhash64(F.lit(number), *picked(i))))
-
-    def all_masks(x: Column) -> Column:
-        return F.concat(*[one_mask(x, number, mask) for number, mask in enumerate(MASKS)])
-
-    return F.get(F.transform(F.array(h), all_masks), F.lit(0))
-
-
 def _seeds(rows: DataFrame, h: Column) -> DataFrame:
-    """rows, but for the text or words themselves, with k and i: the key at word i by each mask."""
+    """rows, but for the text or words themselves, with k and i: the key at word i by each mask, the hash of the words that count there, where the mask fits. Words are hashed once a text; keys
+    are worked out a row at a time, in compiled code. What is exploded is not a plain column, as a filter on its size would work the words out a second time."""
     kept = [c for c in rows.columns if c not in ("t", "q")]
-    at = rows.withColumn("_k", _keys(h)).select(*kept, (F.size("_k") / len(MASKS)).cast("int").alias("_n"), F.posexplode("_k").alias("_p", "k"))
-    return at.filter("k is not null").select(*kept, "k", F.expr("_p % _n").alias("i"))
+    n = F.size("_h")
+    at = rows.withColumn("_h", h).select(*kept, "_h", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("i"))
+
+    def key(number: int, mask: str) -> Column:
+        picked = [F.get("_h", F.col("i") + j) for j, bit in enumerate(mask) if bit == "1"]
+        return F.when(F.col("i") + len(mask) <= n, F.xxhash64(F.lit(number), *picked))
+
+    keys = F.array(*[key(number, mask) for number, mask in enumerate(MASKS)])
+    return at.select(*kept, "i", F.explode(keys).alias("k")).filter("k is not null").select(*kept, "k", "i")
 
 
 def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
