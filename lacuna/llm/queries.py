@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lm, mixing, secrets, sharding, topk, urls
+from . import centroids, chat, decontam, jaccard, langid, lines, lm, mixing, secrets, sharding, spelling, topk, urls
 from .common import own_folder, table
 
 
@@ -61,5 +61,19 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op7_language_id": op7_language_id, "op5_secret_scan": op5_secret_scan, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter, "op2_decontamination": op2_decontamination, "op4_exact_topk": op4_exact_topk, "op3_lm_score": op3_lm_score}
-ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_exact_topk": topk.ORACLE}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(centroids.whole(table(spark, sf_dir, "embeddings")))
+    return out.select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op7_language_id": op7_language_id, "op5_secret_scan": op5_secret_scan, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter, "op2_decontamination": op2_decontamination, "op4_exact_topk": op4_exact_topk, "op3_lm_score": op3_lm_score, "op11_line_dedup": op11_line_dedup, "op12_spelling_variants": op12_spelling_variants, "op13_centroid_clustering": op13_centroid_clustering}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_exact_topk": topk.ORACLE, "op11_line_dedup": lines.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_centroid_clustering": centroids.oracle()}
