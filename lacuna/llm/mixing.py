@@ -184,15 +184,15 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     without words, is not part of the mix."""
     rows, pieces = plan(docs, key=key, text=text, source=source, **how)
     got = pieces.groupBy("sid", "at", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    got = rows.join(got, ["sid", "at"]).select("key", "th", "nth", F.struct((F.col("words") == F.col("size")).alias("whole"), "cuts").alias("e"))
-    got = got.groupBy("key", "th", "nth").agg(F.collect_list("e").alias("es"))  # at most two or three epochs for a text
+    got = rows.join(got, ["sid", "at"]).select("key", "th", "source", "nth", F.struct((F.col("words") == F.col("size")).alias("whole"), "cuts").alias("e"))
+    got = got.groupBy("key", "th", "source", "nth").agg(F.collect_list("e").alias("es"))  # at most two or three epochs for a text
+    # a text is the nth of those equal to it under its key in its source, on both sides: equal texts of several sources are drawn apart
     repeated = bool(rows.filter("nth > 1").take(1))
-    side = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": F.xxhash64(f"`{text}`")})
-    side = side.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__h").orderBy(F.col(f"`{source}`"))) if repeated else F.lit(1))
-    if repeated:  # equal texts under one key may stand in several sources: numbered as a whole on both sides
-        got = got.withColumn("nth", F.row_number().over(Window.partitionBy("key", "th").orderBy("nth")))
-    got = got.withColumnsRenamed({"key": "__key", "th": "__th", "nth": "__nth", "es": "__es"})  # docs may have columns of these names
-    out = side.join(got.hint("shuffle_hash"), F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")) & (F.col("__n") == F.col("__nth"))).withColumn("__e", F.explode("__es"))
+    side = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": F.xxhash64(f"`{text}`"), "__s": F.col(f"`{source}`").cast("string")})
+    side = side.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__h", "__s").orderBy(F.lit(0))) if repeated else F.lit(1))
+    got = got.withColumnsRenamed({"key": "__key", "th": "__th", "source": "__source", "nth": "__nth", "es": "__es"})  # docs may have columns of these names
+    same = F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__nth"))
+    out = side.join(got.hint("shuffle_hash"), same).withColumn("__e", F.explode("__es"))
     tokens = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.concat_ws(" ", F.flatten(F.transform("__e.cuts", lambda c: F.slice(tokens, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
     out = out.withColumn(text, F.when(F.col("__e.whole"), F.col(f"`{text}`")).otherwise(cut))

@@ -154,7 +154,7 @@ def test_model_gradient_and_windows():
     of, share = lm._classes(rng.integers(0, 1000, (2, lm.IDS)))
     pairs = np.log(rng.dirichlet(np.ones(lm.CLASSES), 2 * lm.CLASSES)).astype(np.float32)
     m = lm.Model(lm.Model.start(), of, share, pairs)
-    x = {"id": rng.integers(0, lm.IDS, 200).astype(np.int32), "opens": rng.random(200) < 0.3, "total": np.array([70, 1, 129]), "num": np.zeros(200, np.float32), "den": np.zeros(200, np.float32), "stop": np.zeros(3)}
+    x = {"id": rng.integers(0, lm.IDS, 200).astype(np.int32), "opens": rng.random(200) < 0.3, "total": np.array([70, 1, 129]), "num": np.zeros(200, np.float32), "den": np.zeros(200, np.float32), "kinds": np.zeros(200, np.float32), "stop": np.zeros(3)}
     assert np.allclose(m.score(x), m.score(x, step=3), rtol=1e-4)
     c, o, row, to, _, place, _ = m.blocks(x)
     real = np.zeros(len(to), bool)
@@ -403,6 +403,17 @@ def test_mix(spark, odd, empty):
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mix_of_texts_that_stand_in_several_sources(spark):
+    rows = [(1, prose(300, 1), "A"), (1, prose(300, 1), "B"), (1, prose(300, 1), "B"), (1, prose(300, 1), None), (None, prose(40, 2), "A"), (None, prose(40, 2), "B"), (None, prose(40, 2), None)]
+    docs = spark.createDataFrame(rows + [(i, prose(100, i), "AB"[i % 2]) for i in range(2, 40)], "doc_id long, text string, source string").withColumn("note", F.monotonically_increasing_id())
+    want, got = Counter(), Counter()
+    for r in mixing.taken(docs, block=16, shards=8).collect():
+        want[r["key"], r["source"]] += r["taken"]
+    for r in mixing.mixed(docs, block=16, shards=8).collect():
+        got[r["doc_id"], r["source"]] += len(words(r["text"]))
+    assert +got == +want and want[1, "B"] > 0
+
+
 def test_permutation_and_draws():
     for n in (1, 2, 5, 1000):
         p = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 7))
