@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import meet, settle
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts into pieces that the vocabulary was made for. Fixed value.
@@ -112,7 +112,7 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     # depth first: paths in order; a node belongs to the first path that has it, and a path's own nodes follow by depth
     paths = convs.groupBy("leaf").agg(F.first("path").alias("path"))
     paths = settle(paths.orderBy("path").withColumn("rank", F.monotonically_increasing_id()), "chat-paths")
-    steps = paths.select("rank", F.posexplode("path").alias("depth", "node"))
+    steps = settle(paths.select("rank", F.posexplode("path").alias("depth", "node")), "chat-steps")
     own = steps.groupBy("node").agg(F.min("rank").alias("rank")).join(coded.select("node", "depth", "n"), "node").withColumn("range", F.shiftright("rank", 33))
     own = settle(own, "chat-owners")
     bases = own.groupBy("range").agg(F.sum("n").alias("sum"))
@@ -120,7 +120,8 @@ def build(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     run = F.sum("n").over(Window.partitionBy("range").orderBy("rank", "depth").rowsBetween(Window.unboundedPreceding, 0))
     own = own.withColumn("run", run).join(bases, "range").withColumn("end", F.col("base") + F.col("run"))
     own = settle(own.select("node", F.col("rank").alias("owner"), "depth", (F.col("end") - F.col("n")).alias("start"), "end"), "chat-places")
-    seen = steps.select("rank", "node").join(own, "node").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "end", "node", "owner"))).alias("x"))
+    # a first turn that many paths share is one node: such nodes meet their paths in a broadcast
+    seen = meet(steps.select("rank", "node"), own, "node").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "end", "node", "owner"))).alias("x"))
 
     def intervals(batches):
         for pdf in batches:
@@ -147,7 +148,8 @@ def read_back(nodes: DataFrame, paths: DataFrame, convs: DataFrame, tokenizer: s
     """A row for each conversation, from the laid-out tokens alone: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     with open(tokenizer, "rb") as f:
         held = nodes.sparkSession.sparkContext.broadcast(f.read())
-    steps = paths.select("leaf", F.posexplode("path").alias("depth", "node")).join(nodes.select("node", "tokens", "loss_from", "loss_to"), "node")
+    steps = settle(paths.select("leaf", F.posexplode("path").alias("depth", "node")), "chat-read")
+    steps = meet(steps, nodes.select("node", "tokens", "loss_from", "loss_to"), "node", many=2000)  # texts of hot nodes: few may be broadcast
 
     def digest(batches):
         codec = Codec(held.value)

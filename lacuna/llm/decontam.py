@@ -20,8 +20,8 @@ MASKS = ("1111", "111011")
 LEAST = 4
 #: An overlap counts from so many equal words, or from this share of a short item's.
 OVERLAP, SHARE = 13, 0.8
-#: Seeds of the test items that may be broadcast (about 50 bytes each); more are joined by a shuffle.
-BROADCAST_SEEDS = 400_000
+#: Seeds of the test items that may be broadcast (about 50 bytes each); more are joined by a shuffle, in which a seed's rows are dealt SALT ways, and the seeds repeated for each.
+BROADCAST_SEEDS, SALT = 400_000, 16
 
 
 def word_array(text: Column) -> Column:
@@ -59,8 +59,13 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
     seeds = settle(_seeds(each, F.col("q")).select("k", F.col("i").alias("o"), "rep"), "leak-seeds")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).filter("t is not null")
     spots = _seeds(rows.select("key", F.xxhash64("t").alias("th"), "t"), word_array(F.col("t")))
-    small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda x: x)
-    hits = spots.select("key", "th", "k", "i").join(small(seeds), "k").select("key", "th", "rep", (F.col("i") - F.col("o")).alias("first"))
+    spots, on = spots.select("key", "th", "k", "i"), ["k"]
+    if seeds.count() <= BROADCAST_SEEDS:
+        seeds = F.broadcast(seeds)
+    else:  # few common words in a row may be a seed that very many texts have
+        spots, on = spots.withColumn("salt", F.pmod(F.xxhash64("th", "i"), F.lit(SALT))), ["k", "salt"]
+        seeds = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    hits = spots.join(seeds, on).select("key", "th", "rep", (F.col("i") - F.col("o")).alias("first"))
     hits = hits.groupBy("key", "th", "rep").agg(F.collect_set("first").alias("firsts"))  # no more than a text has words
     hits = settle(hits, "leak-hits")
 

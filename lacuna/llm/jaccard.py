@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import chunks, low, meet, mix, settle, spans, word_hashes
+from .common import chunks, low, meet, mix, settle, small_batches, spans, word_hashes
 
 #: Counters of the sketch, and counters in one of its slices. It orders columns; no result depends on it.
 SKETCH, SLICE = 1 << 23, 1 << 16
@@ -336,6 +336,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     where no row of them has a key. Equal rows stay separate rows with the same result. Every text counts as a whole, however long, and no group, however large, is cut.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = dict(docs.dtypes)[key]
     base = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 

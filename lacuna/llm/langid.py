@@ -11,7 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BUCKETS, ALPHA = 1 << 14, 0.5
+#: Languages at most; more are an error, as the matrix would not be small.
+LANGUAGES = 512
 #: Characters handled at once; a longer text is handled alone, in pieces.
 PIECE = 1 << 18
 _fold: list[np.ndarray] = []
@@ -88,6 +92,7 @@ def _features(cps: np.ndarray, of: np.ndarray, back: int):
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [languages, BUCKETS + 1]; the last column is the log prior) from all rows with text and lang."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).filter("t is not null and l is not null")
 
     def count(batches):
@@ -106,6 +111,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             at = np.flatnonzero(s)
             yield pd.DataFrame({"l": x, "b": at, "n": s[at].astype(np.int64)})
 
+    if rows.select("l").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     found = rows.mapInPandas(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets
     langs = sorted(found["l"].unique())
     m = np.zeros((len(langs), BUCKETS + 1))
@@ -124,6 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     nothing to learn from. Whole texts count, in bounded pieces. Ties go to the first language by name.
     """
     langs, table = model
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((langs, table))
     cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, settle, word_count
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 256, 17
-#: A source's stream is ordered within so many hash ranges, so that no task orders a whole source.
-RANGES = 1024
-#: More sources than this are joined by a shuffle instead of a broadcast.
-BROADCAST_SOURCES = 50_000
+#: A source's stream is ordered within hash ranges, RANGES or as many as there are times PER_RANGE rows, so that no task orders a whole source; copies of a row are dealt out COPIES at a time.
+RANGES, PER_RANGE, COPIES = 1024, 1 << 18, 4096
+#: Sources at most: SHARDS numbers for each are drawn by the driver.
+SOURCES = 50_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -121,32 +121,42 @@ def draw(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return got
 
 
+def content_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns (those of maps cannot be hashed), which tells nulls and their places apart."""
+    return F.xxhash64(*[x for c, kind in docs.dtypes if "map<" not in kind for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED):
-    """(rows, pieces): rows has a row for each row of docs: key, th (hash of its text), nth (its number among equal rows), size, source, source_size, target and
+    """(rows, pieces): rows has a row for each row of docs: key, th (hash of all its columns but maps), copy (its number among those of equal key, th and source), size, source, source_size, target and
     at (its first word's place in the source's stream); pieces has source id `sid`, at, shard, slot, epoch and the words [lo, hi) of the text that the slot takes.
 
     Size: the number of words (null text: 0). A null source is a source. Rows without words have no piece. Equal rows are separate
-    rows, each with its place. An empty table gives empty results. Other columns of docs are not looked at.
+    rows, each with its place; they are counted before rows move, so one that is a third of all is no task's burden. An empty table gives empty results. Other columns only tell rows apart.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    # the one read of the texts; a range of a source's stream is a hash of the key
-    base = settle(base.withColumn("rng", F.pmod(F.xxhash64("key", "th"), F.lit(RANGES)).cast("int")), "mix-sizes")
-    sums = base.groupBy("source", "rng").agg(F.sum("size").alias("n"))
-    found = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()]  # a row for each source
+    base = docs.select(F.col(f"`{key}`").alias("key"), content_hash(docs).alias("th"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    # the one read of the texts
+    base = settle(base.groupBy("key", "th", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
+    ranges = max(RANGES, base.count() // PER_RANGE)
+    base = base.withColumn("rng", F.pmod(F.xxhash64("key", "th"), F.lit(ranges)).cast("int"))
+    sums = base.groupBy("source", "rng").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+    found = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()]  # a row for each source
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: their targets and draws are worked out by the driver")
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets(found, weights, share, most)
     rows = [(i, s, n, g, -(-n // block), *_slots(n, g, block, seed + i)) for i, ((s, n), g) in enumerate(zip(found, goal, strict=True))]
-    src = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, slots long, cut long").coalesce(1)
-    few = len(rows) <= BROADCAST_SOURCES
-    hint = F.broadcast if few else (lambda x: x)
+    src = F.broadcast(spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, slots long, cut long").coalesce(1))
     offsets = settle(sums.withColumn("start", F.sum("n").over(Window.partitionBy("source").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1))).select("source", "rng", F.coalesce("start", F.lit(0)).alias("start")), "mix-offsets")
     w = Window.partitionBy("source", "rng").orderBy("key", "th", "size")
-    same = Window.partitionBy("source", "rng", "key", "th").orderBy("size")
-    placed = base.withColumn("run", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(same))
+    words = F.col("size") * F.col("copies")
+    placed = base.withColumn("run", F.sum(words).over(w.rowsBetween(Window.unboundedPreceding, 0)) - words)
     placed = placed.join(offsets.withColumnsRenamed({"source": "s2", "rng": "r2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("rng") == F.col("r2")))
-    placed = placed.join(hint(src.withColumnRenamed("source", "s3").select("sid", "s3", "source_size", "target")), F.col("source").eqNullSafe(F.col("s3")))
-    placed = settle(placed.select("key", "th", "nth", "size", "source", "sid", "source_size", "target", (F.col("start") + F.col("run")).alias("at")), "mix-rows")
+    placed = placed.join(src.withColumnRenamed("source", "s3").select("sid", "s3", "source_size", "target"), F.col("source").eqNullSafe(F.col("s3")))
+    placed = placed.select("key", "th", "size", "source", "sid", "source_size", "target", "copies", (F.col("start") + F.col("run")).alias("first"), F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")).alias("from"))
+    many = placed.filter("copies > 1").repartition("sid", "first", "from")
+    placed = placed.filter("copies = 1").unionByName(many).withColumn("copy", F.explode(F.expr(f"sequence(from, least(from + {COPIES} - 1, copies - 1))")))
+    placed = settle(placed.select("key", "th", "copy", "size", "source", "sid", "source_size", "target", (F.col("first") + F.col("copy") * F.col("size")).alias("at")), "mix-rows")
 
     count = draw(np.array([r[5] for r in rows], np.int64), shards, seed)
     first = np.concatenate([np.zeros((1, len(rows)), np.int64), np.cumsum(count, 0)])[:-1]
@@ -160,7 +170,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     step = 1 << 14
     slot = drawn.withColumn("from", F.explode(F.expr(f"sequence(lo, lo + n - 1, {step}L)"))).withColumn("to", F.expr(f"least(from + {step} - 1, lo + n - 1)"))
     slot = slot.repartition(max(8, spark.sparkContext.defaultParallelism, int(sum(r[5] for r in rows) >> 17)), "sid", "from")
-    slot = slot.select("shard", "sid", F.explode(F.expr("sequence(from, to)")).alias("slot")).join(hint(src.select("sid", "blocks", "slots", "cut")), "sid")
+    slot = slot.select("shard", "sid", F.explode(F.expr("sequence(from, to)")).alias("slot")).join(src.select("sid", "blocks", "slots", "cut"), "sid")
     slot = slot.withColumn("epoch", F.expr("slot div blocks").cast("int")).withColumn("block", shuffled(F.col("slot") % F.col("blocks"), "blocks", F.col("sid") + F.lit(seed)))
     slot = slot.select("sid", "block", "shard", "slot", "epoch", F.when((F.col("slot") == F.col("slots") - 1) & (F.col("cut") > 0), F.col("cut")).otherwise(block).alias("takes"))
     part = placed.filter("size > 0").select("sid", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
@@ -181,18 +191,18 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = None, **how) -> DataFrame:
     """The mix itself, with docs' columns: a row for each text and epoch that takes words of it, the text cut to the words taken
     where the epoch takes a part (whole texts stay as they are; `length`, if given, holds characters and is set anew). A text that no slot takes, or
-    without words, is not part of the mix."""
+    without words, is not part of the mix. Rows that are equal in all columns are drawn apart, but read once; columns of maps are not compared."""
     rows, pieces = plan(docs, key=key, text=text, source=source, **how)
     got = pieces.groupBy("sid", "at", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    got = rows.join(got, ["sid", "at"]).select("key", "th", "source", "nth", F.struct((F.col("words") == F.col("size")).alias("whole"), "cuts").alias("e"))
-    got = got.groupBy("key", "th", "source", "nth").agg(F.collect_list("e").alias("es"))  # at most two or three epochs for a text
-    # a text is the nth of those equal to it under its key in its source, on both sides: equal texts of several sources are drawn apart
-    repeated = bool(rows.filter("nth > 1").take(1))
-    side = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": F.xxhash64(f"`{text}`"), "__s": F.col(f"`{source}`").cast("string")})
-    side = side.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__h", "__s").orderBy(F.lit(0))) if repeated else F.lit(1))
-    got = got.withColumnsRenamed({"key": "__key", "th": "__th", "source": "__source", "nth": "__nth", "es": "__es"})  # docs may have columns of these names
-    same = F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__nth"))
-    out = side.join(got.hint("shuffle_hash"), same).withColumn("__e", F.explode("__es"))
+    got = rows.join(got, ["sid", "at"]).select("key", "th", "source", "copy", F.struct((F.col("words") == F.col("size")).alias("whole"), "cuts").alias("e"))
+    got = got.groupBy("key", "th", "source", "copy").agg(F.collect_list("e").alias("es"))  # at most two or three epochs for a text
+    same = ["__k", "__h", "__s"]
+    side = docs.withColumns({"__k": F.col(f"`{key}`"), "__h": content_hash(docs), "__s": F.col(f"`{source}`").cast("string")})
+    if rows.filter("copy > 0").take(1):  # equal rows are one here, summed up before they move
+        side = side.groupBy(*same).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__r")).select(*same, "__r.*")
+    got = got.select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("source").alias("__source"), F.col("es").alias("__es"))  # docs may have columns of these names
+    on = F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")) & F.col("__s").eqNullSafe(F.col("__source"))
+    out = side.join(got.hint("shuffle_hash"), on).withColumn("__e", F.explode("__es"))
     tokens = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.concat_ws(" ", F.flatten(F.transform("__e.cuts", lambda c: F.slice(tokens, (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))))
     out = out.withColumn(text, F.when(F.col("__e.whole"), F.col(f"`{text}`")).otherwise(cut))

@@ -12,7 +12,8 @@ from .common import own_folder, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.shard(docs, limit=sharding.limit_for(docs, sharding.SHARDS))
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "shard_depth", "shard_bytes", F.col("shard_rows").alias("shard_docs"))
 
 

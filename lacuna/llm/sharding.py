@@ -19,6 +19,8 @@ BROADCAST_ROWS = 1 << 16
 #: A round's sums go this many bits beyond the shortest directory that could fit, for uneven buckets.
 SLACK = 5
 LIMIT = 16 << 20
+#: The registered query's number of shards, at least, on tables that would fit fewer of LIMIT bytes.
+SHARDS = 64
 
 
 def key_bits(*parts: Column) -> Column:
@@ -27,6 +29,12 @@ def key_bits(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
+def limit_for(docs: DataFrame, shards: int, text: str = "text", most: int = LIMIT) -> int:
+    """The byte limit at which docs' texts fill at least `shards` shards, as far as single rows and keys allow: their bytes by `shards`, rounded up, or `most` if that is less."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+    return max(1, min(most, -(-total // shards)))
+
+
 def shard(docs: DataFrame, key: list[str] | None = None, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with `shard`, `shard_depth`, `shard_bytes` and `shard_rows`.
 
@@ -126,14 +134,14 @@ def directory(shards: DataFrame) -> DataFrame:
 _ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, 15))::BIGINT AS h FROM documents),
 n AS (SELECT k, h >> (60 - k) AS p, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM d, generate_series(0, 60) g(k) GROUP BY ALL),
-i AS (SELECT doc_id, n_bytes, h, min(k) AS k FROM d, n WHERE h >> (60 - k) = p AND (b <= %d OR n = 1) GROUP BY ALL)
+i AS (SELECT doc_id, n_bytes, h, min(k) AS k FROM d, n WHERE h >> (60 - k) = p AND (b <= %s OR n = 1) GROUP BY ALL)
 SELECT doc_id, n_bytes, CASE WHEN k = 0 THEN '' ELSE right(lpad(bin(n.p), 64, '0'), k::INT) END AS shard, k::INT AS shard_depth, n.b AS shard_bytes, n.n AS shard_docs
 FROM i JOIN n USING (k) WHERE h >> (60 - k) = n.p
 """
 
 
-def oracle(limit: int) -> str:
+def oracle(limit: int | str) -> str:
     return _ORACLE % limit
 
 
-ORACLE = oracle(LIMIT)
+ORACLE = oracle(f"(SELECT greatest(1, least({LIMIT}, (sum(n_bytes)::BIGINT + {SHARDS - 1}) // {SHARDS})) FROM d)")

@@ -6,10 +6,11 @@ direction. Both run over host edges in Spark, counted once per pair of hosts, un
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settle
+from .common import lower_ascii, meet, settle
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, LIFT = 0.85, 1.0
@@ -65,6 +66,8 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
         ),
         "url-flow",
     )
+    # dealt by the host that the rank flows from once, and held so: a round moves ranks alone. What is lost is read again from the settled table
+    step = step.repartition(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").persist(StorageLevel.DISK_ONLY)
     rank = last = base
     for r in range(rounds):
         moved = rank.join(step, rank["host"] == step["a"]).select(F.col("z").alias("host"), (F.col("trust") * F.col("ft") * damping).alias("trust"), (F.col("distrust") * F.col("fd") * damping).alias("distrust"))
@@ -77,6 +80,7 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
             if (moved["by"] or 0.0) <= close * (moved["all"] or 0.0):
                 break
             last = rank
+    step.unpersist()
     sums = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     return rank.select("host", scale("trust", sums["t"]).alias("trust"), scale("distrust", sums["d"]).alias("distrust"))
 
@@ -96,5 +100,5 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     rank = propagate(by.filter("host <> ''"), links)
     known = by.select("host", "n").join(rank, "host", "left").na.fill(0.0, ["trust", "distrust"])
     known = known.withColumn("bad", (F.col("host") != "") & (F.col("distrust") >= lift * F.col("n") / total) & (F.col("distrust") > F.col("trust")) & (F.col("distrust") > 0)).drop("n")
-    out = rows.drop("html").join(known, "host", "left")
+    out = meet(settle(rows.drop("html"), "url-pages"), known, "host", how="left")  # a host may have a third of all pages
     return out.select("key", "host", "path", "rule", F.coalesce("said", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
