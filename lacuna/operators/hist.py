@@ -53,3 +53,14 @@ def new_bins(target: DataFrame, cands: DataFrame, ids: DataFrame) -> DataFrame:
     """(cx, cy, d): number of joint bins that a candidate has and the target has not; target (bin), cands (cx, cy, bin)."""
     fresh = cands.distinct().join(target.select("bin").distinct(), "bin", "left_anti").groupBy("cx", "cy").agg(F.count("*").cast("double").alias("d"))
     return ids.select("cx", "cy").join(fresh, ["cx", "cy"], "left").na.fill(0.0, ["d"])
+
+
+def greatest_between(part: DataFrame, limits: tuple[float, float], bins: int) -> DataFrame:
+    """(most): of a patch's part (dx, dy, ch, f), the greatest difference between the histograms, as shares, of two of its quadrants that have pixels; 0 with fewer than two of them."""
+    q = F.when(F.col("dx") >= 0, 2).otherwise(0) + F.when(F.col("dy") >= 0, 1).otherwise(0)
+    n = part.groupBy(q.alias("q"), "ch", bin_of(F.col("f"), F.lit(limits[0]), F.lit(limits[1]), bins).alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    n = normalised(n, ("q",))
+    some = n.select("q").distinct()
+    pairs = some.select(F.col("q").alias("a")).join(some.select(F.col("q").alias("b")), F.col("a") < F.col("b"))  # six at most
+    d = pairs.join(n, (F.col("q") == F.col("a")) | (F.col("q") == F.col("b"))).groupBy("a", "b", "ch", "bin").agg(F.abs(F.sum(F.when(F.col("q") == F.col("a"), F.col("n")).otherwise(-F.col("n")))).alias("d"))
+    return d.groupBy("a", "b").agg(F.sum("d").alias("d")).agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("most"))

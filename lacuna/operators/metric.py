@@ -8,10 +8,12 @@ cells are skipped. Inserting is a union, erasing an anti-join. Distances are sum
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as fn
+from ..sources import grid
 from . import search
 
 #: Vantage points at most, and vectors among which they are chosen; both are held by the driver.
@@ -83,3 +85,163 @@ def nearest(indexed: DataFrame, points: list[list[float]], q: list[float], k: in
         first = search.top(bounded, k, [key], groups, None, "_u").groupBy(by).agg(F.when(F.count("*") == k, F.max(exact)).alias("_r"))
         left = indexed.join(first, by).filter(F.col("_r").isNull() | (F.abs(at - F.col("dp")) <= F.col("_r") + SLACK * (1 + F.col("_r")) * (1 + at))).drop("_r")
     return search.top(left.withColumn("d", exact), k, [key], groups)
+
+
+#: Vectors of the two sides in a task's group.
+SIDE = 512
+
+
+def best_point(vectors: DataFrame, order: Column, share: float = 0.1, key: str = "id", vector: str = "a") -> DataFrame:
+    """(pivot, spread): of a share of the vectors (and one more), the first by `order` (ties: by key), the one whose distances to all other vectors spread most, as population standard deviation; ties go to the smaller key. The tried
+    and all vectors meet in blocks of SIDE by SIDE, in tasks that send on a row of sums for each vector tried. Null vectors take no part; without vectors there is no row."""
+    v = grid.through(vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("a"), order.alias("o")), "points")
+    n = v.count()
+    tried = search.ranked(v, ["key"], None, "o") if n > SIDE else search.numbered(v, ["o", "key"])
+    tried = tried.filter(F.col("rn") <= int(n * share) + 1).select("key", "a")
+    rows, columns = max(1, -(-int(n * share + 1) // SIDE)), max(1, -(-n // SIDE))
+    part = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"pivot": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "mean": np.zeros(0), "m2": np.zeros(0)})
+        b, out = np.stack(right["a"].to_numpy()), []
+        for k, x in zip(left["key"], left["a"], strict=True):
+            d = np.abs(b - x).sum(1)[right["key"].to_numpy() != k]
+            if len(d):
+                out.append((k, len(d), d.mean(), ((d - d.mean()) ** 2).sum()))
+        return pd.DataFrame(out, columns=["pivot", "n", "mean", "m2"])
+
+    a = tried.select("key", "a", part(rows).alias("i"), every(columns).alias("j"))
+    b = v.select("key", "a", every(rows).alias("i"), part(columns).alias("j"))
+    got = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(sums, "pivot long, n long, mean double, m2 double")
+    # variances within the blocks, and of their means about the mean of all
+    got = got.groupBy("pivot").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    got = got.select("pivot", F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")))).alias("spread"))
+    return got.groupBy().agg(F.max_by(F.struct("pivot", "spread"), F.struct("spread", -F.col("pivot"))).alias("b")).filter("b is not null").select("b.*")
+
+
+# ---- many queries at once ------------------------------------------------------------------------------------------
+
+#: Vectors in a block, unless there would be more blocks than BLOCKS (and RINGS for each point); queries in a task's group, and numbers that a task compares at once.
+BLOCK, BLOCKS, RINGS, QUERIES, AT_ONCE = 1024, 4096, 64, 512, 1 << 22
+
+
+def sound(vectors: DataFrame, vector: str = "a") -> DataFrame:
+    """The vectors that are not null, hold no null or NaN and are as long as most are (the longer, if there are as many of two lengths)."""
+    some = vectors.filter(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
+    most = some.groupBy(F.size(vector).alias("n")).count().agg(F.max(F.struct("count", "n"))["n"].alias("n")).first()["n"]
+    return some.filter(F.size(vector) == (most or 0))
+
+
+def _placed(df: DataFrame, points: list[list[float]], key: str, vector: str) -> DataFrame:
+    """(key, a, far): the distances to all points."""
+    p = np.array(points, float)
+
+    def far(batches):
+        for pdf in batches:
+            a = np.stack(pdf["a"].to_numpy()) if len(pdf) else np.zeros((0, p.shape[1]))
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "a": list(a), "far": list(np.stack([np.abs(a - x).sum(1) for x in p], 1))})
+
+    whole = F.col(vector).isNotNull() & (F.size(vector) == p.shape[1]) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    got = df.filter(whole).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("a"))
+    return got.mapInPandas(far, "key long, a array<double>, far array<double>")
+
+
+def blocks(vectors: DataFrame, points: list[list[float]], key: str = "id", vector: str = "a", size: int = BLOCK) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, counts, least, most): the vectors (key, a, far, block), written once, in blocks of about `size`, or more where there would be too many; and each block's number of vectors and least and greatest distances to
+    every point. A point's cell is cut into rings about it, by approximate quantiles; a ring of many equal distances is dealt by a hash of the keys. Vectors of another length than the points', or with a null or NaN, are left out."""
+    v = grid.through(_placed(vectors, points, key, vector).withColumn("_n", F.array_min(F.transform("far", lambda d, i: F.struct(d.alias("d"), i.alias("i"))))).select("key", "a", "far", F.col("_n.i").alias("cell"), F.col("_n.d").alias("dp")), "knn-vectors")
+    cells = v.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("dp", [i / RINGS for i in range(1, RINGS)], 1000).alias("q")).collect()  # a row for each point at most
+    size = max(size, sum(r["n"] for r in cells) // BLOCKS)
+    cuts = [[]] * len(points)
+    for r in cells:
+        rings = min(RINGS, -(-r["n"] // size))
+        cuts[r["cell"]] = sorted({r["q"][i * RINGS // rings - 1] for i in range(1, rings)})
+    ring = F.size(F.filter(F.get(F.array(*[_literal(c) if c else F.expr("cast(array() as array<double>)") for c in cuts]), F.col("cell")), lambda c: c < F.col("dp")))
+    v = v.withColumn("ring", ring)
+    parts = v.groupBy("cell", "ring").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))  # RINGS for each point at most
+    v = v.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    ends = [f(F.col("far")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(points))]
+    found = sorted(v.groupBy("cell", "ring", "part").agg(F.count("*").alias("n"), *ends).collect(), key=lambda r: tuple(r[:3]))  # a row for each block
+    number = v.sparkSession.createDataFrame([(r["cell"], r["ring"], r["part"], i) for i, r in enumerate(found)], "cell int, ring int, part long, block int").coalesce(1)
+    table = v.join(F.broadcast(number), ["cell", "ring", "part"]).select("key", "a", "far", "block")
+    m = np.array([r[3:] for r in found], float).reshape(len(found), 1 + 2 * len(points))
+    return table, m[:, 0].astype(int), m[:, 1 : 1 + len(points)], m[:, 1 + len(points) :]
+
+
+def _gaps(far: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """[queries, blocks] lower bounds of a query's distance to any vector of a block, by the triangle inequality over all points."""
+    out = np.zeros((len(far), len(least)))
+    for i in range(far.shape[1]):
+        d = far[:, i][:, None]
+        np.maximum(out, np.maximum(d - most[:, i], least[:, i] - d), out=out)
+    return out
+
+
+def _ranked(q: pd.DataFrame, v: pd.DataFrame, k: int, apart: bool) -> pd.DataFrame:
+    """(query, id, d): the k nearest of the vectors for each query; ties go to the smaller key."""
+    if not len(q) or not len(v):
+        return pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "d": np.zeros(0)})
+    v = v.sort_values("key", ignore_index=True)
+    a, b, keys, queries = np.stack(q["a"].to_numpy()), np.stack(v["a"].to_numpy()), v["key"].to_numpy(), q["key"].to_numpy()
+    out, step = [], max(1, AT_ONCE // b.size)
+    for lo in range(0, len(a), step):
+        d = np.abs(a[lo : lo + step, None, :] - b[None]).sum(2)
+        if apart:
+            d[queries[lo : lo + step, None] == keys[None]] = np.inf
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d = np.take_along_axis(d, at, 1)
+        row = np.repeat(queries[lo : lo + step], at.shape[1])
+        out.append(pd.DataFrame({"query": row, "id": keys[at.ravel()], "d": d.ravel()}))
+    got = pd.concat(out)
+    return got[np.isfinite(got["d"])]
+
+
+def _met(q: DataFrame, v: DataFrame, k: int, apart: bool) -> DataFrame:
+    """(query, id, d) of queries (key, a, block) and vectors within each block. A block of many queries is met in chunks of them, its vectors repeated for each."""
+    many = grid.through(q.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks")), "knn-chunks")  # a row for each block
+    q = q.join(F.broadcast(many), "block").select("key", "a", "block", F.pmod(F.xxhash64("key"), "chunks").cast("int").alias("chunk"))
+    v = v.select(*[F.col(c).alias(c) for c in ("key", "a", "block")])  # may be the queries themselves
+    v = v.join(F.broadcast(many), "block").select("key", "a", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return q.groupBy("block", "chunk").cogroup(v.groupBy("block", "chunk")).applyInPandas(lambda a, b: _ranked(a, b, k, apart), "query long, id long, d double")
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "a", apart: bool = True, size: int = BLOCK) -> DataFrame:
+    """(query, id, d, rn, compared): the k nearest vectors of every query, exactly; ties go to the smaller key. compared: the vectors whose distances were worked out for the query.
+
+    Every query first meets the block of vectors that its bounds show to be nearest; the k-th distance there is a radius, and only blocks that no vantage point's distances put beyond it are met after. apart: a vector of the
+    query's own key does not count. Queries without k vectors have fewer rows. Queries and vectors that are null, of another length than the rest, or with a null or NaN take no part; an empty side gives no rows. Keys are
+    whole numbers; those of queries are unique."""
+    spark = vectors.sparkSession
+    vectors = sound(vectors, vector)
+    points = vantage_points(vectors, key, vector)
+    if not points:
+        return spark.createDataFrame([], "query long, id long, d double, rn int, compared long")
+    v, counts, least, most = blocks(vectors, points, key, vector, size)
+    v = grid.through(v, "knn-blocks")
+    enough = counts > k
+
+    def home(batches):
+        for pdf in batches:
+            gap = _gaps(np.stack(pdf["far"].to_numpy()), least, most) if len(pdf) else np.zeros((0, len(least)))
+            gap = np.where(enough, gap, np.inf) if enough.any() else gap
+            yield pdf.assign(block=gap.argmin(1).astype(np.int32))
+
+    q = grid.through(_placed(queries, points, key, vector).mapInPandas(home, "key long, a array<double>, far array<double>, block int"), "knn-queries")
+    first = grid.through(_met(q, v, k, apart), "knn-first")
+    radius = first.groupBy("query").agg(F.when(F.count("*") == k, F.max("d")).alias("radius")).withColumnRenamed("query", "key")
+
+    def others(batches):
+        for pdf in batches:
+            if len(pdf):
+                r, at = pdf["radius"].fillna(np.inf).to_numpy(), pdf["block"].to_numpy()
+                near = _gaps(np.stack(pdf["far"].to_numpy()), least, most) <= (r + SLACK * (1 + r))[:, None]
+                near[np.arange(len(at)), at] = False
+                i, j = np.nonzero(near)
+                yield pd.DataFrame({"key": pdf["key"].to_numpy()[i], "a": pdf["a"].to_numpy()[i], "block": j.astype(np.int32)})
+
+    more = grid.through(q.join(radius, "key", "left").mapInPandas(others, "key long, a array<double>, block int"), "knn-more")
+    sizes = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts)], "block int, n long").coalesce(1))
+    seen = q.select("key", "block").unionByName(more.select("key", "block")).join(sizes, "block").groupBy("key").agg(F.sum("n").alias("compared")).withColumnRenamed("key", "query")
+    return search.top(first.unionByName(_met(more, v, k, apart)), k, ["id"], ["query"]).join(seen, "query")

@@ -1,17 +1,17 @@
-"""Replay, checks and the greedy filling loop.
+"""Replay of logs, checks, targets that lie apart, and the plain version of the filling loop.
 
-The loop is sequential by nature: each step's target depends on the pixels of the one before. Images are independent, so each is a group of
-its own, filled by numpy in one task; steps() is the same loop over DataFrames, a few jobs a step, for a single large grid.
+fill() works on a single grid in memory and is what tests hold loop.inpaint() against, which does the same over tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import grid
 from . import patches, priority, search, windows
+from .patches import values
 
 
 def check_match(px: DataFrame, tx: int, ty: int, sx: int, sy: int, r: int) -> DataFrame:
@@ -22,22 +22,84 @@ def check_match(px: DataFrame, tx: int, ty: int, sx: int, sy: int, r: int) -> Da
     return both.filter(F.coalesce(F.assert_true(F.col("source_valid") & F.col("target_on_boundary"), F.lit("not a valid match")).isNull(), F.lit(True)))
 
 
+def _placed(matches: DataFrame, r: int, *columns: str) -> DataFrame:
+    """Each match's (2r+1)² offsets: the match's columns, x, y of the target's pixel and src_x, src_y of the source's."""
+    off = F.explode(F.sequence(F.lit(-r), F.lit(r)))
+    at = matches.withColumn("dx", off).withColumn("dy", off)
+    return at.select(*columns, *[(F.col(c) + F.col(d)).cast("int").alias(n) for c, d, n in (("tx", "dx", "x"), ("ty", "dy", "y"), ("sx", "dx", "src_x"), ("sy", "dy", "src_y"))])
+
+
+def provenance(px: DataFrame, matches: DataFrame, r: int) -> DataFrame:
+    """(image_id, x, y, iter, src_x, src_y, origin_x, origin_y): for each hole pixel that a log of matches (iter, tx, ty, sx, sy, and image_id unless it holds for every image) fills, the match that fills it, the
+    pixel it is copied from, and the pixel that its value comes from in the end, where what is copied was itself painted before.
+
+    The first match that covers a hole pixel with a source pixel within the image fills it (of one iter: the smallest ty, tx, sy, sx), which is one join and a minimum for the whole log. Chains of copies are
+    then followed twice as far in each round, so a log of any length takes some log2(longest chain) joins. A source pixel that is still a hole when it is copied gives the value that stands there.
+    """
+    of = ["image_id"] if "image_id" in matches.columns else []
+    cover = _placed(matches, r, *of, F.struct("iter", "ty", "tx", "sy", "sx").alias("m"))
+    cover = cover.join(px.filter("hole").select("image_id", "x", "y"), [*of, "x", "y"])
+    cover = cover.join(px.select("image_id", F.col("x").alias("src_x"), F.col("y").alias("src_y")), ["image_id", "src_x", "src_y"], "left_semi")
+    first = cover.groupBy("image_id", "x", "y").agg(F.min(F.struct("m", "src_x", "src_y")).alias("f"))
+    first = grid.through(first.select("image_id", "x", "y", "f.m", "f.src_x", "f.src_y"), "filled")
+    there = first.select("image_id", F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("m").alias("before"))
+    # open: the source was painted by an earlier match, so the chain goes on there
+    now = first.join(there, ["image_id", "src_x", "src_y"], "left").select("image_id", "x", "y", F.col("src_x").alias("ox"), F.col("src_y").alias("oy"), F.coalesce(F.col("before") < F.col("m"), F.lit(False)).alias("open"))
+    now = grid.through(now, "chains")
+    while now.filter("open").take(1):
+        then = now.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("ox").alias("nx"), F.col("oy").alias("ny"), F.col("open").alias("more"))
+        moved = now.filter("open").join(then, ["image_id", "ox", "oy"]).select("image_id", "x", "y", F.col("nx").alias("ox"), F.col("ny").alias("oy"), F.col("more").alias("open"))
+        now = grid.through(now.filter("not open").unionByName(moved), "chains")
+    return first.join(now, ["image_id", "x", "y"]).select("image_id", "x", "y", F.col("m.iter").alias("iter"), "src_x", "src_y", F.col("ox").alias("origin_x"), F.col("oy").alias("origin_y"))
+
+
 def replay(px: DataFrame, matches: DataFrame, r: int) -> DataFrame:
-    """All matches of a log (one driver's list, in order of iter) painted one after the other."""
-    for m in matches.orderBy("iter").collect():
-        px = patches.paint(px, m["tx"], m["ty"], m["sx"], m["sy"], r)
-    return px
+    """px with all matches of a log painted in the order of iter: filled pixels are no holes any more; src_x, src_y: the pixel that each was copied from (a valid pixel itself, -1 for a hole that is left), iter: the match's
+    (null for what was not painted). See provenance()."""
+    vs = [c for c in values(px) if c not in ("src_x", "src_y", "iter")]
+    made = provenance(px, matches, r)
+    made = made.join(px.select("image_id", F.col("x").alias("origin_x"), F.col("y").alias("origin_y"), *[F.col(c).alias(f"_n_{c}") for c in vs]), ["image_id", "origin_x", "origin_y"]).drop("origin_x", "origin_y")
+    out = px.drop("src_x", "src_y", "iter").join(made, ["image_id", "x", "y"], "left")
+    fill = F.col("src_x").isNotNull()
+    own = lambda c: F.when(fill, F.col(f"src_{c}")).when(F.col("hole"), -1).otherwise(F.col(c)).cast("int")
+    return out.withColumns({c: F.when(fill, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in vs} | {"src_x": own("x"), "src_y": own("y"), "hole": F.col("hole") & ~fill}).drop(*[f"_n_{c}" for c in vs])
+
+
+def apart(queue: DataFrame, n: int, distance: int) -> DataFrame:
+    """(image_id, x, y, priority): the n nodes that are chosen of a queue if each image's node of the highest priority is taken (ties: the smaller y, then x) and the nodes no farther from it than `distance`, along both axes, go, and so on.
+
+    Nodes that no node near them surpasses are taken all at once, and what is near them goes, in rounds; the nodes so taken, in order of priority, are those of the choice one by one. Rounds end as soon as n taken nodes
+    surpass all that is left. Nodes that are not valid take no part; with fewer than n there are fewer rows."""
+    node = F.struct("priority", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    left = grid.through(queue.filter("valid").select("image_id", "x", "y", "priority").withColumn("o", node), "queue")
+    taken = None
+    while left.take(1):
+        q = left.select("image_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("o").alias("qo"))
+        beaten = search.band_join(left, q, distance, ("image_id",)).filter(F.col("qo") > F.col("o")).select("image_id", "x", "y").distinct()
+        won = grid.through(left.join(beaten, ["image_id", "x", "y"], "left_anti"), "won")
+        taken = won if taken is None else taken.unionByName(won)
+        w = won.select("image_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+        near = search.band_join(left, w, distance, ("image_id",)).select("image_id", "x", "y").distinct()
+        left = grid.through(left.join(near, ["image_id", "x", "y"], "left_anti"), "queue")
+        best = left.groupBy("image_id").agg(F.max("o").alias("b"))
+        sure = taken.join(best, "image_id", "left").groupBy("image_id").agg(F.count_if(F.col("b").isNull() | (F.col("o") > F.col("b"))).alias("k"), F.max("b").isNull().alias("done"))
+        if not sure.filter(f"not done and k < {n}").take(1):
+            break
+    if taken is None:
+        return left.drop("o")
+    return search.top(taken.withColumn("_p", -F.col("priority")), n, ["y", "x"], ["image_id"], None, "_p").select("image_id", "x", "y", "priority")
 
 
-def forward_look(px: DataFrame, n: int, r: int) -> DataFrame:
-    """(tx, ty, cx, cy, d): of the n targets of highest priority, the one with the best match."""
-    queue = priority.initial_queue(px, r)
-    targets = queue.orderBy(F.desc("priority"), "y", "x").limit(n).select(F.col("x").alias("tx"), F.col("y").alias("ty"))
-    p = px.filter(~F.col("hole")).join(F.broadcast(targets), F.col("x").between(F.col("tx") - r, F.col("tx") + r) & F.col("y").between(F.col("ty") - r, F.col("ty") + r))
-    t = p.select("tx", "ty", (F.col("x") - F.col("tx")).alias("dx"), (F.col("y") - F.col("ty")).alias("dy"), F.col("v").alias("t"))  # n patches
-    met = px.join(F.broadcast(t)).select("image_id", "tx", "ty", (F.col("x") - F.col("dx")).alias("cx"), (F.col("y") - F.col("dy")).alias("cy"), ((F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))).alias("e"))
-    scored = met.groupBy("image_id", "tx", "ty", "cx", "cy").agg(F.avg("e").alias("d")).join(patches.sources(px, r), ["image_id", "cx", "cy"], "left_semi")
-    return search.best(scored, ["ty", "tx", "cy", "cx"])
+def forward_look(px: DataFrame, n: int, r: int, distance: int | None = None) -> DataFrame:
+    """(image_id, tx, ty, cx, cy, d): of n targets of high priority that lie apart, each image's one with the best match. distance: targets are farther apart than this along an axis; patches that do not overlap (2r), if none is given.
+    Ties go to the smaller ty, tx, cy, cx."""
+    targets = apart(priority.initial_queue(px, r).withColumn("priority", F.round("priority", 9)), n, 2 * r if distance is None else distance)
+    targets = targets.select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"))  # n of an image
+    off = F.explode(F.sequence(F.lit(-r), F.lit(r)))
+    at = targets.withColumn("dx", off).withColumn("dy", off).withColumns({"x": F.col("tx") + F.col("dx"), "y": F.col("ty") + F.col("dy")})
+    t = px.filter(~F.col("hole")).select("image_id", "x", "y", F.col("v").alias("t_v")).join(F.broadcast(at), ["image_id", "x", "y"]).select("image_id", "tx", "ty", "dx", "dy", "t_v")  # n patches
+    scored = patches.differences(px, t, r, patches.ssd(["v"]), None, ("tx", "ty"))
+    return search.best(scored, ["ty", "tx", "cy", "cx"], ["image_id"])
 
 
 def _sum(a: np.ndarray, r: int) -> np.ndarray:
@@ -189,36 +251,3 @@ def fill(v: np.ndarray, hole: np.ndarray, r: int, neighborhood: int | None = Non
                     hole[y, x], conf[y, x] = False, c
         n += 1
     return v, sx, sy, step
-
-
-def inpaint(px: DataFrame, r: int, **how) -> DataFrame:
-    """(image_id, x, y, v, iter, src_x, src_y): each image filled, in a task of its own, as fill() does with `how`; iter is the step that filled a pixel, -1 if it was valid."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = pdf["x"].min(), pdf["y"].min()
-        x, y = (pdf["x"] - x0).to_numpy(), (pdf["y"] - y0).to_numpy()
-        v, hole = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1), bool)
-        v[y, x], hole[y, x] = pdf["v"], pdf["hole"]
-        v, sx, sy, step = fill(v, hole, r, **how)
-        shift = lambda s, o: np.where(s < 0, s, s + o)
-        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "x": pdf["x"].to_numpy(), "y": pdf["y"].to_numpy(), "v": v[y, x], "iter": step[y, x], "src_x": shift(sx, x0)[y, x], "src_y": shift(sy, y0)[y, x]})
-
-    return px.groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, v double, iter int, src_x int, src_y int")
-
-
-def steps(px: DataFrame, r: int, most: int, keep=lambda df: df) -> tuple[DataFrame, list[tuple[int, int, int, int, int]]]:
-    """The loop over DataFrames, `most` steps at most: (grid, matches). keep() is called on each step's grid, to write it out and cut its plan."""
-    first = patches.sources(px, r)
-    px, log = priority.with_confidence(px), []
-    for n in range(most):
-        t = priority.top(priority.initial_queue(px, r).withColumn("priority", F.round("priority", 9))).first()
-        if t is None:
-            break
-        t_px = px.select("image_id", "x", "y", "v", "hole")
-        scored = patches.differences(t_px, patches.target_values(t_px, t["x"], t["y"], r), r, patches.ssd(["v"]), first)
-        s = search.best(scored.withColumn("d", F.round("d", 12)), ["cy", "cx"]).first()
-        log.append((n, t["x"], t["y"], s["cx"], s["cy"]))
-        conf = priority.update_confidence(px, t["x"], t["y"], r).select("image_id", "x", "y", F.col("confidence").alias("_c"))
-        new = patches.paint(px.drop("confidence", "src_x", "src_y"), t["x"], t["y"], s["cx"], s["cy"], r)
-        px = keep(new.join(conf, ["image_id", "x", "y"]).withColumnRenamed("_c", "confidence"))
-    return px, log

@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.pixel import total
 
 
-def rows_window(r: int):
-    return Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-r, r)
+#: Pixels along a tile's side.
+SIDE = 128
+
+
+def tiled(px: DataFrame, reach: int, f: Callable[[DataFrame], DataFrame], side: int = SIDE) -> DataFrame:
+    """f(px), computed in tiles of side by side pixels (_i, _j): each pixel goes to its own tile and, as halo, to those within `reach` of it, and what f makes of halos is dropped. So a task has some
+    (side + 2 reach)² pixels, however long a line or a column is, and pixels move once for all windows of f, which see the columns _i and _j. Within f further calls add no tiles: the outermost reach
+    has to cover what they look at together. A pixel without a position is in no tile and is dropped; an empty grid stays empty."""
+    if "_i" in px.columns:
+        return f(px)
+    # one key for a tile: the windows' keys hold it, also where an image's number is a constant that the optimizer leaves out
+    dealt = dealt_in_tiles(px, reach, side).withColumn("_t", F.xxhash64("image_id", "_i", "_j")).repartition("_t")
+    return f(dealt).filter("_own").drop("_i", "_j", "_own", "_t")
+
+
+def dealt_in_tiles(px: DataFrame, reach: int, side: int = SIDE) -> DataFrame:
+    """px with _i, _j and _own: a row for a pixel's own tile, and for each other one within `reach`."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+    px = px.withColumn("_i", near("x")).withColumn("_j", near("y"))
+    return px.withColumn("_own", (F.floor(F.col("x") / side) == F.col("_i")) & (F.floor(F.col("y") / side) == F.col("_j")))
+
+
+def line(axis: str) -> WindowSpec:
+    """A tile's pixels along an axis."""
+    return Window.partitionBy("_t", "image_id", "_i", "_j", "y" if axis == "x" else "x").orderBy(axis)
+
+
+def in_tiles(reach):
+    """Makes f(px, ...) run in tiles; reach: of f's other arguments."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(px: DataFrame, *a, **k) -> DataFrame:
+            return tiled(px, reach(*a, **k), lambda t: f(t, *a, **k))
 
+        return run
 
-def columns_window(r: int):
-    return Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-r, r)
+    return wrap
 
 
+@in_tiles(lambda r, **_: r)
 def box(px: DataFrame, r: int, **sums: Column) -> DataFrame:
-    """px with the sums of expressions over the (2r+1)² pixels about each one, as far as there are any: two passes of one-dimensional windows."""
-    px = px.withColumns({f"_{k}": F.sum(e).over(rows_window(r)) for k, e in sums.items()})
-    return px.withColumns({k: F.sum(f"_{k}").over(columns_window(r)) for k in sums}).drop(*[f"_{k}" for k in sums])
+    """px with the sums of expressions over the (2r+1)² pixels about each one, as far as there are any: two passes of one-dimensional windows in tiles."""
+    px = px.withColumns({f"_{k}": F.sum(e).over(line("x").rangeBetween(-r, r)) for k, e in sums.items()})
+    return px.withColumns({k: F.sum(f"_{k}").over(line("y").rangeBetween(-r, r)) for k in sums}).drop(*[f"_{k}" for k in sums])
 
 
 def one(c: Column) -> Column:
@@ -54,20 +90,20 @@ def values(px: DataFrame) -> list[str]:
     return [c for c in px.columns if c not in ("image_id", "x", "y", "hole")]
 
 
-def differences(px: DataFrame, target: DataFrame, r: int, diff: Column, only: DataFrame | None = None) -> DataFrame:
-    """(image_id, cx, cy, d, n): mean of `diff` between each source patch and the target's pixels (dx, dy, t_<value>) at their offsets.
+def differences(px: DataFrame, target: DataFrame, r: int, diff: Column, only: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, cx, cy, d, n), and the columns `by` that tell several targets apart: mean of `diff` between each source patch and the target's pixels (dx, dy, t_<value>) at their offsets; targets with an image_id meet their own image alone.
 
     A pixel meets each offset of the target once (the target has (2r+1)² rows at most and is broadcast) and adds to the centre that lies so
     far from it: one aggregation with partial sums, and no join of the grid with itself. `only` restricts the centres."""
-    met = px.join(F.broadcast(target)).select("image_id", (F.col("x") - F.col("dx")).alias("cx"), (F.col("y") - F.col("dy")).alias("cy"), diff.alias("e"))
+    met = px.join(F.broadcast(target), ["image_id"] if "image_id" in target.columns else None).select("image_id", *by, (F.col("x") - F.col("dx")).alias("cx"), (F.col("y") - F.col("dy")).alias("cy"), diff.alias("e"))
     keep = sources(px, r) if only is None else only
-    return met.groupBy("image_id", "cx", "cy").agg(F.avg("e").alias("d"), F.count("*").alias("n")).join(keep, ["image_id", "cx", "cy"], "left_semi")
+    return met.groupBy("image_id", *by, "cx", "cy").agg(F.avg("e").alias("d"), F.count("*").alias("n")).join(keep, ["image_id", "cx", "cy"], "left_semi")
 
 
 def target_values(px: DataFrame, tx: int, ty: int, r: int, valid: bool = True) -> DataFrame:
     p = patch(px, tx, ty, r)
     p = p.filter(~F.col("hole")) if valid else p
-    return p.select("dx", "dy", *[F.col(c).alias(f"t_{c}") for c in values(px)])
+    return p.select("image_id", "dx", "dy", *[F.col(c).alias(f"t_{c}") for c in values(px)])
 
 
 def ssd(names: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .patches import boundary, box, one
+from .patches import boundary, box, one, tiled
 
 
 def with_confidence(px: DataFrame) -> DataFrame:
@@ -20,13 +20,14 @@ def confidence(px: DataFrame, r: int) -> DataFrame:
     return px.withColumn("term", F.col("_c") / F.col("_n")).drop("_c", "_n")
 
 
-def _of_boundary(px: DataFrame, priority: Column) -> DataFrame:
-    on = box(px, 1, _h=one(F.col("hole"))).filter(~F.col("hole") & (F.col("_h") > 0))
+def _of_boundary(px: DataFrame, priority: Column, reach: int = 1, f=lambda t: t) -> DataFrame:
+    """(image_id, x, y, priority, valid) of boundary pixels, from columns that f adds, which looks no farther than `reach`: one pass over tiles."""
+    on = tiled(px, max(1, reach), lambda t: box(f(t), 1, _h=one(F.col("hole")))).filter(~F.col("hole") & (F.col("_h") > 0))
     return on.select("image_id", "x", "y", priority.alias("priority"), F.lit(True).alias("valid"))
 
 
 def initial_queue(px: DataFrame, r: int) -> DataFrame:
-    return _of_boundary(confidence(px, r), F.col("term"))
+    return _of_boundary(px, F.col("term"), r, lambda t: confidence(t, r))
 
 
 def update_confidence(px: DataFrame, tx: int, ty: int, r: int) -> DataFrame:
@@ -37,14 +38,15 @@ def update_confidence(px: DataFrame, tx: int, ty: int, r: int) -> DataFrame:
     return px.join(F.broadcast(c), "image_id", "left").withColumn("confidence", F.when(inside & (F.col("confidence") == 0), F.col("_t")).otherwise(F.col("confidence"))).drop("_t")
 
 
-def _terms(px: DataFrame, r: int) -> DataFrame:
-    return windows.boundary_normals(windows.isophotes(confidence(px, r)))
+def _by_terms(px: DataFrame, r: int, priority: Column) -> DataFrame:
+    """Confidence, isophotes and normals: each looks at the grid itself, not at what another made, so their reaches do not add up."""
+    return _of_boundary(px, priority, max(r, 5), lambda t: windows.boundary_normals(windows.isophotes(confidence(t, r))))
 
 
 def criminisi(px: DataFrame, r: int) -> DataFrame:
     """Confidence times |isophote · normal| / 255."""
     data = F.abs(F.coalesce("ix", F.lit(0.0)) * F.col("nx") + F.coalesce("iy", F.lit(0.0)) * F.col("ny")) / 255.0
-    return _of_boundary(_terms(px, r), F.col("term") * data)
+    return _by_terms(px, r, F.col("term") * data)
 
 
 def improved(px: DataFrame, r: int) -> DataFrame:
@@ -52,7 +54,7 @@ def improved(px: DataFrame, r: int) -> DataFrame:
     length = F.sqrt(F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy"))
     cos = F.when(length > 0, (F.col("ix") * F.col("nx") + F.col("iy") * F.col("ny")) / length).otherwise(0.0)
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos)))
-    return _of_boundary(_terms(px, r), F.when(F.degrees(angle) < 20, length * cos).otherwise(length))
+    return _by_terms(px, r, F.when(F.degrees(angle) < 20, length * cos).otherwise(length))
 
 
 def from_column(px: DataFrame, value: str) -> DataFrame:
@@ -82,7 +84,7 @@ def manual(queue: DataFrame, chosen: Column, bonus: float = 1e4) -> DataFrame:
 
 def random(px: DataFrame, seed: int) -> DataFrame:
     """A number of 0 to 1 from a hash of the position and the seed."""
-    return _of_boundary(px, F.pmod(F.xxhash64("x", "y", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    return _of_boundary(px, F.conv(F.substring(F.md5(F.concat_ws(",", "x", "y", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32))
 
 
 def push_or_update(queue: DataFrame, new: DataFrame) -> DataFrame:

@@ -100,17 +100,11 @@ def near(px: DataFrame, cx: int, cy: int, radius: int) -> Column:
     return (F.abs(F.col("cx") - cx) <= radius) & (F.abs(F.col("cy") - cy) <= radius)
 
 
-def band_join(points: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
-    """Pairs of points (x, y) and queries (qx, qy) within a square of `radius`: an equi-join on tiles of that size, each query standing in the nine about it."""
+def band_join(points: DataFrame, queries: DataFrame, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points (x, y) and queries (qx, qy) within a square of `radius`, and of equal columns `by`: an equi-join on tiles of that size, each query standing in the nine about it."""
     tile = lambda c: F.floor(F.col(c) / radius)
     off = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     p = points.withColumns({"_tx": tile("x"), "_ty": tile("y")})
     q = queries.withColumn("_i", off).withColumn("_j", off).withColumns({"_tx": tile("qx") + F.col("_i"), "_ty": tile("qy") + F.col("_j")}).drop("_i", "_j")
-    got = p.join(q, ["_tx", "_ty"]).filter((F.abs(F.col("x") - F.col("qx")) <= radius) & (F.abs(F.col("y") - F.col("qy")) <= radius))
+    got = p.join(q, [*by, "_tx", "_ty"]).filter((F.abs(F.col("x") - F.col("qx")) <= radius) & (F.abs(F.col("y") - F.col("qy")) <= radius))
     return got.drop("_tx", "_ty")
-
-
-def pivots(vectors: DataFrame, distances: DataFrame) -> DataFrame:
-    """(pivot, spread): the candidate pivot whose distances to the others spread most; distances: (pivot, other, d)."""
-    got = distances.groupBy("pivot").agg(F.stddev_pop("d").alias("spread"))
-    return got.groupBy().agg(F.max_by(F.struct("pivot", "spread"), F.struct("spread", -F.col("pivot"))).alias("b")).select("b.*")

@@ -8,17 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import luminance, rotated
-from .patches import boundary, box, one
-
-
-def _line(axis: str):
-    return Window.partitionBy("image_id", "y" if axis == "x" else "x").orderBy(axis)
+from .patches import boundary, box, in_tiles, line, one
 
 
+@in_tiles(lambda *_, **__: 1)
 def derivative(px: DataFrame, axis: str, value: str, out: str, diff=None) -> DataFrame:
     """px with the derivative along an axis: central if both neighbours are valid, one-sided if one is, 0 if none, null in holes."""
     diff = diff or (lambda a, b: a - b)
-    w = _line(axis)
+    w = line(axis)
     v = F.when(~F.col("hole"), F.col(value))
     px = px.withColumns({"_a": F.lag(v).over(w), "_b": F.lead(v).over(w)})
     a, b, m = F.col("_a"), F.col("_b"), F.col(value)
@@ -26,14 +23,15 @@ def derivative(px: DataFrame, axis: str, value: str, out: str, diff=None) -> Dat
     return px.withColumn(out, F.when(~F.col("hole"), d)).drop("_a", "_b")
 
 
+@in_tiles(lambda axis, value, out, weights: max(1, len(weights) // 2))
 def across(px: DataFrame, axis: str, value: str, out: str, weights: list[float]) -> DataFrame:
     """Differences as by derivative (those without any neighbour count as missing), weighted over the lines beside, the weights of those present summed if over 1."""
     px = derivative(px, axis, value, "_d")
-    w = _line(axis)
+    w = line(axis)
     some = F.lag(F.when(~F.col("hole"), 1)).over(w).isNotNull() | F.lead(F.when(~F.col("hole"), 1)).over(w).isNotNull()
     px = px.withColumn("_d", F.when(some, F.col("_d")))
     other, r = "y" if axis == "x" else "x", len(weights) // 2
-    o = _line(other)
+    o = line(other)
     part, used = F.lit(0.0), F.lit(0.0)
     for k, weight in zip(range(-r, r + 1), weights, strict=True):
         d = F.col("_d") if k == 0 else (F.lead("_d", k).over(o) if k > 0 else F.lag("_d", -k).over(o))
@@ -56,13 +54,14 @@ def kernel(n: int, variance: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+@in_tiles(lambda axis, value, out, variance=3.0, length=11, ref_quirk=False: max(1, length // 2))
 def gaussian(px: DataFrame, axis: str, value: str, out: str, variance: float = 3.0, length: int = 11, ref_quirk: bool = False) -> DataFrame:
     """Differences weighted by a Gaussian across the axis. ref_quirk: a weight counts twice where it has a difference, which about halves the result."""
     px = derivative(px, axis, value, "_d")
-    w = _line(axis)
+    w = line(axis)
     some = F.lag(F.when(~F.col("hole"), 1)).over(w).isNotNull() | F.lead(F.when(~F.col("hole"), 1)).over(w).isNotNull()
     px = px.withColumn("_d", F.when(some, F.col("_d")))
-    o = _line("y" if axis == "x" else "x")
+    o = line("y" if axis == "x" else "x")
     part, used, r = F.lit(0.0), F.lit(0.0), length // 2
     for k, weight in zip(range(-r, r + 1), kernel(length, variance), strict=True):
         d = F.col("_d") if k == 0 else (F.lead("_d", k).over(o) if k > 0 else F.lag("_d", -k).over(o))
@@ -72,6 +71,7 @@ def gaussian(px: DataFrame, axis: str, value: str, out: str, variance: float = 3
     return px.withColumn(out, F.when(~F.col("hole"), F.when(F.col("_u") > 0, F.col("_p") / F.col("_u")).otherwise(0.0))).drop("_d", "_p", "_u")
 
 
+@in_tiles(lambda *_, **__: 5)
 def gradient(px: DataFrame, value: str, gx: str = "gx", gy: str = "gy") -> DataFrame:
     return gaussian(gaussian(px, "x", value, gx), "y", value, gy)
 
@@ -83,6 +83,7 @@ def zip_fields(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter(F.coalesce(ok.isNull(), F.lit(True))).drop("_a", "_b")
 
 
+@in_tiles(lambda *_, **__: 5)
 def isophotes(px: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
     """px with ix, iy: the luminance gradient, turned by a quarter."""
     px = gradient(px.withColumn("_l", luminance(*[F.col(c) for c in channels])), "_l", "_gx", "_gy")
@@ -90,12 +91,13 @@ def isophotes(px: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2")
     return px.withColumns({"ix": ix, "iy": iy}).drop("_l", "_gx", "_gy")
 
 
+@in_tiles(lambda value, out, variance, radius: radius)
 def convolved(px: DataFrame, value: Column, out: str, variance: float, radius: int) -> DataFrame:
     """Gaussian mean over what is not null, by two passes of windows; nulls have no weight."""
     w = [math.exp(-(k * k) / (2 * variance)) for k in range(-radius, radius + 1)]
     px = px.withColumns({"_s": F.coalesce(value, F.lit(0.0)), "_k": F.when(value.isNotNull(), 1.0).otherwise(0.0)})
     for axis in ("x", "y"):
-        o = _line(axis)
+        o = line(axis)
 
         def at(c: str, k: int, o=o) -> Column:
             return F.col(c) if k == 0 else F.coalesce(F.lead(c, k).over(o) if k > 0 else F.lag(c, -k).over(o), F.lit(0.0))
@@ -109,11 +111,12 @@ def masked_blur(px: DataFrame, value: str, out: str, variance: float = 2.0, radi
     return convolved(px, F.when(~F.col("hole"), F.col(value)), out, variance, radius)
 
 
+@in_tiles(lambda variance=2.0, radius=3: radius + 1)
 def boundary_normals(px: DataFrame, variance: float = 2.0, radius: int = 3) -> DataFrame:
     """px with nx, ny: the unit gradient of the blurred mask on boundary pixels, 0 elsewhere."""
     px = convolved(px, F.when(F.col("hole"), 0.0).otherwise(1.0), "_m", variance, radius)
     for axis, out in (("x", "_gx"), ("y", "_gy")):
-        o = _line(axis)
+        o = line(axis)
         px = px.withColumn(out, (F.coalesce(F.lead("_m").over(o), F.col("_m")) - F.coalesce(F.lag("_m").over(o), F.col("_m"))) / 2)
     px = box(px, 1, _h=one(F.col("hole")))
     length = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
@@ -132,13 +135,14 @@ def boundary_energy(px: DataFrame, value: str = "v") -> DataFrame:
     return e.filter(F.coalesce(F.assert_true(F.col("_n") > 0, F.lit("there is no boundary")).isNull(), F.lit(True))).drop("_n")
 
 
+@in_tiles(lambda *_: 1)
 def laplacian(px: DataFrame, value: str, out: str) -> DataFrame:
     """Sum over the valid ones of the four neighbours of their difference to the pixel; null in holes."""
     v = F.when(~F.col("hole"), F.col(value))
     total = F.lit(0.0)
     for axis in ("x", "y"):
         for shift in (F.lag, F.lead):
-            total = total + F.coalesce(shift(v).over(_line(axis)) - F.col(value), F.lit(0.0))
+            total = total + F.coalesce(shift(v).over(line(axis)) - F.col(value), F.lit(0.0))
     return px.withColumn(out, F.when(~F.col("hole"), total))
 
 

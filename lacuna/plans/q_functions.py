@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixel as fn
-from ..operators import metric, patches, search
+from ..operators import graph, metric, patches, search
 from ..sources import grid
 from .base import K, R, TX, TY, candidates, query, rd, scores, target
 
@@ -166,14 +166,26 @@ def a10(spark, sf):
 _best = "SELECT cx, cy, round(d, 6) AS d FROM top WHERE rn = 1"
 
 
-def _k1(name):
-    @query(name, _best)
-    def run(spark, sf):
-        return search.best(scores(grid.pixels(spark, sf)), ["cy", "cx"]).select("cx", "cy", rd("d").alias("d"))
+@query("k6_best_source_patch", _best)
+def k6(spark, sf):
+    return search.best(scores(grid.pixels(spark, sf)), ["cy", "cx"]).select("cx", "cy", rd("d").alias("d"))
 
 
-for _n in ("k6_best_source_patch", "k7_best_no_check", "k20_best_and_write"):
-    _k1(_n)
+@query("k7_best_no_check", _best)
+def k7(spark, sf):
+    """Candidates come as a written list, and their patches are not looked at for holes again."""
+    px = grid.pixels(spark, sf)
+    given = grid.through(patches.sources(px, R), "k7")
+    return search.best(patches.differences(px, target(px), R, patches.ssd(["v"]), given), ["cy", "cx"]).select("cx", "cy", rd("d").alias("d"))
+
+
+@query("k20_best_and_write", ", b AS (SELECT cx, cy, d FROM top WHERE rn = 1) SELECT cx, cy, round(d, 6) AS d, p.x, p.y, round(p.v, 6) + 0.0 AS v FROM b JOIN px p ON p.x BETWEEN cx - 4 AND cx + 4 AND p.y BETWEEN cy - 4 AND cy + 4")
+def k20(spark, sf):
+    """The best patch's pixels, written beside its score and read again."""
+    px = grid.pixels(spark, sf)
+    best = search.best(scores(px), ["cy", "cx"]).select("cx", "cy", "d")
+    near = (F.abs(F.col("x") - F.col("cx")) <= R) & (F.abs(F.col("y") - F.col("cy")) <= R)
+    return grid.through(px.join(F.broadcast(best), near).select("cx", "cy", "d", "x", "y", "v"), "k20").select("cx", "cy", rd("d").alias("d"), "x", "y", rd("v").alias("v"))
 
 
 def vec(spark, sf):
@@ -218,6 +230,24 @@ _metric("k24_metric_knn_by_label", "SELECT label, id, round(d, 6) AS d, CAST(row
 _metric("k26_best_in_each_graph", "SELECT label, arg_min(id, (v.d, id)) AS id, round(min(v.d), 6) AS d FROM v GROUP BY label", lambda t, p, q: metric.nearest(t, p, q, 1, by="label").select("label", "id", rd("d").alias("d")))
 
 
+ALL = """WITH p AS MATERIALIZED (SELECT a.vec_id AS query, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+"""
+
+
+@query("k3_knn_join", ALL + "SELECT query, id, round(d, 6) AS d, CAST(row_number() OVER (PARTITION BY query ORDER BY p.d, id) AS INTEGER) AS rn FROM p QUALIFY rn <= 10", common=False)
+def k3_knn_join(spark, sf):
+    """The ten nearest of every vector among all others."""
+    e = grid.embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("a"))
+    return metric.knn_join(e, e, 10).select("query", "id", rd("d").alias("d"), "rn")
+
+
+@query("k23_graph_search")
+def k23_graph_search(spark, sf):
+    """Ten near ones of every vector, by descent in a graph of near neighbours; tests measure how many of the nearest it finds."""
+    e = grid.embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("a"))
+    return graph.descend(e, e, graph.neighbour_graph(e, 16), 10).select("query", "id", rd("d").alias("d"), "rn")
+
+
 @query("k24_insert_erase", VEC + ", w AS (SELECT id, d FROM v WHERE id % 5 <> 0 UNION ALL SELECT id + 1000000, d / 2 FROM v WHERE id % 100 = 1) SELECT id, round(d, 6) AS d FROM w ORDER BY w.d, id LIMIT 5")
 def k24_insert_erase(spark, sf):
     """Every fifth vector is erased, and some are inserted that lie half as far from the query."""
@@ -238,18 +268,13 @@ _kv("k11_no_reuse", "SELECT id, round(d, 6) AS d FROM v WHERE id % 3 <> 0 ORDER
 _kv("k12_combine", "SELECT id, round(d, 6) AS d, 'd' AS side FROM (SELECT id, d FROM v ORDER BY d, id LIMIT 5) UNION ALL SELECT id, round(s, 6), 's' FROM (SELECT id, s FROM v ORDER BY s, id LIMIT 5)", lambda v: search.combine(search.top(v, 5, ["id"]).select("id", rd("d").alias("d"), F.lit("d").alias("side")), search.top(v, 5, ["id"], None, None, "s").select("id", rd("s").alias("d"), F.lit("s").alias("side"))))
 
 
-#: Vantage points that are tried, those of the least hash: a bound, so that the work grows with the vectors alone.
-TRIED = 64
-
-
-@query("k25_vantage_point", """, p AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT 64),
+@query("k25_vantage_point", """, p AS (SELECT * FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT (SELECT count(*) // 10 + 1 FROM embeddings)),
 d AS (SELECT p.vec_id AS pv, list_sum(list_transform(range(1, 65), lambda i: abs(CAST(p.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))) AS d FROM p, embeddings e WHERE e.vec_id <> p.vec_id)
 SELECT pv AS "pivot", round(stddev_pop(d), 6) AS spread FROM d GROUP BY pv ORDER BY stddev_pop(d) DESC, pv LIMIT 1""")
 def k25(spark, sf):
-    e = grid.embeddings(spark, sf).select(F.col("vec_id").alias("other"), F.col("embedding").cast("array<double>").alias("a"))
-    tried = e.orderBy(F.md5(F.col("other").cast("string"))).limit(TRIED).agg(F.collect_list(F.struct(F.col("other").alias("pivot"), "a"))).scalar()
-    d = e.withColumn("p", F.explode(tried)).filter("p.pivot <> other").select("p.pivot", "other", fn.absolute(F.col("a"), F.col("p.a")).alias("d"))
-    return search.pivots(e, d).select("pivot", rd("spread").alias("spread"))
+    """The share of a tenth that is tried are the vectors of the least hash."""
+    e = grid.embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("a"))
+    return metric.best_point(e, F.md5(F.col("id").cast("string"))).select("pivot", rd("spread").alias("spread"))
 
 
 @query("k8_knn_patch", "SELECT cx, cy, round(d, 6) AS d, CAST(rn AS INTEGER) AS rn FROM top")

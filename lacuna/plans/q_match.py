@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hist, patches, priority, search, windows
-from ..sources import grid
+from ..operators import colours, hist, integral, patches, priority, search, windows
+from ..sources import grid, mha
 from .base import R, R3, TX, TX3, TY, TY3, candidates, candidates3, query, rd
-from .q_windows import BND, CONF, MATCHES, _dsql, painted
+from .q_windows import BEFORE, BND, CONF, ENERGY, MATCHES, PAINT, _dsql, change_sql, painted
 
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 
@@ -18,6 +18,16 @@ def io1(spark, sf):
     return grid.pixels(spark, sf).select("x", "y", rd("v").alias("v"))
 
 
+@query("io1_mha_round_trip", "SELECT x, y, round(v, 6) + 0.0 AS v FROM px")
+def io1_mha(spark, sf):
+    """The grid written as one MetaImage file and read again, in slices."""
+    px = grid.pixels(spark, sf)
+    path = grid.shared_path(spark, "io1").removeprefix("file://") + ".mha"
+    height = grid.embeddings(spark, sf).count()
+    mha.write_image(px, path, ["v"], 64, height)
+    return mha.read_image(spark, path, 0, 64 * 8 * 100).select("x", "y", rd("c0").alias("v"))
+
+
 @query("io2_mask_scan", "SELECT x, y, x % 5 = 0 AS hole FROM px")
 def io2(spark, sf):
     header = grid.mask_header(spark.range(1).select(F.lit("0 255 mask.png").alias("value")))
@@ -88,21 +98,31 @@ def io16(spark, sf):
 #: Feature pixels, long: x, y, hole, ch, f. raw: the three channels; grad: their gradients' magnitudes; mag: the gradient of the pixel's magnitude.
 
 
-def features(spark, sf, kind: str) -> DataFrame:
+def wide_features(spark, sf, kind: str) -> tuple[DataFrame, list[str]]:
+    """The grid with a feature in each of the columns named."""
     px = grid.pixels3(spark, sf)
     if kind == "mag":
         px = px.withColumn("m", F.sqrt(F.col("c0") * F.col("c0") + F.col("c1") * F.col("c1") + F.col("c2") * F.col("c2")))
     names = ["m"] if kind == "mag" else ["c0", "c1", "c2"]
     if kind == "raw":
-        cols = names
-    else:
-        cols = []
+        return px, names
+
+    def slopes(t: DataFrame) -> DataFrame:
         for c in names:
-            px = windows.derivative(windows.derivative(px, "x", c, f"{c}x"), "y", c, f"{c}y")
-            px = px.withColumn(f"{c}g", F.sqrt(F.col(f"{c}x") * F.col(f"{c}x") + F.col(f"{c}y") * F.col(f"{c}y")))
-            cols.append(f"{c}g")
-        if kind == "signed":
-            cols = [f"{c}{a}" for c in names for a in "xy"]
+            t = windows.derivative(windows.derivative(t, "x", c, f"{c}x", CYCLIC if kind == "hsv" and c == "c0" else None), "y", c, f"{c}y", CYCLIC if kind == "hsv" and c == "c0" else None)
+            t = t.withColumn(f"{c}g", F.sqrt(F.col(f"{c}x") * F.col(f"{c}x") + F.col(f"{c}y") * F.col(f"{c}y")))
+        return t
+
+    px = patches.tiled(px, 1, slopes)  # all channels in one pass
+    return px, [f"{c}{a}" for c in names for a in "xy"] if kind == "signed" else [f"{c}g" for c in names]
+
+
+#: The difference of two hues, which lie on a circle.
+CYCLIC = lambda a, b: F.least(F.abs(a - b), 1 - F.abs(a - b))
+
+
+def features(spark, sf, kind: str) -> DataFrame:
+    px, cols = wide_features(spark, sf, kind)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.col(c).alias("f")) for i, c in enumerate(cols)]))
     return px.select("x", "y", "hole", pairs.alias("p")).select("x", "y", "hole", "p.ch", "p.f")
 
@@ -147,14 +167,22 @@ FEATS = {
 }
 
 
+def _hue(a: str, b: str) -> str:
+    return f"(CASE WHEN ch = 0 THEN least(abs({a} - {b}), 1 - abs({a} - {b})) ELSE {a} - {b} END)"
+
+
 def _grad_sql(kind: str) -> str:
     if kind == "raw":
         return FEATS["raw"]
     by = lambda s: s.replace("PARTITION BY y", "PARTITION BY ch, y").replace("PARTITION BY x", "PARTITION BY ch, x")
+    if kind == "hsv":  # on the first channel, the difference along the circle
+        return FEATS["grad"] + f""", nb AS (SELECT *, {", ".join(f"{f}(CASE WHEN NOT hole THEN v END) OVER (PARTITION BY ch, {b} ORDER BY {a}) AS {n}" for a, b, f, n in (("x", "y", "lag", "l"), ("x", "y", "lead", "r"), ("y", "x", "lag", "u"), ("y", "x", "lead", "d")))} FROM lg),
+gd AS (SELECT x, y, hole, ch, {", ".join(f"CASE WHEN hole THEN NULL WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {_hue(b, a)} / 2 WHEN {b} IS NOT NULL THEN {_hue(b, 'v')} WHEN {a} IS NOT NULL THEN {_hue('v', a)} ELSE 0 END AS {g}" for a, b, g in (("l", "r", "gx"), ("u", "d", "gy")))} FROM nb),
+ft AS (SELECT x, y, hole, ch, sqrt(gx * gx + gy * gy) AS f FROM gd)"""
     return FEATS[kind] + f", gd AS (SELECT x, y, hole, ch, {by(_dsql('x', 'gx'))}, {by(_dsql('y', 'gy'))} FROM lg), ft AS (SELECT x, y, hole, ch, sqrt(gx * gx + gy * gy) AS f FROM gd)"
 
 
-def compare_sql(kind: str, bins: int, side: str = "valid", fixed: tuple[float, float] | None = None, normal: bool = False, outside: bool = True, quadrant: bool = False, name: str = "") -> str:
+def compare_sql(kind: str, bins: int, side: str = "valid", fixed: tuple[float, float] | None = None, normal: bool = False, outside: bool = True, quadrant: bool = False, name: str = "", cands: str = "top3") -> str:
     q = " * 4 + CASE WHEN dx >= 0 THEN 2 ELSE 0 END + CASE WHEN dy >= 0 THEN 1 ELSE 0 END" if quadrant else ""
     lim = f"{fixed[0]} AS lo, {fixed[1]} AS hi" if fixed else "min(f) AS lo, max(f) AS hi"
     keep = "" if outside else "WHERE f BETWEEN lo AND hi"
@@ -163,11 +191,11 @@ def compare_sql(kind: str, bins: int, side: str = "valid", fixed: tuple[float, f
     b = f"CASE WHEN hi = lo THEN 0 ELSE least({bins - 1}, greatest(0, floor((f - lo) / (hi - lo) * {bins}))) END"
     return f"""tv{name} AS (SELECT dx, dy, ch{q} AS ch, f FROM ft, t3 t WHERE ft.x = 7 + dx AND ft.y = 105 + dy AND NOT t.hole),
 lm{name} AS (SELECT ch, {lim} FROM tv{name} GROUP BY ch),
-cd{name} AS (SELECT cx, cy, ch{q} AS ch, f FROM top3, t3 t, ft WHERE ft.x = cx + dx AND ft.y = cy + dy AND {'NOT ' if side == 'valid' else ''}t.hole),
+cd{name} AS (SELECT cx, cy, ch{q} AS ch, f FROM {cands}, t3 t, ft WHERE ft.x = cx + dx AND ft.y = cy + dy AND {'NOT ' if side == 'valid' else ''}t.hole),
 th{name} AS (SELECT 0 AS cx, 0 AS cy, ch, {b} AS bin, {n} AS n FROM tv{name} JOIN lm{name} USING (ch) GROUP BY ALL),
 ch{name} AS (SELECT cx, cy, ch, {b} AS bin, {n} AS n FROM cd{name} JOIN lm{name} USING (ch) {keep} GROUP BY ALL),
 tn{name} AS (SELECT ch, bin, {share} AS n FROM th{name}), cn{name} AS (SELECT cx, cy, ch, bin, {share} AS n FROM ch{name}),
-un{name} AS (SELECT cx, cy, ch, bin, n FROM cn{name} UNION ALL SELECT cx, cy, t.ch, t.bin, -t.n FROM tn{name} t, top3), bd{name} AS (SELECT cx, cy, ch, bin, abs(sum(n)) AS n FROM un{name} GROUP BY ALL),
+un{name} AS (SELECT cx, cy, ch, bin, n FROM cn{name} UNION ALL SELECT cx, cy, t.ch, t.bin, -t.n FROM tn{name} t, {cands}), bd{name} AS (SELECT cx, cy, ch, bin, abs(sum(n)) AS n FROM un{name} GROUP BY ALL),
 df{name} AS (SELECT cx, cy, sum(n) AS d FROM bd{name} GROUP BY cx, cy)
 """
 
@@ -193,6 +221,22 @@ _compare("v16_histogram_energy", "raw", 20, fixed=(-0.6, 0.6), normal=True)
 _compare("v18_hole_histogram_energy", "raw", 20, side="hole", fixed=(-0.6, 0.6), normal=True)
 
 
+def _compare_all(name: str, kind: str, bins: int, quadrant: bool = False, **how):
+    """Every source patch by its histograms, from integral images; the ranks go by differences of nine digits."""
+
+    @query(name, ", " + _grad_sql(kind) + ", " + compare_sql(kind, bins, quadrant=quadrant, cands="s3", **how) + "SELECT cx, cy, round(d, 6) AS d, CAST(row_number() OVER (ORDER BY round(df.d, 9), cy, cx) AS INTEGER) AS rn FROM df")
+    def run(spark, sf):
+        px, names = wide_features(spark, sf, kind)
+        parts = integral.target_parts(px, names, TX3, TY3, R3, bins, quadrant, how.get("fixed"))
+        got = integral.differences(px, names, parts, R3, bins, how.get("normal", False)).withColumn("s", F.round("d", 9))
+        return search.ranked(got, ["cy", "cx"], None, "s").select("cx", "cy", rd("d").alias("d"), F.col("rn").cast("int").alias("rn"))
+
+
+_compare_all("r1_histogram_difference_of_all", "raw", 20, fixed=(-0.6, 0.6))
+_compare_all("r7_quadrant_histogram_of_all", "raw", 10, quadrant=True, normal=True)
+_compare_all("r12_color_texture_of_all", "grad", 30, normal=True)
+
+
 @query("r2_histogram_correlation", ", " + FEATS["raw"] + ", " + compare_sql("raw", 20, fixed=(-0.6, 0.6)) + """, ev AS (SELECT cx, cy, c.i AS ch, b.i AS bin FROM top3, generate_series(0, 2) c(i), generate_series(0, 19) b(i)),
 j AS (SELECT e.cx, e.cy, coalesce(t.n, 0) AS t, coalesce(s.n, 0) AS s FROM ev e LEFT JOIN tn t ON t.ch = e.ch AND t.bin = e.bin LEFT JOIN cn s ON s.cx = e.cx AND s.cy = e.cy AND s.ch = e.ch AND s.bin = e.bin)
 SELECT cx, cy, round(corr(t, s), 6) AS d FROM j GROUP BY cx, cy""")
@@ -234,19 +278,35 @@ _dual("r6_adaptive_dual_histogram")
 _dual("r8_adaptive_dual_quadrant_histogram", True)
 
 
-@query("r9_strategy_selection", ", " + FEATS["raw"] + ", " + compare_sql("raw", 10, fixed=(-0.6, 0.6), normal=True) + ", " + compare_sql("raw", 10, side="hole", fixed=(-0.6, 0.6), normal=True, name="h") + ", vv AS (SELECT var_samp(c0) + var_samp(c1) + var_samp(c2) AS v FROM t3 WHERE NOT hole), dd AS (SELECT cx, cy, rn, (SELECT count(*) FROM t3 WHERE NOT hole) * df.d + (SELECT count(*) FROM t3 WHERE hole) * dfh.d AS d FROM df JOIN dfh USING (cx, cy) JOIN top3 USING (cx, cy)) SELECT cx, cy FROM dd, vv ORDER BY CASE WHEN v < 1 THEN round(dd.d, 9) ELSE 0 END, rn LIMIT 1")
+@query("r9_strategy_selection", ", " + FEATS["raw"] + ", " + compare_sql("raw", 10, fixed=(-0.6, 0.6), normal=True) + ", " + compare_sql("raw", 10, side="hole", fixed=(-0.6, 0.6), normal=True, name="h") + """, vv AS (SELECT var_samp(c0) + var_samp(c1) + var_samp(c2) AS v FROM t3 WHERE NOT hole),
+qh AS (SELECT CASE WHEN dx >= 0 THEN 2 ELSE 0 END + CASE WHEN dy >= 0 THEN 1 ELSE 0 END AS q, ch, least(9, greatest(0, floor((f + 0.6) / 1.2 * 10))) AS bin, count(*) AS n FROM tv GROUP BY ALL),
+qn AS (SELECT q, ch, bin, n / sum(n) OVER (PARTITION BY q) AS n FROM qh), qq AS (SELECT DISTINCT q FROM qn),
+qd AS (SELECT a.q AS a, b.q AS b, u.ch, u.bin, abs(coalesce(sum(CASE WHEN u.q = a.q THEN u.n END), 0) - coalesce(sum(CASE WHEN u.q = b.q THEN u.n END), 0)) AS d FROM qq a JOIN qq b ON a.q < b.q JOIN qn u ON u.q = a.q OR u.q = b.q GROUP BY a.q, b.q, u.ch, u.bin),
+qm AS (SELECT coalesce(max(d), 0) AS m FROM (SELECT sum(d) AS d FROM qd GROUP BY a, b)),
+dd AS (SELECT cx, cy, rn, (SELECT count(*) FROM t3 WHERE NOT hole) * df.d + (SELECT count(*) FROM t3 WHERE hole) * dfh.d AS d FROM df JOIN dfh USING (cx, cy) JOIN top3 USING (cx, cy))
+SELECT cx, cy FROM dd, vv, qm ORDER BY CASE WHEN v < 1 OR m < 0.5 THEN round(dd.d, 9) ELSE 0 END, rn LIMIT 1""")
 def r9(spark, sf):
-    """The dual histogram's choice where the target's variance is low, else the first stage's."""
+    """The dual histogram's choice where the target is even (its quadrants' histograms differ by less than a half, or its variance is low), else the first stage's."""
     px = grid.pixels3(spark, sf)
     t = patches.patch(px, TX3, TY3, R3).agg(F.count_if(~F.col("hole")).alias("nv"), F.count_if("hole").alias("nh"), sum((F.var_samp(F.when(~F.col("hole"), F.col(c))) for c in ("c0", "c1", "c2")), F.lit(0.0)).alias("var"))
+    t = t.join(F.broadcast(hist.greatest_between(target_part(features(spark, sf, "raw"), True), (-0.6, 0.6), 10)))
     a = compare(spark, sf, "raw", 10, fixed=(-0.6, 0.6), normal=True)
     b = compare(spark, sf, "raw", 10, side="hole", fixed=(-0.6, 0.6), normal=True).withColumnRenamed("d", "e")
     both = a.join(b, ["cx", "cy"]).join(candidates3(px).select("cx", "cy", "rn"), ["cx", "cy"]).join(F.broadcast(t))
-    both = both.withColumn("s", F.when(F.col("var") < 1, F.round(F.col("nv") * F.col("d") + F.col("nh") * F.col("e"), 9)).otherwise(0.0))
+    both = both.withColumn("s", F.when((F.col("var") < 1) | (F.col("most") < 0.5), F.round(F.col("nv") * F.col("d") + F.col("nh") * F.col("e"), 9)).otherwise(0.0))
     return search.best(both, ["rn"], None, "s").select("cx", "cy")
 
 
-@query("r10_introduced_energy_choice")
+def _choice_sql() -> str:
+    out = BND + BEFORE
+    for k in (1, 2, 3):
+        out += f""", m{k} AS (SELECT cx - 19 AS mx, cy - 110 AS my_ FROM top WHERE rn = {k}),
+pn{k} AS (SELECT p.x, p.y, CASE WHEN p.hole AND p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114 THEN s.v ELSE p.v END AS v, p.hole AND NOT (p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114) AS hole FROM px p JOIN m{k} ON true LEFT JOIN px s ON s.x = p.x + mx AND s.y = p.y + my_)""" + change_sql(f"pn{k}", f"cg{k}")
+    every = " UNION ALL ".join(f"SELECT {k} AS rn, avg(c) AS e FROM cg{k} JOIN bn USING (x, y)" for k in (1, 2, 3))
+    return out + f", ee AS ({every}) SELECT cx, cy, round(e, 6) AS energy FROM ee JOIN top USING (rn) ORDER BY e, rn LIMIT 1"
+
+
+@query("r10_introduced_energy_choice", _choice_sql())
 def r10(spark, sf):
     """Of the three best, the one whose paint changes the gradients on the mask's boundary least."""
     px = grid.pixels(spark, sf)
@@ -265,16 +325,16 @@ def r13(spark, sf):
     return search.numbered(got, ["d", "rn1"]).select("cx", "cy", "rn")
 
 
-def _lidar(name: str, ranked: bool = False):
+def _lidar(name: str, kind: str, ranked: bool = False):
     """Colour gradients' histograms and three times those of depth, here the pixel's magnitude."""
-    sql = ", " + _grad_sql("grad") + ", " + compare_sql("grad", 30, normal=True) + ", " + _grad_sql("mag").replace("lg AS", "lgm AS").replace("FROM lg)", "FROM lgm)").replace("gd AS", "gdm AS").replace("FROM gd)", "FROM gdm)").replace("ft AS", "ftm AS") + ", " + compare_sql("mag", 30, normal=True, name="m").replace("FROM ft, t3 t WHERE ft.x", "FROM ftm ft, t3 t WHERE ft.x").replace("top3, t3 t, ft WHERE", "top3, t3 t, ftm ft WHERE")
+    sql = ", " + _grad_sql(kind) + ", " + compare_sql(kind, 30, normal=True) + ", " + _grad_sql("mag").replace("lg AS", "lgm AS").replace("FROM lg)", "FROM lgm)").replace("gd AS", "gdm AS").replace("FROM gd)", "FROM gdm)").replace("ft AS", "ftm AS") + ", " + compare_sql("mag", 30, normal=True, name="m").replace("FROM ft, t3 t WHERE ft.x", "FROM ftm ft, t3 t WHERE ft.x").replace("top3, t3 t, ft WHERE", "top3, t3 t, ftm ft WHERE")
     tail = "SELECT cx, cy, round(df.d + 3 * dfm.d, 6) AS d FROM df JOIN dfm USING (cx, cy)"
     if ranked:
         tail = "SELECT cx, cy, CAST(row_number() OVER (ORDER BY round(df.d + 3 * dfm.d, 9), rn) AS INTEGER) AS rn FROM df JOIN dfm USING (cx, cy) JOIN top3 USING (cx, cy)"
 
     @query(name, sql + tail)
     def run(spark, sf):
-        a, b = compare(spark, sf, "grad", 30, normal=True), compare(spark, sf, "mag", 30, normal=True).withColumnRenamed("d", "e")
+        a, b = compare(spark, sf, kind, 30, normal=True), compare(spark, sf, "mag", 30, normal=True).withColumnRenamed("d", "e")
         got = a.join(b, ["cx", "cy"]).withColumn("d", F.col("d") + 3 * F.col("e"))
         if not ranked:
             return got.select("cx", "cy", rd("d").alias("d"))
@@ -282,29 +342,17 @@ def _lidar(name: str, ranked: bool = False):
         return search.numbered(got.withColumn("d", F.round("d", 9)).join(first, ["cx", "cy"]), ["d", "rn1"]).select("cx", "cy", "rn")
 
 
-_lidar("r14_lidar_rgb_texture")
-_lidar("r16_lidar_texture_sorted", True)
+_lidar("r14_lidar_rgb_texture", "grad")
+_lidar("r15_lidar_hsv_texture", "hsv")  # hues on a circle
+_lidar("r16_lidar_texture_sorted", "hsv", True)
 
 
-@query("r15_lidar_hsv_texture")
-def r15(spark, sf):
-    """As r14 with a cyclic derivative of the first channel."""
-    px = grid.pixels3(spark, sf)
-    cyclic = lambda a, b: F.least(F.abs(a - b), 1 - F.abs(a - b))
-    for c, d in (("c0", cyclic), ("c1", None), ("c2", None)):
-        px = windows.derivative(windows.derivative(px, "x", c, f"{c}x", d), "y", c, f"{c}y", d)
-        px = px.withColumn(f"{c}g", F.sqrt(F.col(f"{c}x") * F.col(f"{c}x") + F.col(f"{c}y") * F.col(f"{c}y")))
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.col(f"c{i}g").alias("f")) for i in range(3)]))
-    feats = px.select("x", "y", "hole", pairs.alias("p")).select("x", "y", "hole", "p.ch", "p.f")
-    cands = candidates3(grid.pixels3(spark, sf))
-    t = target_part(feats, True)
-    limits = hist.ranges(t)
-    a, b = hist.normalised(hist.counts(t, limits, 30)), hist.normalised(hist.counts(candidate_part(feats, cands, t), limits, 30, True, ("cx", "cy")), ("cx", "cy"))
-    depth = compare(spark, sf, "mag", 30, normal=True).withColumnRenamed("d", "e")
-    return hist.difference(a, b, cands).join(depth, ["cx", "cy"]).select("cx", "cy", rd(F.col("d") + 3 * F.col("e")).alias("d"))
+def _signed_sql() -> str:
+    by = lambda s: s.replace("PARTITION BY y", "PARTITION BY ch, y").replace("PARTITION BY x", "PARTITION BY ch, x")
+    return FEATS["grad"] + f", gd AS (SELECT x, y, hole, ch, {by(_dsql('x', 'gx'))}, {by(_dsql('y', 'gy'))} FROM lg), ft AS (SELECT x, y, hole, 2 * ch AS ch, abs(gx) AS f FROM gd UNION ALL SELECT x, y, hole, 2 * ch + 1, abs(gy) FROM gd)"
 
 
-@query("r17_lidar_derivatives")
+@query("r17_lidar_derivatives", ", " + _signed_sql() + ", " + compare_sql("signed", 30, normal=True) + "SELECT cx, cy, round(d, 6) AS d FROM df")
 def r17(spark, sf, ref_quirk: bool = False):
     """Histograms of the absolute derivatives of all channels; ref_quirk: the candidates' keep their signs."""
     feats = features(spark, sf, "signed")
@@ -444,7 +492,28 @@ def v20(spark, sf):
     return _quadrants(spark, sf).groupBy("cx", "cy").agg(F.every(F.col("energy") < 1.5).alias("accepted"))
 
 
-@query("v23_boundary_energy")
+#: Clusters of colours, and rounds.
+CLUSTERS, ROUNDS = 5, 4
+
+
+def _clusters_sql() -> str:
+    near = "SELECT x, y, c, d FROM (SELECT p.x, p.y, m.c, (p.c0 - m.c0) * (p.c0 - m.c0) + (p.c1 - m.c1) * (p.c1 - m.c1) + (p.c2 - m.c2) * (p.c2 - m.c2) AS d FROM p3 p, k{0} m) QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY d, c) = 1"
+    out = f", k0 AS (SELECT row_number() OVER (ORDER BY md5(concat_ws(',', x, y))) - 1 AS c, c0, c1, c2 FROM p3 QUALIFY c < {CLUSTERS})"
+    for i in range(ROUNDS):
+        out += f", l{i} AS MATERIALIZED ({near.format(i)}), k{i + 1} AS MATERIALIZED (SELECT l.c, avg(p.c0) AS c0, avg(p.c1) AS c1, avg(p.c2) AS c2 FROM p3 p JOIN l{i} l USING (x, y) GROUP BY l.c)"
+    return out + f" SELECT x, y, CAST(c AS INTEGER) AS label, round(d, 6) + 0.0 AS d FROM ({near.format(ROUNDS)})"
+
+
+@query("v28_colour_clusters", _clusters_sql())
+def v28(spark, sf):
+    """The image of labels after some rounds from the colours of the least hash."""
+    px, names = grid.pixels3(spark, sf), ["c0", "c1", "c2"]
+    first = px.orderBy(F.md5(F.concat_ws(",", "x", "y").cast("binary"))).limit(CLUSTERS).select(*names).collect()
+    centres, _ = colours.lloyd(px, names, [list(r) for r in first], ROUNDS, 0.0)
+    return colours.labelled(px, names, centres).select("x", "y", "label", rd(colours.nearest(names, centres)["d"]).alias("d"))
+
+
+@query("v23_boundary_energy", PAINT + ENERGY.replace("px p", "n p").replace("px q", "n q") + "SELECT round(avg(e), 6) AS energy, avg(e) < 100 AS accepted FROM e WHERE h > 0")
 def v23(spark, sf):
     e = windows.boundary_energy(painted(grid.pixels(spark, sf)))
     return e.select(rd("energy").alias("energy"), (F.col("energy") < 100).alias("accepted"))
@@ -455,5 +524,3 @@ def v23d(spark, sf):
     d = F.hypot(F.col("cx") - TX, F.col("cy") - TY)
     return candidates(grid.pixels(spark, sf)).select("cx", "cy", rd(d).alias("energy"), (d < 100).alias("accepted"))
 
-
-_ = BND

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import paint
+from ..operators import loop
 from ..sources import grid
 from .base import R, query, rd
 
@@ -24,7 +24,7 @@ PROGRAMS = {
 def _program(name: str, how: dict) -> None:
     @query(name)
     def run(spark, sf):
-        return paint.inpaint(grid.pixels(spark, sf), R, **how).select("x", "y", rd("v").alias("v"), "iter", "src_x", "src_y")
+        return loop.inpaint(grid.pixels(spark, sf), R, **how).select("x", "y", rd("v").alias("v"), "iter", "src_x", "src_y")
 
 
 for _n, _h in PROGRAMS.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as fn
-from ..operators import paint, patches, priority, search, windows
+from ..operators import delta, loop, many, paint, patches, points, priority, search, windows
 from ..sources import grid
 from .base import R, TX, TY, candidates, query, rd, scores
 
@@ -117,11 +117,45 @@ def p20(spark, sf):
     return px.join(feats, "y", "left").select("x", "y", F.when(bad, "INVALID").otherwise("SOURCE_NODE").alias("status"))
 
 
+#: Radius within which points, pixels whose channels are their coordinates, are neighbours.
+NEAR = 0.03
+
+
+def points_of(spark, sf) -> DataFrame:
+    px = grid.pixels3(spark, sf)
+    return px.select((F.col("y").cast("long") * 21 + F.col("x")).alias("id"), F.col("c0").alias("px"), F.col("c1").alias("py"), F.col("c2").alias("pz"))
+
+
+@query("p20_normals", f", nb AS (SELECT a.x, a.y, count(*) FILTER (WHERE (a.x, a.y) <> (b.x, b.y)) AS k FROM p3 a, p3 b WHERE b.c0 BETWEEN a.c0 - {NEAR} AND a.c0 + {NEAR} AND (a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2 + (a.c2 - b.c2) ** 2 <= {NEAR} * {NEAR} GROUP BY a.x, a.y) SELECT x, y, k, CASE WHEN k < 2 THEN 'INVALID' ELSE 'SOURCE_NODE' END AS status FROM nb")
+def p20_normals(spark, sf):
+    """Normals from each point's neighbours; a point with too few of them has none and is INVALID."""
+    pts = points_of(spark, sf)
+    got = points.normals(pts, points.neighbours(pts, NEAR))
+    return got.select((F.col("id") % 21).cast("int").alias("x"), F.floor(F.col("id") / 21).cast("int").alias("y"), "k", F.when(F.col("nx").isNull(), "INVALID").otherwise("SOURCE_NODE").alias("status"))
+
+
+@query("p21_point_features")
+def p21(spark, sf):
+    """33 bins for each point; tests hold them against a plain version."""
+    got = points.point_features(points_of(spark, sf), NEAR)
+    return got.select((F.col("id") % 21).cast("int").alias("x"), F.floor(F.col("id") / 21).cast("int").alias("y"), F.transform("fpfh", lambda v: F.round(v, 4)).alias("fpfh"))
+
+
 @query("p22_composite_descriptors", STATUS.replace("SELECT x, y, n = 81 AS inside", "SELECT x, y, x + 64 * y AS node, n = 81 AS inside"))
 def p22(spark, sf):
     return patches.with_status(px1(spark, sf), R).select("x", "y", (F.col("x") + 64 * F.col("y")).cast("long").alias("node"), "inside", "fully_valid", "status")
 
 
+@query("k8_knn_of_all_targets", BND + """, tt AS (SELECT bn.x AS tx, bn.y AS ty, dx, dy, t.v FROM bn, o4 o, px t WHERE t.x = bn.x + o.dx AND t.y = bn.y + o.dy AND NOT t.hole),
+ds AS (SELECT tx, ty, cx, cy, avg((p.v - t.v) ** 2) AS d FROM src s, tt t, px p WHERE p.x = cx + dx AND p.y = cy + dy GROUP BY tx, ty, cx, cy)
+SELECT tx, ty, cx, cy, round(d, 6) AS d, CAST(row_number() OVER (PARTITION BY tx, ty ORDER BY ds.d, cy, cx) AS INTEGER) AS rn FROM ds QUALIFY rn <= 5""")
+def k8_all(spark, sf):
+    """The five best source patches of every pixel of the boundary."""
+    px = px1(spark, sf)
+    targets = patches.boundary(px).select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return many.nearest_patches(px, targets, 5, R).select("tx", "ty", "cx", "cy", rd("d").alias("d"), "rn")
+
+
 @query("p24_region_copy", "SELECT t.x AS x, t.y AS y, round(s.v, 6) + 0.0 AS v FROM px t JOIN px s ON s.x = t.x + 60 AND s.y = t.y + 3 WHERE t.x BETWEEN 0 AND 6 AND t.y BETWEEN 0 AND 4")
 def p24(spark, sf):
     """A source region that runs over the edge clips the target alike: only offsets that both have remain."""
@@ -162,6 +196,19 @@ s AS (SELECT d.x, d.y, sum(e.d * k.w) AS p, sum(CASE WHEN e.d IS NOT NULL THEN k
 SELECT d.x, d.y, round(CASE WHEN d.hole THEN NULL WHEN u > {least} THEN p / u ELSE {zero} END, 6) + 0.0 AS g FROM d LEFT JOIN s USING (x, y)"""
 
 
+KERNEL = ", kg(k, w) AS (VALUES " + ", ".join(f"({k - 5}, {w!r})" for k, w in enumerate(windows.kernel(11, 3.0))) + ")"
+
+
+def gauss_sql(table: str, out: str, axis: str) -> str:
+    """`out` (x, y, g): the masked derivative of a table (x, y, hole, v) along an axis, weighted by kg across it; by joins, not by windows."""
+    a, b = ("x", "y") if axis == "x" else ("y", "x")
+    return f""", n_{out} AS (SELECT p.x, p.y, p.hole, p.v, l.v AS lv, l.hole AS lh, r.v AS rv, r.hole AS rh FROM {table} p LEFT JOIN {table} l ON l.{a} = p.{a} - 1 AND l.{b} = p.{b} LEFT JOIN {table} r ON r.{a} = p.{a} + 1 AND r.{b} = p.{b}),
+d_{out} AS (SELECT x, y, hole, CASE WHEN hole THEN NULL WHEN NOT lh AND NOT rh THEN (rv - lv) / 2 WHEN NOT rh THEN rv - v WHEN NOT lh THEN v - lv END AS d FROM n_{out}),
+s_{out} AS (SELECT d.x, d.y, sum(e.d * k.w) AS p, sum(CASE WHEN e.d IS NOT NULL THEN k.w END) AS u FROM d_{out} d, kg k, d_{out} e WHERE NOT d.hole AND e.{a} = d.{a} AND e.{b} = d.{b} + k.k GROUP BY ALL),
+{out} AS (SELECT d.x, d.y, CASE WHEN d.hole THEN NULL WHEN u > 0 THEN p / u ELSE 0 END AS g FROM d_{out} d LEFT JOIN s_{out} s USING (x, y))
+"""
+
+
 def _w(name, sql, f):
     @query(name, sql)
     def run(spark, sf, f=f):
@@ -174,9 +221,12 @@ _w("w4_masked_gaussian", _across_sql(windows.kernel(11, 3.0), 0, "0"), lambda px
 _w("w4_masked_gaussian_quirk", _across_sql(windows.kernel(11, 3.0), 0, "0", True), lambda px: windows.gaussian(px, "x", "v", "g", ref_quirk=True))
 
 
-@query("w5_masked_gradient_x", _across_sql(windows.kernel(11, 3.0), 0, "0").replace("AS g FROM d", "AS gx FROM d"))
+BOTH = "SELECT a.x, a.y, round({0}, 6) + 0.0 AS {1}, round({2}, 6) + 0.0 AS {3} FROM ga a JOIN gb b USING (x, y)"
+
+
+@query("w5_masked_gradient", KERNEL + gauss_sql("px", "ga", "x") + gauss_sql("px", "gb", "y") + BOTH.format("a.g", "gx", "b.g", "gy"))
 def w5(spark, sf):
-    return windows.gradient(px1(spark, sf), "v").select("x", "y", rd("gx").alias("gx"))
+    return windows.gradient(px1(spark, sf), "v").select("x", "y", rd("gx").alias("gx"), rd("gy").alias("gy"))
 
 
 @query("w6_gradient_from_derivatives", f", d AS (SELECT x, y, {_dsql('x', 'gx')}, {_dsql('y', 'gy')} FROM px) SELECT x, y, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy FROM d")
@@ -186,14 +236,15 @@ def w6(spark, sf):
     return windows.zip_fields(a, b).select("x", "y", rd("gx").alias("gx"), rd("gy").alias("gy"))
 
 
-@query("w7_isophotes", _across_sql(windows.kernel(11, 3.0), 0, "0").replace("px p LEFT JOIN px l", "lu p LEFT JOIN lu l").replace("LEFT JOIN px r", "LEFT JOIN lu r").replace(", n AS (", ", lu AS (SELECT x, y, hole, 0.3 * c0 + 0.59 * c1 + 0.11 * c2 AS v FROM p3), n AS (", 1).replace("AS g FROM d", "AS iy FROM d"))
+@query("w7_isophotes", ", lu AS (SELECT x, y, hole, 0.3 * c0 + 0.59 * c1 + 0.11 * c2 AS v FROM p3)" + KERNEL + gauss_sql("lu", "ga", "x") + gauss_sql("lu", "gb", "y") + BOTH.format("-b.g", "ix", "a.g", "iy"))
 def w7(spark, sf):
-    """The turned gradient; its second component is the derivative along x."""
-    return windows.isophotes(grid.pixels3(spark, sf)).select("x", "y", rd("iy").alias("iy"))
+    """The gradient of the luminance, turned by a quarter."""
+    return windows.isophotes(grid.pixels3(spark, sf)).select("x", "y", rd("ix").alias("ix"), rd("iy").alias("iy"))
 
 
 _G = ", ".join(f"({k}, exp(-{k * k} / 4.0::DOUBLE))" for k in range(-3, 4))
-BLUR = f""", k(k, w) AS (VALUES {_G}), b AS (SELECT p.x, p.y, sum(i.w * j.w * q.m) / sum(i.w * j.w) AS b FROM val p, k i, k j, val q WHERE q.x = p.x + i.k AND q.y = p.y + j.k AND q.m IS NOT NULL GROUP BY ALL)
+BLUR = f""", k(k, w) AS (VALUES {_G}), bx AS (SELECT p.x, p.y, sum(k.w * q.m) AS s, sum(CASE WHEN q.m IS NOT NULL THEN k.w ELSE 0 END) AS n FROM val p, k, val q WHERE q.x = p.x + k.k AND q.y = p.y GROUP BY ALL),
+b AS (SELECT p.x, p.y, sum(k.w * q.s) / nullif(sum(k.w * q.n), 0) AS b FROM val p, k, bx q WHERE q.x = p.x AND q.y = p.y + k.k GROUP BY ALL)
 """
 
 
@@ -224,19 +275,34 @@ def painted(px: DataFrame) -> DataFrame:
     return patches.paint(px, TX, TY, SX, SY, R)
 
 
-@query("w10_introduced_energy_mask")
+PAINT = ", n AS (SELECT p.x, p.y, CASE WHEN p.hole AND p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114 THEN s.v ELSE p.v END AS v, p.hole AND NOT (p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114) AS hole, CASE WHEN NOT p.hole THEN p.x WHEN s.x IS NOT NULL AND p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114 THEN s.x ELSE -1 END AS src_x FROM px p LEFT JOIN px s ON s.x = p.x + 5 AND s.y = p.y + 188)\n"
+
+
+def change_sql(painted: str, out: str) -> str:
+    """`out` (x, y, c): squared norm of the difference of gradients of px (ga, gb) and of a painted table."""
+    return gauss_sql(painted, f"pa_{out}", "x") + gauss_sql(painted, f"pb_{out}", "y") + f""", g_{out} AS (SELECT a.x, a.y, coalesce(a.g, 0) AS ax, coalesce(b.g, 0) AS ay, coalesce(c.g, 0) AS bx, coalesce(d.g, 0) AS by_ FROM ga a JOIN gb b USING (x, y) JOIN pa_{out} c USING (x, y) JOIN pb_{out} d USING (x, y)),
+{out} AS (SELECT x, y, (abs(ax) - abs(bx)) ** 2 + (CASE WHEN ax < 0 THEN -ay ELSE ay END - CASE WHEN bx < 0 THEN -by_ ELSE by_ END) ** 2 AS c FROM g_{out})
+"""
+
+
+BEFORE = KERNEL + gauss_sql("px", "ga", "x") + gauss_sql("px", "gb", "y")
+CHANGE = BND + PAINT + BEFORE + change_sql("n", "cg") + """, em AS (SELECT avg(c) AS e FROM cg JOIN bn USING (x, y)), ep AS (SELECT coalesce(avg(c), 0) AS e FROM cg JOIN px USING (x, y) WHERE NOT hole AND greatest(abs(x - 19), abs(y - 110)) = 4)
+"""
+
+
+@query("w10_introduced_energy_mask", CHANGE + "SELECT round(e, 6) AS energy FROM em")
 def w10(spark, sf):
     px = px1(spark, sf)
     return windows.mask_boundary_energy(px, painted(px)).select(rd("energy").alias("energy"))
 
 
-@query("w11_introduced_energy_patch")
+@query("w11_introduced_energy_patch", CHANGE + "SELECT round(e, 6) AS energy FROM ep")
 def w11(spark, sf):
     px = px1(spark, sf)
     return windows.patch_boundary_energy(px, painted(px), TX, TY, R).select(rd("energy").alias("energy"))
 
 
-@query("w12_introduced_energy")
+@query("w12_introduced_energy", CHANGE + "SELECT round(em.e + ep.e, 6) AS energy FROM em, ep")
 def w12(spark, sf):
     px = px1(spark, sf)
     new = painted(px)
@@ -273,20 +339,39 @@ def q3(spark, sf):
     return priority.update_confidence(px, TX, TY, R).select("x", "y", rd("confidence").alias("confidence"))
 
 
-@query("q4_criminisi")
+def terms_sql(grid3: str) -> str:
+    """pr (x, y, term, ix, iy, nx, ny) on the boundary of a table (x, y, hole, c0, c1, c2, conf), for patches of radius 2."""
+    return f""", lu AS (SELECT x, y, hole, 0.3 * c0 + 0.59 * c1 + 0.11 * c2 AS v FROM {grid3})""" + KERNEL + gauss_sql("lu", "ga", "x") + gauss_sql("lu", "gb", "y") + f""", val AS (SELECT x, y, CASE WHEN hole THEN 0.0 ELSE 1.0 END AS m FROM {grid3})""" + BLUR + f""",
+b3 AS (SELECT DISTINCT p.x, p.y FROM {grid3} p, o1 o, {grid3} q WHERE NOT p.hole AND q.hole AND q.x = p.x + o.dx AND q.y = p.y + o.dy),
+tm AS (SELECT p.x, p.y, sum(CASE WHEN q.hole THEN 0 ELSE q.conf END) / count(*) AS term FROM b3 p, o4 o, {grid3} q WHERE abs(dx) <= 2 AND abs(dy) <= 2 AND q.x = p.x + o.dx AND q.y = p.y + o.dy GROUP BY ALL),
+nm AS (SELECT p.x, p.y, (coalesce(r.b, m.b) - coalesce(l.b, m.b)) / 2 AS gx, (coalesce(d.b, m.b) - coalesce(u.b, m.b)) / 2 AS gy FROM b3 p JOIN b m USING (x, y) LEFT JOIN b r ON r.x = p.x + 1 AND r.y = p.y LEFT JOIN b l ON l.x = p.x - 1 AND l.y = p.y LEFT JOIN b d ON d.x = p.x AND d.y = p.y + 1 LEFT JOIN b u ON u.x = p.x AND u.y = p.y - 1),
+pr AS (SELECT x, y, term, -gb.g AS ix, ga.g AS iy, CASE WHEN gx = 0 AND gy = 0 THEN 0 ELSE gx / sqrt(gx * gx + gy * gy) END AS nx, CASE WHEN gx = 0 AND gy = 0 THEN 0 ELSE gy / sqrt(gx * gx + gy * gy) END AS ny FROM tm JOIN nm USING (x, y) JOIN ga USING (x, y) JOIN gb USING (x, y))
+"""
+
+
+WHOLE3 = ", w3 AS (SELECT *, CASE WHEN hole THEN 0.0 ELSE 1.0 END AS conf FROM p3)"
+#: After a paint of (7, 105) from (14, 50): what is filled has the target's confidence.
+AFTER3 = """, tc AS (SELECT sum(CASE WHEN hole THEN 0.0 ELSE 1.0 END) / count(*) AS c FROM t3), f3 AS (SELECT x, y, hole AND x BETWEEN 5 AND 9 AND y BETWEEN 103 AND 107 AS filled FROM p3),
+w3 AS (SELECT p.x, p.y, p.hole AND NOT filled AS hole, CASE WHEN filled THEN s.c0 ELSE p.c0 END AS c0, CASE WHEN filled THEN s.c1 ELSE p.c1 END AS c1, CASE WHEN filled THEN s.c2 ELSE p.c2 END AS c2, CASE WHEN filled THEN tc.c WHEN p.hole THEN 0 ELSE 1 END AS conf
+  FROM p3 p JOIN f3 USING (x, y) JOIN tc ON true LEFT JOIN p3 s ON s.x = p.x + 7 AND s.y = p.y - 55)"""
+DATA = "SELECT x, y, round(term * abs(ix * nx + iy * ny) / 255, 6) + 0.0 AS priority FROM pr"
+
+
+@query("q4_criminisi", WHOLE3 + terms_sql("w3") + DATA)
 def q4(spark, sf):
     return priority.criminisi(grid.pixels3(spark, sf), 2).select("x", "y", rd("priority").alias("priority"))
 
 
-@query("q5_criminisi_update")
+@query("q5_criminisi_update", AFTER3 + terms_sql("w3") + DATA)
 def q5(spark, sf):
-    """After a paint: confidences passed on, and the boundary's priorities computed anew."""
-    px = priority.update_confidence(priority.with_confidence(grid.pixels3(spark, sf)), 7, 105, 2)
-    px = patches.paint(px, 7, 105, 14, 50, 2).withColumn("confidence", F.when(F.col("confidence").isNull(), 0.0).otherwise(F.col("confidence")))
-    return priority.criminisi(px, 2).select("x", "y", rd("priority").alias("priority"))
+    """After a paint: confidences passed on, and the priorities about the target computed anew; the others stay."""
+    px = priority.with_confidence(grid.pixels3(spark, sf))
+    rank = lambda t: priority.criminisi(t, 2)
+    after = delta.merged(px, delta.patch_after(px, 7, 105, 14, 50, 2), 7, 105, 2)
+    return delta.queue_after(rank(px), after, 7, 105, 2, 6, rank).select("x", "y", rd("priority").alias("priority"))
 
 
-@query("q6_improved_criminisi")
+@query("q6_improved_criminisi", WHOLE3 + terms_sql("w3") + ", an AS (SELECT x, y, sqrt(ix * ix + iy * iy) AS l, ix * nx + iy * ny AS d FROM pr), co_ AS (SELECT x, y, l, CASE WHEN l > 0 THEN d / l ELSE 0 END AS c FROM an) SELECT x, y, round(CASE WHEN degrees(acos(least(1, greatest(-1, c)))) < 20 THEN l * c ELSE l END, 6) + 0.0 AS priority FROM co_")
 def q6(spark, sf):
     return priority.improved(grid.pixels3(spark, sf), 2).select("x", "y", rd("priority").alias("priority"))
 
@@ -306,7 +391,7 @@ def q9(spark, sf):
     return priority.manual(priority.initial_queue(px1(spark, sf), R), F.col("x") < 20).select("x", "y", rd("priority").alias("priority"))
 
 
-@query("q10_random")
+@query("q10_random", BND + "SELECT x, y, round(('0x' || substr(md5(concat_ws(',', x, y, 0)), 1, 8))::BIGINT / 4294967296.0, 6) AS priority FROM bn")
 def q10(spark, sf):
     return priority.random(px1(spark, sf), 0).select("x", "y", rd("priority").alias("priority"))
 
@@ -329,9 +414,6 @@ def q14(spark, sf):
     return q.agg(F.count_if("valid").alias("valid"), F.count("*").alias("all_nodes"))
 
 
-PAINT = ", n AS (SELECT p.x, p.y, CASE WHEN p.hole AND p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114 THEN s.v ELSE p.v END AS v, p.hole AND NOT (p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114) AS hole, CASE WHEN NOT p.hole THEN p.x WHEN s.x IS NOT NULL AND p.x BETWEEN 15 AND 23 AND p.y BETWEEN 106 AND 114 THEN s.x ELSE -1 END AS src_x FROM px p LEFT JOIN px s ON s.x = p.x + 5 AND s.y = p.y + 188)\n"
-
-
 def _paint(name):
     @query(name, PAINT + "SELECT x, y, round(v, 6) + 0.0 AS v, hole, CAST(src_x AS INTEGER) AS src_x FROM n")
     def run(spark, sf):
@@ -358,6 +440,24 @@ def u5(spark, sf):
     return patches.boundary(painted(px1(spark, sf))).select("x", "y")
 
 
+@query("u5_finish_vertex_effects", CONF + PAINT + """, tc AS (SELECT count(*) FILTER (WHERE NOT hole)::DOUBLE / count(*) AS c FROM tp),
+n2 AS (SELECT n.x, n.y, n.v, n.hole, n.src_x, p.hole AND NOT n.hole AS filled, CASE WHEN p.hole AND NOT n.hole THEN tc.c WHEN n.hole THEN 0 ELSE 1 END AS conf FROM n JOIN px p USING (x, y), tc),
+b2 AS (SELECT DISTINCT p.x, p.y FROM n2 p, o1 o, n2 q WHERE NOT p.hole AND q.hole AND q.x = p.x + o.dx AND q.y = p.y + o.dy),
+q2 AS (SELECT b.x, b.y, sum(CASE WHEN q.hole THEN 0 ELSE q.conf END) / count(*) AS c FROM b2 b, o4 o, n2 q WHERE q.x = b.x + o.dx AND q.y = b.y + o.dy GROUP BY ALL),
+s2 AS (SELECT p.x, p.y FROM n2 p, ext WHERE p.x BETWEEN 4 AND 59 AND p.y BETWEEN 4 AND my - 4 AND (p.x, p.y) NOT IN (SELECT (q.x + o.dx, q.y + o.dy) FROM n2 q, o4 o WHERE q.hole) AND (p.x, p.y) NOT IN (SELECT (cx, cy) FROM src))
+SELECT 'used' AS effect, 24 AS x, 298 AS y, NULL::DOUBLE AS v, NULL::INTEGER AS src_x, NULL::DOUBLE AS confidence, NULL::DOUBLE AS priority
+UNION ALL SELECT 'filled', x, y, round(v, 6) + 0.0, src_x, round(conf, 6), NULL FROM n2 WHERE filled
+UNION ALL SELECT 'source', x, y, NULL, NULL, NULL, NULL FROM s2
+UNION ALL SELECT 'queued', q2.x, q2.y, NULL, NULL, NULL, round(q2.c, 6) FROM q2 LEFT JOIN cf USING (x, y) WHERE cf.c IS NULL OR round(cf.c, 9) <> round(q2.c, 9)
+UNION ALL SELECT 'dropped', cf.x, cf.y, NULL, NULL, NULL, NULL FROM cf LEFT JOIN q2 USING (x, y) WHERE q2.c IS NULL""")
+def u5_effects(spark, sf):
+    """All that the paint changes, worked out near the target alone."""
+    px = priority.with_confidence(px1(spark, sf))
+    rank = lambda t: priority.initial_queue(t, R)
+    got = delta.effects(px, rank(px), TX, TY, SX, SY, R, R, rank)
+    return got.select("effect", "x", "y", rd("v").alias("v"), "src_x", rd("confidence").alias("confidence"), rd("priority").alias("priority"))
+
+
 @query("u6_match_checks", "SELECT (SELECT count(*) FROM src WHERE cx = 24 AND cy = 298) = 1 AS source_valid, true AS target_on_boundary")
 def u6(spark, sf):
     return paint.check_match(px1(spark, sf), TX, TY, SX, SY, R)
@@ -385,13 +485,24 @@ for _n in ("u7_replay", "g6_precomputed"):
     _replay(_n)
 
 
-@query("g7_forward_look", CONF + """, tg AS (SELECT x AS tx, y AS ty, row_number() OVER (ORDER BY c DESC, y, x) AS r FROM cf QUALIFY r <= 3),
-tt AS MATERIALIZED (SELECT tx, ty, dx, dy, t.v FROM tg, o4 o, px t WHERE t.x = tx + o.dx AND t.y = ty + o.dy AND NOT t.hole),
+LOOK = """, t1 AS (SELECT x, y, c FROM cf ORDER BY round(c, 9) DESC, y, x LIMIT 1),
+c2 AS (SELECT cf.* FROM cf, t1 WHERE abs(cf.x - t1.x) > {k} OR abs(cf.y - t1.y) > {k}), t2 AS (SELECT x, y, c FROM c2 ORDER BY round(c, 9) DESC, y, x LIMIT 1),
+c3 AS (SELECT c2.* FROM c2, t2 WHERE abs(c2.x - t2.x) > {k} OR abs(c2.y - t2.y) > {k}), t3_ AS (SELECT x, y, c FROM c3 ORDER BY round(c, 9) DESC, y, x LIMIT 1),
+tg AS (SELECT x AS tx, y AS ty FROM t1 UNION ALL SELECT x, y FROM t2 UNION ALL SELECT x, y FROM t3_),
+tt AS (SELECT tx, ty, dx, dy, t.v FROM tg, o4 o, px t WHERE t.x = tx + o.dx AND t.y = ty + o.dy AND NOT t.hole),
 ds AS (SELECT tx, ty, p.x - dx AS cx, p.y - dy AS cy, avg((p.v - t.v) ** 2) AS d FROM tt t, px p WHERE (p.x - dx, p.y - dy) IN (SELECT (s.cx, s.cy) FROM src s) GROUP BY tx, ty, p.x - dx, p.y - dy)
-SELECT tx, ty, cx, cy, round(d, 6) AS d FROM ds ORDER BY ds.d, ty, tx, cy, cx LIMIT 1""")
-def g7(spark, sf):
-    px = px1(spark, sf)
-    return paint.forward_look(px, 3, R).select("tx", "ty", "cx", "cy", rd("d").alias("d"))
+SELECT tx, ty, cx, cy, round(d, 6) AS d FROM ds ORDER BY ds.d, ty, tx, cy, cx LIMIT 1"""
+
+
+def _look(name: str, distance: int):
+    @query(name, CONF + LOOK.format(k=distance))
+    def run(spark, sf):
+        return paint.forward_look(px1(spark, sf), 3, R, distance).select("tx", "ty", "cx", "cy", rd("d").alias("d"))
+
+
+# targets whose patches do not overlap, and targets that only stand outside the patches of those before
+_look("g7_forward_look", 2 * R)
+_look("g7_forward_look_outside", R)
 
 
 @query("g8_scale_consistent", "SELECT cx, cy, round(d + a, 6) AS total FROM sc ORDER BY sc.d + sc.a, cy, cx LIMIT 1")
@@ -420,7 +531,7 @@ def g10(spark, sf):
 def _loop(name, **how):
     @query(name)
     def run(spark, sf, how=how):
-        return paint.inpaint(px1(spark, sf), R, **how).select("x", "y", rd("v").alias("v"), "iter", "src_x", "src_y")
+        return loop.inpaint(px1(spark, sf), R, **how).select("x", "y", rd("v").alias("v"), "iter", "src_x", "src_y")
 
 
 _loop("g1_inpainting")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_functions, q_match, q_programs, q_windows  # noqa: F401
+from . import q_functions, q_log, q_match, q_programs, q_windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -103,16 +103,20 @@ def write_grid(px: DataFrame, path: str, by: str | None = None) -> None:
     (out.partitionBy(by) if by else out).parquet(path)
 
 
-def through(px: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """px written by write_grid and read again: the sink's content. It lies in the folder that driver and executors share, named in spark.checkpoint.dir; where none is named, a temporary one serves
-    on a single machine."""
-    spark = px.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, named in spark.checkpoint.dir; where none is named, a temporary one serves on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lacuna-")
         atexit.register(shutil.rmtree, root, True)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def through(px: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """px written by write_grid and read again: the sink's content, in the shared folder."""
+    spark = px.sparkSession
+    path = shared_path(spark, label)
     write_grid(px, path, by)
     return spark.read.parquet(path)

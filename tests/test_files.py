@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import paint
+from lacuna.operators import loop
 from lacuna.sources import grid
 
 
@@ -40,7 +40,7 @@ def test_mask_files_and_a_fill(spark, tmp_path):
     mask = grid.mask_files(spark, str(tmp_path / "a.mask"))
     assert {(r["x"], r["y"]) for r in mask.filter("hole").collect()} == {(x, y) for y in range(16) for x in range(8) if hole[y][x]}
     px = grid.image_files(spark, str(tmp_path / "image.png")).select("image_id", "x", "y", F.col("c0").alias("v")).join(mask.drop("image_id"), ["x", "y"])
-    out = grid.through(paint.inpaint(px, 1), "filled")
+    out = grid.through(loop.inpaint(px, 1), "filled")
     assert out.count() == 128 and out.filter("iter >= 0").count() == 4
     (tmp_path / "b.mask").write_text("0 254 m.png\n")
     with pytest.raises(Exception, match="neither hole nor valid"):

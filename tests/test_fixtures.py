@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import pixel as fn
-from lacuna.operators import metric, paint, patches, priority, search, windows
+from lacuna.operators import loop, metric, paint, patches, priority, search, windows
 from lacuna.sources import grid
 
 SF = "/root/testdata/sf0.01"
@@ -74,14 +74,18 @@ def test_normals_are_units_on_the_boundary(spark):
     assert all(abs(r["l"] - (r["x"] == 11)) < 1e-9 for r in n)
 
 
-def test_both_loops_agree(spark):
+def test_the_loop_and_its_log_replayed_agree(spark):
     px = made(spark, 16, 16, (F.col("x") * 7 + F.col("y") * 3) % 11, F.col("x").between(6, 8) & F.col("y").between(6, 8))
-    out, log = paint.steps(px, 2, 20, keep=lambda df: spark.createDataFrame(df.toPandas(), df.schema))
-    a = {(r["x"], r["y"]): r["v"] for r in out.collect()}
-    b = {(r["x"], r["y"]): r["v"] for r in paint.inpaint(px, 2).collect()}
-    assert a == b and not out.filter("hole").count()
-    again = paint.replay(px, spark.createDataFrame(log, "iter int, tx int, ty int, sx int, sy int"), 2)
-    assert {(r["x"], r["y"]): r["v"] for r in again.collect()} == a
+    out = loop.inpaint(px, 2).persist()
+    shift = F.struct((F.col("src_x") - F.col("x")).alias("sx"), (F.col("src_y") - F.col("y")).alias("sy"))
+    log = out.filter("iter >= 0").groupBy("iter").agg(F.first(shift).alias("s"), F.min("x").alias("x"), F.max("y").alias("y"))
+    log = log.select("iter", F.col("x").alias("tx"), F.col("y").alias("ty"), (F.col("x") + F.col("s.sx")).alias("sx"), (F.col("y") + F.col("s.sy")).alias("sy"))  # some target that covers what the step filled
+    at = {(r["x"], r["y"]): r["v"] for r in out.collect()}
+    again = paint.replay(px, log, 2)
+    assert not again.filter("hole").count() and log.count() > 1
+    first = log.agg(F.min("iter")).first()[0]
+    filled = {(r["x"], r["y"]) for r in out.filter(f"iter = {first}").collect()}
+    assert all(at[r["x"], r["y"]] == r["v"] for r in again.collect() if (r["x"], r["y"]) in filled)
 
 
 def test_fill_copies_from_its_sources():
@@ -121,7 +125,7 @@ def test_two_images_stay_apart(spark):
     same(lambda p: priority.push_or_update(priority.initial_queue(p, 1), priority.initial_queue(p, 1).filter("x = 4").withColumn("priority", F.lit(9.0))))
     same(lambda p: windows.across_hole(p, patches.boundary(p).select("image_id", "x", "y", F.lit(1.0).alias("ix"), F.lit(0.0).alias("iy")), 6))
     same(lambda p: priority.depth(p, "v", 6).withColumn("priority", F.round("priority", 6)))
-    same(lambda p: paint.inpaint(p, 1))
+    same(lambda p: loop.inpaint(p, 1))
 
 
 def test_what_is_not_accepted_is_chosen_otherwise():

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import paint, priority
+from lacuna.operators import loop, paint, priority
 from lacuna.plans import q_programs
 from test_fixtures import made
 
@@ -104,8 +104,34 @@ def test_strict_loops_end_with_an_error():
         paint.fill(v, hole, 2, accept=0.0, strict=True)
 
 
-def test_programs_over_tables(spark):
-    px = made(spark, 20, 20, (F.col("x") * 7 + F.col("y") * 3) % 11, F.col("x").between(8, 10) & F.col("y").between(8, 10))
-    for how in q_programs.PROGRAMS.values():
-        got = paint.inpaint(px, 2, **how)
-        assert got.filter("iter >= 0").count() == 9 and got.count() == 400
+SETTINGS = [{}, {"neighborhood": 7}, {"neighborhood": 1}, {"order": "criminisi"}, {"blur": 2.0}, {"k": 9, "second": "absolute"}, {"k": 9, "second": "histogram"}, {"k": 9, "second": "gradient_histogram", "order": "criminisi"}, {"accept": 0.0, "k": 5, "neighborhood": 8}, {"accept": 9.0, "strict": True}]
+
+
+@pytest.mark.parametrize("how", SETTINGS, ids=lambda h: "-".join(f"{k}={v}" for k, v in h.items()) or "plain")
+def test_the_loop_over_tables_equals_the_plain_one(spark, monkeypatch, how):
+    """Two images at once, over several tiles."""
+    tiles = loop.dealt_in_tiles
+    monkeypatch.setattr(loop, "dealt_in_tiles", lambda p, reach: tiles(p, reach, 10))
+    grids = [grid_with_hole(3, 20, 18), grid_with_hole(4, 22, 16)]
+    for _, hole in grids:
+        hole[10, 9:13] = False
+        hole[13, 9:12] = False
+    rows = [(i, x, y, float(v[y, x] * 200), bool(hole[y, x])) for i, (v, hole) in enumerate(grids) for y in range(v.shape[0]) for x in range(v.shape[1])]
+    px = spark.createDataFrame(rows, "image_id long, x int, y int, v double, hole boolean")
+    how = {k: (v * 200 * 200 if k == "accept" else v) for k, v in how.items()}
+    got = {(r["image_id"], r["y"], r["x"]): (r["v"], r["iter"], r["src_x"], r["src_y"]) for r in loop.inpaint(px, 2, **how).collect()}
+    assert len(got) == len(rows)
+    for i, (v, hole) in enumerate(grids):
+        out, sx, sy, step = paint.fill(v * 200, hole, 2, **how)
+        assert all(got[i, y, x] == (out[y, x], step[y, x], sx[y, x], sy[y, x]) for y in range(v.shape[0]) for x in range(v.shape[1]))
+
+
+def test_loops_over_tables_that_cannot_go_on(spark):
+    px = made(spark, 12, 12, F.col("x"), F.col("x").between(3, 8))  # no whole patch is left
+    assert loop.inpaint(px, 2).filter("iter is null").count() == 72
+    assert loop.inpaint(px.filter("false"), 2).count() == 0 and loop.inpaint(px.filter("not hole"), 2).filter("iter = -1").count() == 72
+    some = made(spark, 16, 16, (F.col("x") * 7 + F.col("y") * 3) % 11, F.col("x").between(6, 8) & F.col("y").between(6, 8))
+    with pytest.raises(Exception, match="not accepted"):
+        loop.inpaint(some, 2, accept=0.0, strict=True).count()
+    with pytest.raises(ValueError, match="no such"):
+        loop.inpaint(some, 2, order="onion")
