@@ -17,25 +17,18 @@ def best(scored: DataFrame, ties: list[str], by: list[str] | None = None, score:
     return (scored.groupBy(*by) if by else scored.groupBy()).agg(pick).filter("b is not null").select("b.*")
 
 
-#: Ranges of scores in which the ranks of a whole table are counted apart.
-RANGES = 64
-
-
 def numbered(few: DataFrame, order: list[str]) -> DataFrame:
     """`few`, of a number of rows that the caller bounds, numbered by rn."""
     return few.withColumn("rn", F.row_number().over(Window.partitionBy().orderBy(*order)))
 
 
 def ranked(scored: DataFrame, ties: list[str], by: list[str] | None = None, score: str = "d") -> DataFrame:
-    """scored with rn, each row's rank: within its group of `by`, or in the whole table. There a rank is the rank within a range of scores and the number of rows
-    in the ranges below, so no task takes all rows; the ranges come from approximate quantiles, on which no rank depends. The scores are written once and read three times. Nulls come first, NaN last."""
+    """scored with rn, each row's rank: within its group of `by`, or in the whole table. There rows are dealt out by ranges of score and ties together, so that neither the table nor its rows of one score are one task's, and
+    written with their range; a rank is the rank within a range and the number of rows in the ranges before. Nulls come first, NaN last."""
     if by:
         return scored.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(score, *ties)))
-    scored = grid.through(scored, "ranked")
-    bounds = sorted(set(scored.withColumn("_s", F.col(score).cast("double")).approxQuantile("_s", [i / RANGES for i in range(1, RANGES)], 0.01)))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(score))) if bounds else F.lit(0)
-    scored = scored.withColumn("_b", place)
-    sizes = scored.groupBy("_b").agg(F.count("*").alias("_k"))  # RANGES rows at most
+    scored = grid.through(scored.repartitionByRange(score, *ties).withColumn("_b", F.spark_partition_id()), "ranked")
+    sizes = scored.groupBy("_b").agg(F.count("*").alias("_k"))  # a row for each partition
     below = sizes.select("_b", (F.sum("_k").over(Window.partitionBy().orderBy("_b")) - F.col("_k")).alias("_below"))
     return scored.join(F.broadcast(below), "_b").withColumn("rn", F.row_number().over(Window.partitionBy("_b").orderBy(score, *ties)) + F.col("_below")).drop("_b", "_below")
 

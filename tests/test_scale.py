@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import colours, delta, graph, hist, integral, many, metric, paint, patches, points, priority, reuse, windows
+from lacuna.operators import colours, delta, graph, hist, integral, many, metric, paint, patches, points, priority, reuse, search, windows
 from lacuna.sources import grid, mha
 from test_fixtures import made
 
@@ -381,3 +381,10 @@ def test_images_in_files(spark, tmp_path):
     (tmp_path / "c.mha").write_bytes(b"not a header\n")
     with pytest.raises(Exception, match="MetaImage"):
         mha.read_image(spark, str(tmp_path / "c.mha")).count()
+
+
+def test_ranks_of_a_table_of_ties(spark):
+    rows = [(i, 1.0 if i % 3 else float(i % 7)) for i in range(2000)] + [(5000, None), (5001, float("nan"))]
+    got = {r["id"]: r["rn"] for r in search.ranked(spark.createDataFrame(rows, "id int, d double").repartition(5), ["id"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] is not None and np.isnan(r[1]), 0 if r[1] is None or np.isnan(r[1]) else r[1], r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(order)}
