@@ -118,7 +118,8 @@ def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: floa
     none = F.lit(None).cast("int")
     holes = base.filter("hole").select("image_id", "x", "y", "v", "seen", "g", F.lit(0.0).alias("confidence"), "hole", none.alias("iter"), F.lit(-1).alias("src_x"), F.lit(-1).alias("src_y"))
     holes = grid.through(holes, "fill-holes")
-    left, step = holes.filter("hole").count(), 0
+    sizes = holes.groupBy("image_id").count().agg(F.count("*").alias("images"), F.coalesce(F.sum("count"), F.lit(0)).alias("holes")).first()
+    few, left, step = sizes["images"] <= IMAGES, sizes["holes"], 0
     while left and (most is None or step < most):
         now = rim.unionByName(holes.select(rim.columns))
 
@@ -133,7 +134,6 @@ def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: floa
         inside = (F.abs(F.col("x") - F.col("tx")) <= r) & (F.abs(F.col("y") - F.col("ty")) <= r)
         t = now.filter(~F.col("hole")).join(top, "image_id").filter(inside).groupBy("image_id", "tx", "ty", "term").agg(F.array_sort(F.collect_list(F.struct((F.col("y") - F.col("ty")).alias("dy"), (F.col("x") - F.col("tx")).alias("dx"), "seen", "g"))).alias("cells"))
         t = grid.through(t, "fill-targets")  # a patch for each image
-        few = t.count() <= IMAGES
 
         def compare(batches):
             form = {"image_id": "int64", "cx": "int32", "cy": "int32", "d": "float64", "a": "float64", "score": "float64", "near": "bool"}
@@ -149,8 +149,9 @@ def inpaint(px: DataFrame, r: int, neighborhood: int | None = None, accept: floa
         fresh = fresh.select("image_id", "x", "y", F.col("_v").alias("v"), F.col("_s").alias("seen"), F.col("_g").alias("g"), F.col("term").alias("confidence"), F.lit(False).alias("hole"), F.lit(step).alias("iter"), "src_x", "src_y")
         fresh = grid.through(fresh, "fill-step")  # a patch for each image at most
         holes = grid.through(holes.join(fresh.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_anti").unionByName(fresh), "fill-holes")
-        before, left, step = left, holes.filter("hole").count(), step + 1
-        if left == before:
+        filled = fresh.count()
+        left, step = left - filled, step + 1
+        if not filled:
             break
     still = base.filter(~F.col("hole")).select("image_id", "x", "y", "v", F.lit(-1).alias("iter"), F.col("x").alias("src_x"), F.col("y").alias("src_y"))
     return still.unionByName(holes.select("image_id", "x", "y", "v", "iter", "src_x", "src_y"))

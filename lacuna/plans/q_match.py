@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import colours, hist, integral, patches, priority, search, windows
-from ..sources import grid, mha
+from ..sources import grid, mha, vts
 from .base import R, R3, TX, TX3, TY, TY3, candidates, candidates3, query, rd
 from .q_windows import BEFORE, BND, CONF, ENERGY, MATCHES, PAINT, _dsql, change_sql, painted
 
@@ -35,6 +35,16 @@ def io2(spark, sf):
     return grid.apply_mask(grid.pixels(spark, sf), levels, header).select("x", "y", "hole")
 
 
+@query("io5_structured_grid", "SELECT CAST(vec_id AS INTEGER) AS id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 5) + 0.0 AS total FROM embeddings", common=False)
+def io5_grid(spark, sf):
+    """The vectors as the named array of a structured grid's points, written and read again, in slices."""
+    e = grid.embeddings(spark, sf)
+    path = grid.shared_path(spark, "io5").removeprefix("file://") + ".vts"
+    vts.write_points(e.select(F.lit(0).alias("i"), F.col("vec_id").cast("int").alias("j"), F.lit(0).alias("k"), F.col("embedding").cast("array<double>").alias("value")), path, "embedding", 64, (1, e.count(), 1), "Float32")
+    back = vts.read_points(spark, path, "embedding", 64 * 4 * 100)
+    return back.select(F.col("j").alias("id"), F.size("value").alias("n"), rd(F.aggregate("value", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
+
+
 LINES = "i AS iter, CAST(i % 64 AS INTEGER) AS {0}x, CAST(i AS INTEGER) AS {0}y, CAST((i + 3) % 64 AS INTEGER) AS {1}x, CAST(i + 7 AS INTEGER) AS {1}y FROM (SELECT vec_id AS i FROM embeddings)"
 
 

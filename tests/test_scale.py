@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import colours, delta, graph, hist, integral, many, metric, paint, patches, points, priority, reuse, search, windows
-from lacuna.sources import grid, mha
+from lacuna.sources import grid, mha, vts
 from test_fixtures import made
 
 PIXELS = "image_id long, x int, y int, v double, hole boolean"
@@ -383,6 +383,24 @@ def test_images_in_files(spark, tmp_path):
         mha.read_image(spark, str(tmp_path / "c.mha")).count()
 
 
+def test_structured_grids_in_files(spark, tmp_path):
+    pts = spark.range(5 * 7 * 3).select((F.col("id") % 5).cast("int").alias("i"), (F.floor(F.col("id") / 5) % 7).cast("int").alias("j"), F.floor(F.col("id") / 35).cast("int").alias("k"), F.array(*[(F.col("id") * c + 1) / 3 for c in range(4)]).alias("value"))
+    at = str(tmp_path / "a.vts")
+    vts.write_points(pts.repartition(4), at, "a <feature>", 4, (5, 7, 3), "Float32")
+    back = vts.read_points(spark, at, "a <feature>", 16 * 10)
+    assert back.rdd.getNumPartitions() > 5
+    want = {(r["i"], r["j"], r["k"]): [float(np.float32(x)) for x in r["value"]] for r in pts.collect()}
+    assert {(r["i"], r["j"], r["k"]): r["value"] for r in back.collect()} == want
+    assert {(r["i"], r["j"], r["k"]): tuple(r["value"]) for r in vts.read_points(spark, at, "Points").collect()} == {p: tuple(map(float, p)) for p in want}
+    with pytest.raises(Exception, match="no appended array"):
+        vts.read_points(spark, at, "other").count()
+    with pytest.raises(Exception, match="components"):
+        vts.write_points(pts.withColumn("value", F.array(F.lit(1.0))), str(tmp_path / "b.vts"), "a", 4, (5, 7, 3))
+    (tmp_path / "c.vts").write_bytes(b"<VTKFile/>")
+    with pytest.raises(Exception, match="not a structured grid"):
+        vts.read_points(spark, str(tmp_path / "c.vts"), "a").count()
+
+
 def test_ranks_of_a_table_of_ties(spark):
     rows = [(i, 1.0 if i % 3 else float(i % 7)) for i in range(2000)] + [(5000, None), (5001, float("nan"))]
     got = {r["id"]: r["rn"] for r in search.ranked(spark.createDataFrame(rows, "id int, d double").repartition(5), ["id"]).collect()}
