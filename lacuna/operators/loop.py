@@ -81,6 +81,8 @@ def _compared(tile, target, r: int, k: int, neighborhood: int | None, second: st
 def _chosen(found: DataFrame, k: int, second: str | None, accept: float | None, strict: bool) -> DataFrame:
     """(image_id, cx, cy) of what tiles sent on: from near the target, if anything is; the first of the k best, or the best of them by the second stage. What is not accepted is chosen among the k best of all by absolute differences."""
     by = ["image_id"]
+    if k == 1 and accept is None and not second:  # one aggregation: near ones first, then the least difference
+        return search.best(found.withColumn("far", ~F.col("near")), ["d", "cy", "cx"], by, "far").select("image_id", "cx", "cy")
     wide = search.top(found.filter(~F.col("near")), k, ["cy", "cx"], by)
     close = search.top(found.filter("near"), k, ["cy", "cx"], by)
     pool = close.unionByName(wide.join(close.select("image_id").distinct(), "image_id", "left_anti"))

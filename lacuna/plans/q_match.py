@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import colours, hist, integral, patches, priority, search, windows
 from ..sources import grid, mha, vts
 from .base import R, R3, TX, TX3, TY, TY3, candidates, candidates3, query, rd
+from .q_log import LOG, log
 from .q_windows import BEFORE, BND, CONF, ENERGY, MATCHES, PAINT, _dsql, change_sql, painted
 
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
@@ -73,9 +74,10 @@ def io5(spark, sf):
     return grid.embeddings(spark, sf).select(F.col("vec_id").cast("int").alias("id"), F.size("embedding").alias("n"), rd(F.get("embedding", F.lit(0))).alias("first"))
 
 
-@query("io8_match_lines", "SELECT * FROM (VALUES (0, '24 298 : 19 110'), (1, '40 50 : 30 105')) t(iter, value)", common=False)
+@query("io8_match_lines", LOG + "SELECT iter, concat_ws(' ', sx, sy, ':', tx, ty) AS value FROM lg")
 def io8(spark, sf):
-    return grid.match_lines(spark.createDataFrame(MATCHES, "iter int, tx int, ty int, sx int, sy int"))
+    """The text of a log with a match for each line of the table."""
+    return grid.match_lines(log(spark, sf))
 
 
 @query("io9_fill_order", "SELECT x, y, CAST(CASE WHEN x BETWEEN 15 AND 23 AND y BETWEEN 106 AND 114 THEN 0 WHEN x BETWEEN 26 AND 34 AND y BETWEEN 101 AND 109 THEN 1 END AS INTEGER) AS iter FROM px WHERE hole")
