@@ -331,6 +331,37 @@ def test_normals_and_point_features(spark):
     assert points.point_features(spark.createDataFrame([], "id long, px double, py double, pz double"), 0.2).count() == 0
 
 
+def test_point_features_of_blocks_in_parts(spark, monkeypatch):
+    p = np.random.default_rng(22).random((300, 3)) * 0.5 - 0.2  # many neighbours, on both sides of 0
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, px double, py double, pz double")
+    shown = lambda: {r["id"]: r for r in points.point_features(df, 0.15).collect()}
+    whole = shown()
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 0.15**2
+    assert {i: r["k"] for i, r in whole.items()} == {i: near[i].sum() - 1 for i in range(300)}
+    for name, n in (("OWN", 40), ("NEAR", 30), ("PACK", 50)):
+        monkeypatch.setattr(points, name, n)
+    parts = shown()
+    for i, r in whole.items():
+        for c in ("nx", "ny", "nz", "fpfh"):
+            assert parts[i][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-6))
+
+
+def test_points_of_the_same_neighbours_keep_their_own_frame(spark):
+    # four points that are all neighbours have one normal: which of two lies closer to their line is rounding alone
+    rows = [(i, x, y, z + 1) for i, (x, y, z) in enumerate([(0.1, 0.0, 0.0), (0.0, 0.1, 0.02), (-0.1, 0.03, 0.01), (0.02, -0.1, 0.05)])]
+    got = points.point_features(spark.createDataFrame(rows, "id long, px double, py double, pz double"), 0.5).collect()
+    p = np.array([r[1:] for r in rows])
+    for r in got:
+        assert r["k"] == 3
+        n, d = np.array([r["nx"], r["ny"], r["nz"]]), p - p[r["id"]]
+        simple = []
+        for i in range(4):
+            e = p[np.arange(4) != i] - p[i]
+            simple.append(np.bincount(np.floor(11 * (e @ n / np.linalg.norm(e, axis=1) + 1) / 2).astype(int), minlength=11) / 0.03)
+        w = np.array([0 if i == r["id"] else 1 / (x @ x) for i, x in enumerate(d)])
+        assert r["fpfh"][22:] == pytest.approx(list(w @ np.array(simple) / w.sum()), abs=1e-6)
+
+
 def test_points_in_one_place_have_no_normal(spark):
     same = spark.range(5).select("id", *[F.lit(1.0).alias(a) for a in points.AXES])
     line = spark.range(5).select((F.col("id") + 10).alias("id"), (F.col("id") * 0.01 + 3).alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
