@@ -253,6 +253,19 @@ def test_integral_histograms_equal_counts(spark, monkeypatch):
     assert hist.greatest_between(spark.createDataFrame([], "dx int, dy int, ch int, f double"), (0.0, 1.0), 4).first()["most"] == 0
 
 
+def test_vectorised_patches_move_pixels_once(spark):
+    v, hole = noise(15, 40, 150)
+    px = images(spark, (v, hole))
+    df = patches.vectorised(px, 2)
+    got = {(r["cx"], r["cy"]): r["pixels"] for r in df.collect()}
+    want = {(x, y): v[y - 2 : y + 3, x - 2 : x + 3].ravel().tolist() for y in range(2, v.shape[0] - 2) for x in range(2, v.shape[1] - 2) if not hole[y - 2 : y + 3, x - 2 : x + 3].any()}
+    assert got == want and len(want) > 100
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+    null = images(spark, (v, hole)).withColumn("v", F.when((F.col("x") != 30) | (F.col("y") != 30), F.col("v")))
+    assert {(r["cx"], r["cy"]): r["pixels"] for r in patches.vectorised(null, 2).filter("cx = 31 and cy = 31").collect()} == {k: [None if i == 6 else x for i, x in enumerate(p)] for k, p in want.items() if k == (31, 31)}
+
+
 # ---- deltas
 
 
