@@ -274,8 +274,9 @@ def _crossed(c: np.ndarray, root: np.ndarray, n: np.ndarray, bits, i: np.ndarray
     return pd.DataFrame({"pivot": np.minimum(c[i], c[j]), "c": np.maximum(c[i], c[j])})
 
 
-def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Pairs of rows that share a column, are of different components and may link. Columns of two rows, which have been looked at as stars, are not among the cells."""
+def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: int, best: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs, open cells): pairs of rows that share a column, are of different components and may link, and the cells (g, c) of the columns that have rows of different components. Columns of two rows, which have been looked at as
+    stars, are not among the cells."""
     at = cells.select("g", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
     at = settle(at, "jaccard-cells")
     open_ = at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("low")).filter("lo < hi").select("g", "k", "low")
@@ -324,7 +325,7 @@ def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: in
         sides = large.filter("root <> top").select("g", F.col("own").alias("p"), every.alias("q"), F.lit(0).alias("side"), "c", "root", "n", "bits")
         sides = sides.unionByName(large.select("g", every.alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "c", "root", "n", "bits"))
         pairs = pairs.unionByName(sides.groupBy("g", "p", "q").applyInPandas(tile, form))
-    return settle(pairs.distinct(), "jaccard-pairs")
+    return settle(pairs.distinct(), "jaccard-pairs"), at.select("g", "c")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -381,7 +382,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     roots = components(links, "jaccard-roots")
     cells = cells.filter("more").select("g", "c")
     for best in (True, False):
-        pairs = _rest(cells, roots, sides, num, den, best)
+        pairs, cells = _rest(cells, roots, sides, num, den, best)  # components only grow: what is one in a column stays so
         if not pairs.take(1):
             break
         more = _linked(base, pairs, classes, width, num, den)

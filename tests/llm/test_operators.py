@@ -535,3 +535,13 @@ def test_pipeline_near_duplicates_of_odd_rows(spark, tmp_path):
     out = p.near_duplicates(spark, docs, str(tmp_path))
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(1, a), (None, b), (5, c), (7, None), (8, "")])) and out.columns == docs.columns
     assert p.near_duplicates(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_columns_of_one_component_are_not_looked_at_again(spark):
+    grams = [np.arange(k, k + 20, dtype=np.uint64) for k in range(5)]
+    bits = jaccard.bitmaps(np.full(5, 20), np.concatenate(grams))
+    rows = spark.createDataFrame([(c, 20, bytearray(b)) for c, b in enumerate(bits)], "c long, n long, bits binary")
+    cells = spark.createDataFrame([(7, 0), (7, 1), (7, 2), (8, 0), (8, 3), (8, 4)], "g long, c long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
+    pairs, left = jaccard._rest(cells, roots, rows, 1, 2, True)
+    assert {tuple(r) for r in left.collect()} == {(8, 0), (8, 3), (8, 4)} and pairs.count() > 0
