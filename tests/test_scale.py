@@ -78,6 +78,21 @@ def test_knn_join_equals_brute_force(spark, monkeypatch, spread):
     assert few.count() == 6 and metric.knn_join(df.filter("false"), df, 3).count() == 0 and metric.knn_join(df, df.filter("false"), 3).count() == 0
 
 
+def test_knn_join_sends_some_queries_at_a_time(monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(metric, "BOUNDS", 700)
+    monkeypatch.setattr(metric, "SENT", 50)
+    far, least = rng.random((90, 4)), rng.random((30, 4))
+    most, radius = least + 0.1, np.where(np.arange(90) % 9 == 0, np.inf, 0.4)
+    gap = metric._gaps(far, least, most)
+    home = metric._homes(far, least, most, np.arange(30) > 3)
+    assert (home == 4 + gap[:, 4:].argmin(1)).all()
+    got = list(metric._within(far, radius, home, least, most))
+    near = gap <= radius[:, None]
+    near[np.arange(90), home] = False
+    assert max(len(i) for i, _ in got) <= 50 and (np.concatenate([np.stack(x, 1) for x in got]) == np.argwhere(near)).all()
+
+
 def test_best_vantage_point_tries_the_share(spark, monkeypatch):
     monkeypatch.setattr(metric, "SIDE", 16)
     rng = np.random.default_rng(2)
