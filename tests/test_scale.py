@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,16 @@ def test_knn_join_sends_some_queries_at_a_time(monkeypatch):
     assert max(len(i) for i, _ in got) <= 50 and (np.concatenate([np.stack(x, 1) for x in got]) == np.argwhere(near)).all()
 
 
+def test_a_round_of_the_graph_sends_on_what_may_be_kept():
+    a = np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 0.0], [6.0, 1.0]])
+    far, new = [1.5, 0.5, float("inf"), 1.0], [True, False, False, True]
+    pdf = pd.DataFrame({"id": [9, 9, 9, 9, 8, 8], "other": [0, 1, 2, 3, 0, 1], "new": [*new, True, False], "va": [*a, a[0], a[1]], "far": [*far, 1.5, 0.5]})
+    got = graph._pairs(pdf)
+    # 1 and 2 have old edges both; 0 and 1 meet twice and count once
+    assert sorted(got.itertuples(index=False, name=None)) == [(0, 1, 1.0), (2, 0, 5.0), (2, 3, 2.0)]
+    assert graph._pairs(pdf.head(0)).empty
+
+
 def test_best_vantage_point_tries_the_share(spark, monkeypatch):
     monkeypatch.setattr(metric, "SIDE", 16)
     rng = np.random.default_rng(2)
