@@ -274,16 +274,24 @@ def _crossed(c: np.ndarray, root: np.ndarray, n: np.ndarray, bits, i: np.ndarray
     return pd.DataFrame({"pivot": np.minimum(c[i], c[j]), "c": np.maximum(c[i], c[j])})
 
 
-def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: int, best: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, open cells): pairs of rows that share a column, are of different components and may link, and the cells (g, c) of the columns that have rows of different components. Columns of two rows, which have been looked at as
-    stars, are not among the cells."""
+def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: int, best: bool, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, open cells): pairs of rows that share a column, are of different components and may link, and the cells (g, c) of the columns that have rows of different components and, if failed (c) is given, one of these rows. Columns
+    of two rows, which have been looked at as stars, are not among the cells."""
     at = cells.select("g", "c").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
+    if failed is None:
+        at = at.withColumn("again", F.lit(True))
+    else:
+        failed = failed.withColumn("again", F.lit(True))
+        at = at.join(F.broadcast(failed) if failed.count() <= BROADCAST_ROWS else failed, "c", "left").withColumn("again", F.col("again").isNotNull())
     at = settle(at, "jaccard-cells")
-    open_ = at.groupBy("g").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("low")).filter("lo < hi").select("g", "k", "low")
-    open_ = settle(open_, "jaccard-open")
+    # a column's rows by component first, so that its largest one is known where the column's rows meet it
+    open_ = at.groupBy("g", "root").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("again").alias("again")).groupBy("g")
+    open_ = open_.agg(F.sum("k").alias("k"), F.count("*").alias("roots"), F.min("low").alias("low"), F.max("again").alias("again"), F.max_by("root", F.struct("k", "root")).alias("top"))
+    open_ = settle(open_.filter("roots > 1 and again").select("g", "k", "low", "top"), "jaccard-open")
+    at = at.select("g", "c", "root")
     # columns of the same first row, which have much in common, go to the same pack, in parts of about CELLS
     homes = open_.groupBy("low").agg(F.ceil(F.sum("k") / CELLS).alias("parts"))
-    open_ = meet(open_, homes, "low").select("g", "k", F.xxhash64("low", F.pmod(F.xxhash64("g"), "parts")).alias("home"))
+    open_ = meet(open_, homes, "low").select("g", "k", "top", F.xxhash64("low", F.pmod(F.xxhash64("g"), "parts")).alias("home"))
     at = settle(meet(at, open_, "g"), "jaccard-open-cells")
     need = at.select("c").distinct()
     rows = rows.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "c", "left_semi")
@@ -319,8 +327,7 @@ def _rest(cells: DataFrame, roots: DataFrame, rows: DataFrame, num: int, den: in
     pairs = few.join(rows, "c").groupBy("pack").applyInPandas(small, form)
     large = at.filter(F.col("k") > TILE)
     if large.take(1):
-        top = large.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
-        large = meet(settle(large.join(rows, "c").withColumn("blocks", F.ceil(F.col("k") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "jaccard-large"), top, "g")
+        large = settle(large.join(rows, "c").withColumn("blocks", F.ceil(F.col("k") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "jaccard-large")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sides = large.filter("root <> top").select("g", F.col("own").alias("p"), every.alias("q"), F.lit(0).alias("side"), "c", "root", "n", "bits")
         sides = sides.unionByName(large.select("g", every.alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "c", "root", "n", "bits"))
@@ -381,22 +388,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     links = _linked(base, _stars(cells, sides, num, den), classes, width, num, den)
     roots = components(links, "jaccard-roots")
     cells = cells.filter("more").select("g", "c")
+    failed = None
     for best in (True, False):
-        pairs, cells = _rest(cells, roots, sides, num, den, best)  # components only grow: what is one in a column stays so
+        pairs, cells = _rest(cells, roots, sides, num, den, best, failed)  # components only grow: what is one in a column stays so
         if not pairs.take(1):
             break
         more = _linked(base, pairs, classes, width, num, den)
         links = links.unionByName(more)
         roots = components(links, "jaccard-roots")
+        if not best:  # all pairs have been looked at
+            break
         # where the closest of a row and a component linked, the others of the two are of one component as well; open are columns of rows of which one did not
         failed = pairs.join(more.select(F.col("a").alias("pivot"), F.col("b").alias("c")), ["pivot", "c"], "left_anti")
         failed = settle(failed.select("c").unionByName(failed.select(F.col("pivot").alias("c"))).distinct(), "jaccard-failed")
-        few = failed.count()
-        if not few:
+        if not failed.take(1):
             break
-        left = cells.join(F.broadcast(failed) if few <= BROADCAST_ROWS else failed, "c", "left_semi").select("g").distinct()
-        left = settle(left, "jaccard-left")
-        cells = cells.join(F.broadcast(left) if left.count() <= BROADCAST_ROWS else left, "g", "left_semi")
 
     found = settle(roots.join(classes.select(F.col("c").alias("node"), "rep"), "node"), "jaccard-found")
     least = found.groupBy("root").agg(F.min("rep").alias("component"))

@@ -545,3 +545,21 @@ def test_columns_of_one_component_are_not_looked_at_again(spark):
     roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, root long")
     pairs, left = jaccard._rest(cells, roots, rows, 1, 2, True)
     assert {tuple(r) for r in left.collect()} == {(8, 0), (8, 3), (8, 4)} and pairs.count() > 0
+
+
+def test_a_large_column_meets_its_components_once(spark, monkeypatch):
+    """The cells of large columns are met by their column once in a look, and of the columns of no failed row none is looked at again."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    met, meet = [], jaccard.meet
+    monkeypatch.setattr(jaccard, "meet", lambda left, right, on, **k: met.append(on) or meet(left, right, on, **k))
+    grams = [np.arange(k, k + 20, dtype=np.uint64) for k in range(12)]
+    rows = spark.createDataFrame([(c, 20, bytearray(b)) for c, b in enumerate(jaccard.bitmaps(np.full(12, 20), np.concatenate(grams)))], "c long, n long, bits binary")
+    cells = spark.createDataFrame([(7, c) for c in range(12)] + [(8, 0), (8, 1), (8, 11), (9, 2), (9, 3), (9, 4)], "g long, c long")
+    root = {c: 0 if c < 3 else 5 if c < 8 else c for c in range(12)}
+    roots = spark.createDataFrame([(c, root[c]) for c in range(8)], "node long, root long")
+    want = lambda columns: {(i, j) for x in columns for i in x for j in x if i < j and root[i] != root[j] and jaccard.difference(np.full(12, 20), jaccard.bitmaps(np.full(12, 20), np.concatenate(grams)), np.array([i]), np.array([j]), 1, 2)[0].size}
+    pairs, left = jaccard._rest(cells, roots, rows, 1, 2, False)
+    assert {(r["pivot"], r["c"]) for r in pairs.collect()} == want([range(12), (0, 1, 11), (2, 3, 4)]) and left.count() == 18
+    assert met.count("g") == 1
+    pairs, left = jaccard._rest(cells, roots, rows, 1, 2, False, spark.createDataFrame([(3,), (4,)], "c long").filter("c = 4"))
+    assert {(r["pivot"], r["c"]) for r in pairs.collect()} == want([range(12), (2, 3, 4)]) and {r["g"] for r in left.collect()} == {7, 9}
