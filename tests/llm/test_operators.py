@@ -563,3 +563,16 @@ def test_a_large_column_meets_its_components_once(spark, monkeypatch):
     assert met.count("g") == 1
     pairs, left = jaccard._rest(cells, roots, rows, 1, 2, False, spark.createDataFrame([(3,), (4,)], "c long").filter("c = 4"))
     assert {(r["pivot"], r["c"]) for r in pairs.collect()} == want([range(12), (2, 3, 4)]) and {r["g"] for r in left.collect()} == {7, 9}
+
+
+def test_rare_continuations_of_training_texts_move_without_contexts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 5} zyxwv{i}q common common text of{i % 3}") for i in range(40)], "doc_id long, text string")
+    score = lambda: {r["key"]: r["score"] for r in lm.score(docs).collect()}
+    whole = score()
+    settled, settle = {}, lm.settle
+    monkeypatch.setattr(lm, "settle", lambda df, label: settled.setdefault(label, settle(df, label)))
+    monkeypatch.setattr(lm, "CONTINUED", 3)
+    assert score() == pytest.approx(whole, abs=1e-5)
+    rows = settled["lm-scored"].selectExpr("held_out", "size(rk) rk", "size(ra) ra", "size(rd) rd", "size(rt) rt", "size(rq) rq").collect()
+    assert {r["held_out"] for r in rows} == {False, True} and all(r["rk"] == r["rq"] > 0 for r in rows)
+    assert all(r["ra"] == r["rd"] == r["rt"] == (r["rk"] if r["held_out"] else 0) for r in rows)
