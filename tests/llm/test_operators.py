@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -576,3 +577,21 @@ def test_rare_continuations_of_training_texts_move_without_contexts(spark, monke
     rows = settled["lm-scored"].selectExpr("held_out", "size(rk) rk", "size(ra) ra", "size(rd) rd", "size(rt) rt", "size(rq) rq").collect()
     assert {r["held_out"] for r in rows} == {False, True} and all(r["rk"] == r["rq"] > 0 for r in rows)
     assert all(r["ra"] == r["rd"] == r["rt"] == (r["rk"] if r["held_out"] else 0) for r in rows)
+
+
+def test_training_texts_become_ids_twice(spark, monkeypatch):
+    """Counting and keeping; class pairs and the rounds of training read what was kept, which is all ids of all texts."""
+    texts = ["one two  three\n", None, "", "a\u00e9b " * 50, "caf\u00e9 42 " * 700, "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "RUN", 300)
+    with open(lm.TOKENIZER, "rb") as f:
+        ranks = f.read()
+    pdf = docs.select("text").toPandas()
+    want = next(lm._rows(pdf, lm.Ids(ranks)))[2]
+    rows = pd.concat(lm._kept([pdf], lm.Ids(ranks)))
+    runs = list(lm._read(rows))
+    assert len(runs) > 1 and all((np.concatenate([x[k] for x in runs]) == want[k]).all() for k in ("id", "opens", "total"))
+    settled, settle = {}, lm.settle
+    monkeypatch.setattr(lm, "settle", lambda df, label: settled.setdefault(label, settle(df, label)))
+    lm.train(docs)
+    assert settled["lm-ids"].count() == len(texts) and settled["lm-ids"].selectExpr("sum(total)").first()[0] == want["total"].sum()
