@@ -1,6 +1,7 @@
 """Each corpus operator on small tables: against plain versions, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -595,3 +596,30 @@ def test_training_texts_become_ids_twice(spark, monkeypatch):
     monkeypatch.setattr(lm, "settle", lambda df, label: settled.setdefault(label, settle(df, label)))
     lm.train(docs)
     assert settled["lm-ids"].count() == len(texts) and settled["lm-ids"].selectExpr("sum(total)").first()[0] == want["total"].sum()
+
+
+def test_lm_score_leaves_no_table_or_shuffle_that_it_has_done_with(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(40, i) + f" zyx{i % 3}w extraordinary unseen{i * 7919}tail") for i in range(40)], "doc_id long, text string")
+    score = lambda: {r["key"]: r["score"] for r in lm.score(docs).collect()}
+    whole = score()
+    name, where, settle = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", {}, lm.settle
+    before = spark.conf.get(name)
+
+    def noted(df, label):
+        assert spark.conf.get(name) == "true"
+        out = settle(df, label)
+        where[label] = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(where[label])
+        if label == "lm-scored":  # counts and ids of training texts are no longer there when texts are judged
+            assert not os.path.exists(where["lm-counts"]) and not os.path.exists(where["lm-ids"])
+        return out
+
+    monkeypatch.setattr(lm, "settle", noted)
+    monkeypatch.setattr(lm, "CONTINUED", 3)
+    for parts in (1, 5):
+        monkeypatch.setattr(lm, "PARTS", parts)
+        assert score() == pytest.approx(whole, abs=1e-5)
+        there = {label for label, path in where.items() if os.path.exists(path)}
+        assert there == {"lm-scored", "lm-more", "lm-met-last"} | {f"lm-met-{i}" for i in range(parts)}
+        assert spark.conf.get(name) == before
+        where.clear()
