@@ -19,9 +19,11 @@ AXES = ("px", "py", "pz")
 #: Bins of each of the three angles.
 BINS = 11
 #: Cells along a block's side; points of a block, and of it and its halo, that meet at once; rows in a task's group, and candidate pairs looked at together.
-CELLS, OWN, NEAR, PACK, AT_ONCE = 4, 4096, 16384, 20_000, 1 << 18
-#: Cosines that differ by no more are equal: only the order of their sums tells them apart.
-TIE = 1e-9
+CELLS, OWN, NEAR, PACK, AT_ONCE = 4, 32768, 32768, 20_000, 1 << 18
+#: Candidate pairs from which a cell is looked at by itself.
+DENSE = 1 << 14
+#: Cosines that differ by no more are equal: only the order of their sums tells them apart. Squared sines under THIN are not taken from cosines.
+TIE, THIN = 1e-9, 1e-3
 
 
 def sound(points: DataFrame) -> DataFrame:
@@ -97,11 +99,13 @@ def _spread(points: DataFrame, sums: DataFrame, least: int) -> DataFrame:
 
 def _near(left: pd.DataFrame, right: pd.DataFrame, radius: float):
     """(rows of left, rows of right, differences, squared distances) of the pairs of neighbours in the same unit, for some of left's rows after the others; all pairs of a row come together unless its candidates alone are more than
-    AT_ONCE. Rows of left lie inside their blocks."""
+    AT_ONCE. Rows of left lie inside their blocks and ascend by unit and cell: a cell of many candidates is compared as a matrix, others pair by pair."""
+    if not len(left) or not len(right):
+        return
     units = np.unique(right["unit"].to_numpy())
     side = CELLS + 2
     unit = np.searchsorted(units, left["unit"].to_numpy())
-    known = (unit < len(units)) & (units[np.minimum(unit, len(units) - 1)] == left["unit"].to_numpy()) if len(units) else np.zeros(len(left), bool)
+    known = (unit < len(units)) & (units[np.minimum(unit, len(units) - 1)] == left["unit"].to_numpy())
     place = lambda u, df: ((u * side + df["cx"].to_numpy()) * side + df["cy"].to_numpy()) * side + df["cz"].to_numpy()
     cell = place(np.searchsorted(units, right["unit"].to_numpy()), right)
     order = np.lexsort((right["id"].to_numpy(), cell))
@@ -111,19 +115,49 @@ def _near(left: pd.DataFrame, right: pd.DataFrame, radius: float):
     lo, hi = np.searchsorted(cell, runs - 1, "left"), np.searchsorted(cell, runs + 1, "right")
     size = np.where(np.repeat(known, 9), hi - lo, 0)
     p, q, a, b = left[list(AXES)].to_numpy(), right[list(AXES)].to_numpy()[order], left["id"].to_numpy(), right["id"].to_numpy()[order]
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
-        n = size[at:to]
-        i = np.repeat(np.arange(at, to) // 9, n)
-        j = np.arange(int(n.sum())) + np.repeat(lo[at:to] - (np.cumsum(n) - n), n)
-        e = q[j] - p[i]
-        d2 = e[:, 0] * e[:, 0] + e[:, 1] * e[:, 1] + e[:, 2] * e[:, 2]
-        use = np.flatnonzero((d2 <= radius * radius) & (a[i] != b[j]))
-        if len(use):
-            yield i[use], order[j[use]], e[use], d2[use]
-        at = to
+    ends, held = np.cumsum(size), np.empty((2, DENSE))
+
+    def by_pair(at: int, stop: int):
+        while at < stop:
+            to = min(stop, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right"))))
+            n = size[at:to]
+            i = np.repeat(np.arange(at, to) // 9, n)
+            j = np.arange(int(n.sum())) + np.repeat(lo[at:to] - (np.cumsum(n) - n), n)
+            e = q[j] - p[i]
+            d2 = e[:, 0] * e[:, 0] + e[:, 1] * e[:, 1] + e[:, 2] * e[:, 2]
+            use = np.flatnonzero((d2 <= radius * radius) & (a[i] != b[j]))
+            if len(use):
+                yield i[use], order[j[use]], e[use], d2[use]
+            at = to
+
+    def by_cell(first: int, last: int, each: int):
+        j = np.concatenate([np.arange(lo[r], hi[r]) for r in range(9 * first, 9 * first + 9)])
+        near, ids = [np.ascontiguousarray(q[j, x]) for x in range(3)], b[j]
+        step = max(1, len(held[0]) // each)
+        for at in range(first, last, step):
+            to = min(last, at + step)
+            d2, t = (h[: (to - at) * each].reshape(to - at, each) for h in ((held[0], held[1]) if each <= len(held[0]) else np.empty((2, each))))
+            d2[:] = 0
+            for x in range(3):
+                np.subtract(near[x], p[at:to, x, None], out=t)
+                np.multiply(t, t, out=t)
+                np.add(d2, t, out=d2)
+            use = np.flatnonzero(d2.ravel() <= radius * radius)
+            i, k = use // each + at, use % each
+            use, i, k = (x[a[i] != ids[k]] for x in (use, i, k))
+            if len(use):
+                yield i, order[j[k]], np.stack([n[k] for n in near], 1) - p[i], d2.ravel()[use]
+
+    heads = np.flatnonzero(np.diff(np.where(known, own, -1), prepend=-2))
+    tails = np.append(heads[1:], len(own))
+    each = size.reshape(-1, 9).sum(1)
+    after = 0
+    for first, last in zip(heads, tails, strict=True):
+        if (last - first) * each[first] >= DENSE:
+            yield from by_pair(9 * after, 9 * first)
+            yield from by_cell(first, last, int(each[first]))
+            after = last
+    yield from by_pair(9 * after, len(size))
 
 
 def _summed(left: DataFrame, right: DataFrame, radius: float, width: int, f, of) -> DataFrame:
@@ -161,11 +195,12 @@ def _summed(left: DataFrame, right: DataFrame, radius: float, width: int, f, of)
         return df.select(*like.columns, "cx", "cy", "cz", key.alias("unit"), F.pmod(key, F.lit(packs)).alias("pack"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values(["unit", "cx", "cy", "cz", "id"], ignore_index=True)
         out, own, other = np.zeros((len(a), 1 + width)), of(a), of(b)
         for x in _near(a, b, radius):
             lo, hi = x[0][0], x[0][-1] + 1
             out[lo:hi] += f(own, other, x[0] - lo, hi - lo, *x)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": out[:, 0].astype(np.int64), "h": list(out[:, 1:])})
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": out[:, 0].astype(np.int64), "h": pd.Series(list(out[:, 1:]), dtype=object)})  # a group may have rows of right alone
 
     got = unit(own, left).groupBy("pack").cogroup(unit(near, right).groupBy("pack")).applyInPandas(run, "id long, n long, h array<double>")
     return got.groupBy("id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("h")[i]) for i in range(width)]).alias("h"))
@@ -185,15 +220,26 @@ def _angles(n1: np.ndarray, n2: np.ndarray, e: np.ndarray, d2: np.ndarray) -> tu
     """The three angles f1, f2, f3 of two points' normals in the frame of the one whose normal lies closer to the line between them (the first, if they are equal up to rounding, as
     with points of the same neighbours); 0 where that normal is the line itself."""
     far = np.sqrt(d2)
-    a1, a2 = (n1 * e).sum(1) / far, (n2 * e).sum(1) / far
+    a1, a2, c = np.einsum("ij,ij->i", n1, e) / far, np.einsum("ij,ij->i", n2, e) / far, np.einsum("ij,ij->i", n1, n2)
+    (x1, y1, z1), (x2, y2, z2), (x, y, z) = n1.T, n2.T, e.T
+    volume = (x * (y1 * z2 - z1 * y2) + y * (z1 * x2 - x1 * z2) + z * (x1 * y2 - y1 * x2)) / far
     swap = np.abs(a2) > np.abs(a1) + TIE
-    u, t, e = np.where(swap[:, None], n2, n1), np.where(swap[:, None], n1, n2), np.where(swap[:, None], -e, e)
-    v = np.cross(e, u)
-    m = np.sqrt((v * v).sum(1))
-    none = m == 0
-    v /= np.where(none, 1, m)[:, None]
-    w = np.cross(u, v)
-    return np.where(none, 0, np.arctan2((w * t).sum(1), (u * t).sum(1))), np.where(none, 0, (v * t).sum(1)), np.where(none, 0, np.where(swap, -a2, a1))
+    # the frame's normal u and the other one t, by their cosines with the line from the frame's own point: v = e x u / m and w = u x v, so w t = (e t - (u e)(u t)) / m and v t = e (u x t) / m
+    ue, te = np.where(swap, -a2, a1), np.where(swap, -a1, a2)
+    m2 = 1 - ue * ue
+    thin = np.flatnonzero(m2 < THIN)
+    m = np.sqrt(np.maximum(m2, THIN))
+    f1, f2, f3 = np.arctan2((te - ue * c) / m, c), volume / m, ue
+    if len(thin):
+        s = swap[thin, None]
+        u, t, e = np.where(s, n2[thin], n1[thin]), np.where(s, n1[thin], n2[thin]), np.where(s, -e[thin], e[thin])
+        v = np.cross(e, u)
+        m = np.sqrt((v * v).sum(1))
+        none = m == 0
+        v /= np.where(none, 1, m)[:, None]
+        f1[thin], f2[thin] = np.where(none, 0, np.arctan2((np.cross(u, v) * t).sum(1), (u * t).sum(1))), np.where(none, 0, (v * t).sum(1))
+        f3[thin] = np.where(none, 0, f3[thin])
+    return f1, f2, f3
 
 
 def _histograms(a, b, i, n, ai, bj, e, d2) -> np.ndarray:

@@ -385,6 +385,37 @@ def test_point_features_of_blocks_in_parts(spark, monkeypatch):
             assert parts[i][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-6))
 
 
+def test_point_features_where_a_group_has_no_points_of_its_own(spark, monkeypatch):
+    # a group of a point's halo alone: its rows of sums are none
+    monkeypatch.setattr(points, "PACK", 1)
+    p = np.random.default_rng(23).random((60, 3)) * 0.4
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, px double, py double, pz double")
+    near, _, want = plain_features(p, 0.15)
+    got = {r["id"]: r for r in points.point_features(df, 0.15).collect()}
+    assert {i: r["k"] for i, r in got.items()} == {i: len(n) for i, n in enumerate(near)}
+    assert {i for i, r in got.items() if r["fpfh"] is None} == {i for i, w in enumerate(want) if w is None}
+
+
+def test_cells_of_many_points_meet_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(24)
+    p = rng.random((400, 3)) * 0.12
+    p[50:60] = p[7]
+    at = np.floor(p / 0.03).astype(int) + 1
+    df = pd.DataFrame({"id": np.arange(400), **dict(zip(points.AXES, p.T, strict=True)), "unit": 5, **dict(zip(("cx", "cy", "cz"), at.T, strict=True))})
+    left = df.sort_values(["unit", "cx", "cy", "cz", "id"], ignore_index=True)
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 0.03**2
+    np.fill_diagonal(near, False)
+    for dense, at_once in ((1, 1 << 18), (300, 40), (1 << 30, 40)):
+        monkeypatch.setattr(points, "DENSE", dense)
+        monkeypatch.setattr(points, "AT_ONCE", at_once)
+        got = list(points._near(left, df, 0.03))
+        pairs = np.concatenate([np.stack([left["id"].to_numpy()[i], df["id"].to_numpy()[j]], 1) for i, j, _, _ in got])
+        assert (pairs[np.lexsort(pairs.T[::-1])] == np.argwhere(near)).all()
+        assert (np.diff(np.concatenate([i for i, *_ in got])) >= 0).all()
+        for i, j, e, d2 in got:
+            assert (e == p[df["id"].to_numpy()[j]] - p[left["id"].to_numpy()[i]]).all() and np.allclose(d2, (e * e).sum(1), rtol=1e-15)
+
+
 def test_points_of_the_same_neighbours_keep_their_own_frame(spark):
     # four points that are all neighbours have one normal: which of two lies closer to their line is rounding alone
     rows = [(i, x, y, z + 1) for i, (x, y, z) in enumerate([(0.1, 0.0, 0.0), (0.0, 0.1, 0.02), (-0.1, 0.03, 0.01), (0.02, -0.1, 0.05)])]
