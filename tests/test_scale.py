@@ -79,6 +79,49 @@ def test_knn_join_equals_brute_force(spark, monkeypatch, spread):
     assert few.count() == 6 and metric.knn_join(df.filter("false"), df, 3).count() == 0 and metric.knn_join(df, df.filter("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["normal", "ties", "outlier", "infinite", "equal"])
+def test_levels_rule_out_no_near_vector(kind):
+    rng = np.random.default_rng(13)
+    a = rng.normal(0, 1, (300, 24))
+    if kind == "ties":
+        a = np.round(a)
+        a[40:90] = a[3]
+    elif kind == "outlier":
+        a[9, 4] = 1e6
+    elif kind == "infinite":
+        a[9, 4] = np.inf
+    elif kind == "equal":
+        a[:] = 0.25
+    keys = np.arange(300) * 3
+    d = np.abs(a[:, None] - a[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    d = np.nan_to_num(d, nan=np.inf, posinf=np.inf)
+    limit = np.where(np.arange(300) % 2 == 0, np.inf, np.sort(d, 1)[:, 4])
+    for bound in (None, limit):
+        i, got, at = metric._nearest(a, keys, a, keys, 7, True, bound)
+        want = [(r, int(j) * 3, d[r, j]) for r in range(300) for j in np.lexsort((keys, d[r]))[:7] if d[r, j] < np.inf and (bound is None or d[r, j] <= bound[r])]
+        assert list(zip(i.tolist(), got.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_a_tile_sends_on_the_nearest_alone():
+    # before, each block of a tile sent k rows for each query
+    rng = np.random.default_rng(14)
+    a = rng.normal(0, 1, (400, 6))
+    points, block = a[:3], np.arange(400) // 40
+    far = np.abs(a[:, None] - points[None]).sum(2)
+    least, most = (np.stack([f(far[block == b], 0) for b in range(10)]) for f in (np.min, np.max))
+    v = pd.DataFrame({"key": np.arange(400), "a": list(a), "block": block})
+    q = v.assign(radius=np.where(np.arange(400) % 5 == 0, np.nan, 4.0))
+    got = metric._in_tile(q, v, 5, True, points, least, most)
+    d = np.abs(a[:, None] - a[None]).sum(2)
+    d[block[:, None] == block[None]] = np.inf  # met before
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(d[i])[:5] if d[i, j] <= (np.inf if i % 5 == 0 else 4.0)}
+    rows = got[got["id"].notna()]
+    assert {(int(x), int(y)) for x, y in zip(rows["query"], rows["id"], strict=True)} == want and len(rows) == len(want)
+    assert got["met"].max() <= 360 and len(got) - len(rows) == 400
+    assert metric._in_tile(q.head(0), v, 5, True, points, least, most).empty
+
+
 def test_knn_join_sends_some_queries_at_a_time(monkeypatch):
     rng = np.random.default_rng(12)
     monkeypatch.setattr(metric, "BOUNDS", 700)
